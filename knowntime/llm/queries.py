@@ -5,18 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from knowntime.llm._shared import read_table
+from knowntime.llm.chat import conversations_as_records, format_records, unescaped
+from knowntime.llm.secrets import listing, scan_secrets
 from knowntime.llm.simhash import near_duplicates
+from knowntime.llm.urls import judge_urls
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+
+    def kinds(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", kinds("assign"), kinds("access"), kinds("hex"), F.sha2(listing(F.col("base")).cast("binary"), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans")
+    )
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"))
+    out = format_records(conversations_as_records(rows), keep=["conv_id"])
+    spoken = out.select(
+        "conv_id",
+        "formatted",
+        F.transform("segments", lambda s: F.concat(s["role"], F.lit("\n"), unescaped(s["body"]), F.lit("\n"))).alias("turns"),
+        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["body"])), "").alias("loss"),
+    )
+    return spoken.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: The rules of the query, (verdict, host/path-prefix).
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_chat_format, op6_url_filter)}
+
+
+#: Only operators whose whole result SQL can express.
+_ORACLES = {
+    "op4_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + 5 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1~\2\3', 'g')) + 8) AS BIGINT) AS formatted_chars
+        FROM rows GROUP BY conv_id
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
