@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from knowntime.llm._shared import read_table
 from knowntime.llm.chat import conversations_as_records, format_records, unescaped
+from knowntime.llm.decontaminate import contaminations
+from knowntime.llm.lm import score_documents
 from knowntime.llm.secrets import listing, scan_secrets
 from knowntime.llm.simhash import near_duplicates
+from knowntime.llm.tokens import token_counts
 from knowntime.llm.urls import judge_urls
 
 
@@ -18,6 +21,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -58,8 +71,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_chat_format, op6_url_filter)}
+    return {f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op6_url_filter, op7_token_counts, op9_lm_scoring,
+    )}
 
 
 #: Only operators whose whole result SQL can express.
