@@ -14,7 +14,6 @@ import regex
 #: The two tokenizers' patterns.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACES = regex.compile(r"\s+")
 #: Characters on which both sides agree (checked one by one in the tests).
 KNOWN = regex.compile("[\\x00-\\u0377\\u2010-\\u2060\\u20a0-\\u20bf\\u3000-\\u30ff\\u4e00-\\u9fff]*")
 
@@ -72,7 +71,7 @@ class WordIds:
 
         if (self.special is not None and self.special.search(text)) or not KNOWN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORD_PATTERN.findall(SPACES.sub(" ", unicodedata.normalize("NFC", text)).lower())
+        words = WORD_PATTERN.findall(unicodedata.normalize("NFC", text).lower())  # the pattern skips white space itself
         memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, words))

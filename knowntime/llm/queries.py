@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from knowntime.llm._shared import read_table
 from knowntime.llm.chat import conversations_as_records, format_records, unescaped
 from knowntime.llm.decontaminate import contaminations
+from knowntime.llm.langid import identify
 from knowntime.llm.lm import score_documents
+from knowntime.llm.packing import pack_documents
 from knowntime.llm.secrets import listing, scan_secrets
 from knowntime.llm.simhash import near_duplicates
 from knowntime.llm.tokens import token_counts
@@ -75,13 +77,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op6_url_filter, op7_token_counts, op9_lm_scoring,
+        op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op6_url_filter, op7_token_counts,
+        op8_best_fit_packing, op9_lm_scoring, op10_language_id,
     )}
 
 
