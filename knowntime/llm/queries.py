@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knowntime.llm._shared import read_table
 from knowntime.llm.chat import conversations_as_records, format_records, unescaped
 from knowntime.llm.decontaminate import contaminations
+from knowntime.llm.embeddings import near_vectors
 from knowntime.llm.langid import identify
 from knowntime.llm.lm import score_documents
 from knowntime.llm.packing import pack_documents
@@ -65,6 +66,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 #: The rules of the query, (verdict, host/path-prefix).
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -91,7 +96,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op6_url_filter, op7_token_counts,
+        op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op5_embedding_near_dedup, op6_url_filter, op7_token_counts,
         op8_best_fit_packing, op9_lm_scoring, op10_language_id,
     )}
 
