@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,16 @@ class PieceIndex:
         return found
 
 
+def _blocks(benchmark: DataFrame) -> list[Broadcast]:
+    """The items as broadcast lists of (item_id, text), BLOCK_CHARS characters each on average."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    count = -(-size // BLOCK_CHARS) or 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast([(r["item_id"], r["text"]) for r in items.where(block == b).collect()]) for b in range(count)]
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
     """(doc_id, item_id, distance, budget, start, end): a row for each document and item in it.
 
@@ -123,14 +135,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) ->
     items match nothing; repeated rows of documents give repeated rows, equal
     items each their own. A document without a hit has no row.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    count = -(-size // BLOCK_CHARS) or 1
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sc, found = docs.sparkSession.sparkContext, None
-    for block in range(count):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block)
-        held = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+    found = None
+    for held in _blocks(benchmark):
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = PieceIndex(held.value, rate)
@@ -144,6 +151,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
-    """documents without those that hold a test item; columns as given, rows without doc_id stay."""
-    hits = contaminations(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """documents without those that hold a test item; columns as given.
+
+    Each block of items filters rows where they lie, so no text is shuffled.
+    """
+    for held in _blocks(benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = PieceIndex(held.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.search(normalised(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -10,11 +10,13 @@ maximum, they are folded into tables over byte pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ FILTERS = 16
 EMBED = 8
 PER_LABEL = 500
 WINDOWS_PER_TEXT = 3
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -141,6 +144,29 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: i
     return ByteCnn.train(x, np.array([labels.index(label) for label, _, _ in rows], np.int64), labels)
 
 
+def _decide(cnn: ByteCnn, tables: list, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, scores) of whole texts, some megabytes of windows at a time."""
+    raw = [t.encode("utf-8") if t and cnn.labels and LETTER.search(t) else b"" for t in texts]
+    label, score = np.full(len(raw), "und", object), np.zeros(len(raw))
+    at = 0
+    while at < len(raw):
+        end, size = at, 0
+        while end < len(raw) and (end == at or size < 4_000_000):
+            size += len(raw[end])
+            end += 1
+        full = [k for k in range(at, end) if raw[k]]
+        at = end
+        if not full:
+            continue
+        x = [windows(raw[k]) for k in full]
+        weight = np.concatenate([np.minimum(WINDOW, len(raw[k]) - WINDOW * np.arange(len(w))) for k, w in zip(full, x)])
+        first = np.cumsum([0, *map(len, x)])[:-1]
+        prob = np.add.reduceat(cnn.probabilities(np.concatenate(x), tables) * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
+        label[full] = np.array(cnn.labels, object)[prob.argmax(1)]
+        score[full] = np.minimum(prob.max(1), 1.0)
+    return label, score
+
+
 def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2) -> DataFrame:
     """documents with text and lang -> (doc_id, held_out, lang_pred, score), a row for each row.
 
@@ -157,36 +183,26 @@ def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_o
         cnn = ByteCnn(*sent.value)
         tables = cnn.tables()
         for batch in batches:
-            label, score = np.full(len(batch), "und", object), np.zeros(len(batch))
-            texts = [t.encode("utf-8") if ok and cnn.labels else b"" for t, ok in zip(batch["text"], batch["letters"])]
-            at = 0
-            while at < len(texts):  # some MB of windows at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 4_000_000):
-                    size += len(texts[end])
-                    end += 1
-                full = [k for k in range(at, end) if texts[k]]
-                at = end
-                if not full:
-                    continue
-                x = [windows(texts[k]) for k in full]
-                weight = np.concatenate([np.minimum(WINDOW, len(texts[k]) - WINDOW * np.arange(len(w))) for k, w in zip(full, x)])
-                first = np.cumsum([0, *map(len, x)])[:-1]
-                prob = np.add.reduceat(cnn.probabilities(np.concatenate(x), tables) * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
-                label[full] = np.array(cnn.labels, object)[prob.argmax(1)]
-                score[full] = np.minimum(prob.max(1), 1.0)
+            label, score = _decide(cnn, tables, batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": label, "score": score})
 
-    rows = docs.select(
-        F.col("doc_id").cast("long"),
-        (~training_part(F.col("doc_id"), folds, held_out)).alias("held_out"),
-        F.col("text").cast("string"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), (~training_part(F.col("doc_id"), folds, held_out)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """documents whose language is found with a score of ``least`` or more; columns as given."""
-    sure = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(sure, "doc_id", "left_semi").select(*docs.columns)
+    """documents whose language is found with a score of ``least`` or more; columns as given.
+
+    Rows are filtered where they lie, so no text is shuffled.
+    """
+    model = fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.embed, model.conv, model.bias, model.dense, model.shift))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cnn = ByteCnn(*sent.value)
+        tables = cnn.tables()
+        for batch in batches:
+            label, score = _decide(cnn, tables, batch.column("text").to_pylist())
+            yield batch.filter(pa.array((label != "und") & (score >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
