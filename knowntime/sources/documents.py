@@ -78,7 +78,8 @@ def filings(arrays: DataFrame) -> DataFrame:
     dropped, a blank form becomes UNKNOWN.
     """
     a = lambda n: F.col(f"z.{n}")
-    zipped = arrays.select("cik", "part", F.posexplode(F.arrays_zip(*[F.col(f"arrays.{n}").alias(n) for n in _ARRAYS])).alias("pos", "z"))
+    none = F.array().cast("array<string>")
+    zipped = arrays.select("cik", "part", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"arrays.{n}"), none).alias(n) for n in _ARRAYS])).alias("pos", "z"))
     rows = zipped.select(
         "cik", "part", "pos", F.nullif(F.trim(a("accessionNumber")), F.lit("")).alias("accession_number"), S.lenient_date(a("filingDate")).alias("filing_date"), S.lenient_date(a("reportDate")).alias("report_date"), S.acceptance_instant(a("acceptanceDateTime")).alias("acceptance_datetime"),
         F.coalesce(F.nullif(F.trim(a("form")), F.lit("")), F.lit("UNKNOWN")).alias("form"), a("fileNumber").alias("file_number"), a("filmNumber").alias("film_number"), a("primaryDocument").alias("primary_document"), S.lenient_bool(a("isXBRL")).alias("is_xbrl"), S.lenient_bool(a("isInlineXBRL")).alias("is_inline_xbrl"),
@@ -106,7 +107,7 @@ def issuers(submissions: DataFrame) -> DataFrame:
 def securities(submissions: DataFrame, resolved: DataFrame) -> DataFrame:
     """Tickers with their exchange by position, plus the resolved (cik, ticker, exchange) ones,
     which become primary and fill a missing exchange. Without a resolved ticker the first is primary."""
-    zipped = submissions.select(S.normalize_cik(F.col("doc.cik")).alias("cik"), F.posexplode(F.arrays_zip(F.col("doc.tickers").alias("t"), F.col("doc.exchanges").alias("x"))).alias("pos", "z"))
+    zipped = submissions.select(S.normalize_cik(F.col("doc.cik")).alias("cik"), F.posexplode(F.arrays_zip(F.col("doc.tickers").alias("t"), F.coalesce("doc.exchanges", F.array().cast("array<string>")).alias("x"))).alias("pos", "z"))
     listed = zipped.select("cik", "pos", S.canonical_symbol(F.col("z.t")).alias("ticker"), F.nullif(F.trim("z.x"), F.lit("")).alias("exchange")).where(F.col("ticker").isNotNull())
     listed = listed.groupBy("cik", "ticker").agg(F.min("pos").alias("pos"), F.min_by("exchange", "pos").alias("exchange"))
     chosen = resolved.select(S.normalize_cik(F.col("cik")).alias("cik"), S.canonical_symbol(F.col("ticker")).alias("ticker"), F.col("exchange").alias("__x"), F.lit(True).alias("__chosen")).dropDuplicates(["cik", "ticker"])
