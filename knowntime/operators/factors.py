@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowntime.functions import dims
+from knowntime.functions.scratch import stored
 from knowntime.operators.statements import KEYS, normalized_requests, snapshot_wide
 
 RESULT = "struct<factor:string,value:double,valid:boolean,reason:string,inputs:map<string,double>,source_filings:array<string>,warnings:array<string>,higher_is_better:boolean>"
@@ -168,12 +169,12 @@ def _quality(weights: dict[str, float]) -> Column:
 
 def paired_snapshots(facts: DataFrame, requests: DataFrame) -> DataFrame:
     """KEYS, cur, pri: each request's snapshot and that of the same period a year before,
-    from one pass over the facts."""
+    from one pass over the facts; written once, as both sides of the pairing read it."""
     asked = normalized_requests(requests)
     before = asked.withColumn("fiscal_year", F.col("fiscal_year") - 1)
     wide = snapshot_wide(facts, asked.unionByName(before))
     names = [c for c in wide.columns if c not in KEYS and c != "replaced"]
-    packed = wide.select(*KEYS, F.struct(*names).alias("cur"))
+    packed = stored(wide.select(*KEYS, F.struct(*names).alias("cur")))
     prior = packed.select("cik", (F.col("fiscal_year") + 1).alias("fiscal_year"), "fiscal_period", "as_of", F.col("cur").alias("pri"))
     return asked.join(packed, KEYS).join(prior, KEYS, "left")
 
