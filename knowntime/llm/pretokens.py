@@ -7,15 +7,22 @@ pre-tokeniser, as character classes differ between Unicode versions.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import islice
 
+import numpy as np
 import regex
 
-#: The two tokenizers' patterns.
-BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters on which both sides agree (checked one by one in the tests).
-KNOWN = regex.compile("[\\x00-\\u0377\\u2010-\\u2060\\u20a0-\\u20bf\\u3000-\\u30ff\\u4e00-\\u9fff]*")
+#: The byte tokenizer's pattern. On KNOWN texts the word characters of ``re`` that
+#: are neither digits nor the underscore are exactly the letters.
+BYTE_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The word tokenizer's pattern, for lower-cased text without composed marks.
+WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Characters on which all sides agree about letters, digits, white space, case and composition
+#: (checked one by one in the tests); four information separators and superscript or
+#: fraction digits are not among them.
+KNOWN = re.compile("[\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u036f\\u2010-\\u2060\\u20a0-\\u20bf\\u3041-\\u3096\\u30a1-\\u30fa]*")
 
 
 def load(path: str):
@@ -49,37 +56,41 @@ class BytePretokens:
 
     def sizes(self, pieces: list[str]) -> list[int]:
         """Number of tokens of each pre-token."""
-        return [len(e) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)).tolist()
 
 
 class WordIds:
     """Token ids of texts under a word BPE tokenizer, as little-endian 32-bit strings.
 
-    Ids are found once per distinct pre-token; the memo is emptied when it holds
-    ``most`` entries, so memory is bounded.
+    Ids are found once per distinct pre-token. The memo keeps the pre-tokens that it
+    met first (frequent ones come early) when it reaches ``most`` entries, so
+    memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000, keep: int = 60_000):
         self.tokenizer = load(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.memo: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.keep = most, keep
 
     def __call__(self, text: str) -> bytes:
-        import numpy as np
-
         if (self.special is not None and self.special.search(text)) or not KNOWN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORD_PATTERN.findall(unicodedata.normalize("NFC", text).lower())  # the pattern skips white space itself
-        memo = self.memo
+        words = WORD_PATTERN.findall(unicodedata.normalize("NFC", text).lower())
         try:
-            return b"".join(map(memo.__getitem__, words))
+            return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(memo.__getitem__, words))
+            self._learn(words)
+            return b"".join(map(self.memo.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if len(self.memo) + len(new) > self.most:
+            self.memo = dict(islice(self.memo.items(), self.keep))
+            new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        tokenize, cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for w in new:
+            parts = [w] if w.isascii() and w.isprintable() else [p for p, _ in cut(w)]  # other bytes have stand-ins in the vocabulary
+            self.memo[w] = b"".join(t.id.to_bytes(4, "little") for p in parts for t in tokenize(p))

@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import frequent, stash
+from knowntime.llm._shared import frequent, small_batches, stash
 from knowntime.llm.pretokens import BytePretokens
 
 #: Distinct pre-tokens that a task holds before it passes its counts on.
-TASK_KEYS = 500_000
+TASK_KEYS = 100_000
 
 
 def pretoken_sizes(docs: DataFrame, path: str) -> DataFrame:
@@ -44,11 +44,11 @@ def pretoken_sizes(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(tokens=cut.sizes(batch["piece"].tolist()))
 
-    counted = docs.select(F.col("text").cast("string")).mapInPandas(tally, "piece string, n long")
+    counted = small_batches(docs).select(F.col("text").cast("string")).mapInPandas(tally, "piece string, n long")
     return counted.groupBy("piece").agg(F.sum("n").alias("n")).mapInPandas(measure, "piece string, n long, tokens int")
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, head: int = 300_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, head: int = 100_000) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_tokens, over_limit), a row for each row.
 
     ``path`` names the tokenizer's file, which every worker must be able to read.
