@@ -25,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import release, stash
+from knowntime.llm._shared import small_batches, stash
 from knowntime.llm.pretokens import WordIds
 
 END_ID = 1
+EXACT = 5_000
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
@@ -45,7 +46,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return made.withColumn("pid", F.monotonically_increasing_id())
 
 
@@ -92,8 +93,8 @@ def _routes(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def _match(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One global sweep: (sweep output, matches between ranges as (id, size, bin, gap))."""
+def _match(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One global sweep -> (matches as id, size, bin, gap; pieces and gaps still free)."""
     spark = pieces.sparkSession
     rows = gaps.select(F.lit(0).alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size")).unionByName(pieces.select(F.lit(1).alias("kind"), "id", "size"))
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
@@ -103,15 +104,34 @@ def _match(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     left: dict[int, tuple[int, int]] = {}
     for r in swept.where("kind < 2").groupBy("part").agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("g")).collect():
         left[r["part"]] = (r["p"], r["g"])
-    routes = spark.createDataFrame(_routes(left), "part int, first long, last long, source int, top long")
-    found = (
-        swept.where("kind = 1")
-        .join(F.broadcast(routes), "part")  # two rows a range at most
-        .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
-        .select("id", "size", F.col("source").alias("g_part"), (F.col("top") - (F.col("rank") - F.col("first"))).alias("g_rank"))
-    )
-    open_ = swept.where("kind = 0").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-    return swept, stash(found.join(open_, ["g_part", "g_rank"]).select("id", "size", "bin", "gap"))
+    found = _routes(left)
+    inside = swept.where("kind = 2").select("id", "size", "bin", "gap")
+    free = swept.where("kind = 1").select("part", "rank", "id", "size")
+    open_ = swept.where("kind = 0").select(F.col("part").alias("source"), F.col("rank").alias("g_rank"), F.col("id").alias("bin"), F.col("size").alias("gap"))
+    if not found:
+        return inside, free.select("id", "size"), open_.select("bin", "gap")
+    routes = F.broadcast(spark.createDataFrame(found, "part int, first long, last long, source int, top long"))  # two rows a range at most
+    goes = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+    to = free.join(routes, "part").where(goes).select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("first"))).alias("g_rank"))
+    between = stash(to.join(open_, ["source", "g_rank"]).select("id", "size", "bin", "gap"))
+    here = F.col("f.part") == F.col("r.part")
+    free = free.alias("f").join(routes.alias("r"), here & goes, "left_anti")
+    taken = (F.col("o.source") == F.col("r.source")) & (F.col("g_rank") <= F.col("top")) & (F.col("g_rank") > F.col("top") - (F.col("last") - F.col("first")))
+    open_ = open_.alias("o").join(routes.alias("r"), taken, "left_anti")
+    return inside.unionByName(between), free.select("id", "size"), open_.select("bin", "gap")
+
+
+def _some(rows: DataFrame, have: int, take: int, salt: int) -> DataFrame:
+    """(id, lucky) of ``take`` of the ``have`` rows: exactly so many up to ``EXACT``, beyond that
+    a hashed share, which is off by its square root at most or so."""
+    h = F.xxhash64("id", F.lit(salt))
+    if take == have:
+        picked = rows
+    elif take <= EXACT:
+        picked = rows.orderBy(h, "id").limit(take)
+    else:
+        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(take / have * (1 << 30))))
+    return picked.select("id", F.lit(True).alias("lucky"))
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -122,37 +142,29 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     placed = [opened.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset"))]
     gaps = opened.where(F.col("size") < capacity).select(F.col("id").alias("bin"), (capacity - F.col("size")).alias("gap"))
     waiting = all_.where(F.col("size") * 2 <= capacity)
-    old: list[DataFrame] = []
     while True:
-        swept, between = _match(waiting, gaps)
-        matched = swept.where("kind = 2").select("id", "size", "bin", "gap").unionByName(between)
+        matched, waiting, spare = _match(waiting, gaps)
         placed.append(matched.select("id", "bin", (capacity - F.col("gap")).alias("offset")))
-        waiting = swept.where("kind = 1").select("id", "size").join(between.select("id"), "id", "left_anti")
-        spare = swept.where("kind = 0").select(F.col("id").alias("bin"), F.col("size").alias("gap")).join(between.select("bin"), "bin", "left_anti")
         gaps = spare.unionByName(matched.where("gap > size").select("bin", (F.col("gap") - F.col("size")).alias("gap")))
-        waiting, gaps = stash(waiting), stash(gaps)
-        for frame in old:
-            release(frame)
-        old = [waiting, gaps]
         histogram = {r["size"]: r["n"] for r in waiting.groupBy("size").agg(F.count("*").alias("n")).collect()}
         if not histogram:
             break
         widest = gaps.agg(F.max("gap").alias("g")).first()["g"] or 0
         stuck = {s: n for s, n in histogram.items() if s > widest}
         need = -(-sum(s * n for s, n in stuck.items()) // capacity)
-        if need:  # the largest pieces open; the last size in turn opens a hashed share
-            cut, share = None, 0.0
+        if need:  # the largest pieces open; of the last size as many as are still needed
+            cut, take = None, 0
             for s in sorted(stuck, reverse=True):
-                cut, share = s, min(1.0, need / stuck[s])
-                need -= stuck[s]
-                if need <= 0:
+                cut, take = s, min(need, stuck[s])
+                need -= take
+                if not need:
                     break
-            lucky = F.pmod(F.xxhash64("id", F.lit(len(placed))), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))
-            opens = stash(waiting.withColumn("new", (F.col("size") > cut) | ((F.col("size") == cut) & (lucky if stuck[cut] > 64 else F.lit(True)))))
-            fresh = opens.where("new")
+            lucky = stash(_some(waiting.where(F.col("size") == cut), stuck[cut], take, len(placed)))
+            marked = waiting.join(lucky, "id", "left").withColumn("new", (F.col("size") > cut) | F.coalesce("lucky", F.lit(False)))
+            fresh = marked.where("new").select("id", "size")
             placed.append(fresh.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
             gaps = gaps.unionByName(fresh.where(F.col("size") < capacity).select(F.col("id").alias("bin"), (capacity - F.col("size")).alias("gap")))
-            waiting = opens.where("not new").select("id", "size")
+            waiting = marked.where("not new").select("id", "size")
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
