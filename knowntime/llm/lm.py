@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import frequent, stash, training_part
+from knowntime.llm._shared import frequent, small_batches, stash, training_part
 
 BLOCK = 1 << 17  # bytes of a filter block
 PROBES = 4
 LEVELS = 48
 START, END = b" s", b" e"  # no word holds a space
-TASK_TOKENS = 3_000_000
+TASK_TOKENS = 5_000_000  # pairs that a task sorts at a time
+TASK_WORDS = 150_000  # distinct words that a task holds at a time
 
 
 def words(text: str | None) -> list[bytes]:
@@ -116,41 +117,103 @@ class NgramModel:
         return np.add.reduceat(log, np.cumsum(sizes) - sizes) if len(texts) else np.zeros(0)
 
 
-def _task_counts(train: DataFrame, blocks: int) -> DataFrame:
-    """(word, block, key, n): counts per task, of words (with their text) and of pairs (without)."""
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, n) over all training texts; each text ends with END."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                held.update(words(text))
+            held[END] += len(batch)
+            if len(held) > TASK_WORDS:
+                yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+                held = Counter()
+        if held:
+            yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+
+    return train.mapInPandas(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(train: DataFrame, blocks: int) -> DataFrame:
+    """(block, key, n): pairs of neighbouring words, counted per task."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        single: Counter = Counter()
         keys: dict[bytes, int] = {}
         runs, held = [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
             pair, n = np.unique(np.concatenate(runs), return_counts=True)
-            yield pd.DataFrame({"word": None, "block": block_of(pair, blocks).astype(np.int32), "key": pair.view(np.int64), "n": n})
-            key = np.fromiter((keys[w] for w in single), np.uint64, len(single))
-            yield pd.DataFrame({"word": list(single.keys()), "block": block_of(key, blocks).astype(np.int32), "key": key.view(np.int64), "n": list(single.values())})
+            return pd.DataFrame({"block": block_of(pair, blocks).astype(np.int32), "key": pair.view(np.int64), "n": n})
 
         for batch in batches:
             for text in batch["text"]:
                 seq = [START, *words(text), END]
-                single.update(seq)
-                for w in seq:
-                    if w not in keys:
-                        keys[w] = word_key(w)
-                key = np.fromiter(map(keys.__getitem__, seq), np.uint64, len(seq))
+                try:
+                    found = list(map(keys.__getitem__, seq))
+                except KeyError:
+                    if len(keys) > TASK_WORDS:
+                        keys.clear()
+                    for w in seq:
+                        if w not in keys:
+                            keys[w] = word_key(w)
+                    found = list(map(keys.__getitem__, seq))
+                key = np.array(found, np.uint64)
                 runs.append(pair_key(key[:-1], key[1:]))
                 held += len(seq)
                 if held > TASK_TOKENS:
-                    yield from flush()
-                    single, keys, runs, held = Counter(), {}, [], 0
+                    yield flush()
+                    runs, held = [], 0
         if runs:
-            yield from flush()
+            yield flush()
 
-    return train.mapInPandas(tally, "word binary, block int, key long, n long")
+    return train.mapInPandas(tally, "block int, key long, n long")
+
+
+def _word_keys(vocabulary: DataFrame, blocks: int) -> DataFrame:
+    """The filter's rows for words; START occurs as often as END."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(bytes(w), n) for w, n in zip(batch["word"], batch["n"])]
+            rows += [(START, n) for w, n in rows if w == END]
+            key = np.fromiter((word_key(w) for w, _ in rows), np.uint64, len(rows))
+            yield pd.DataFrame({"block": block_of(key, blocks).astype(np.int32), "key": key.view(np.int64), "n": [n for _, n in rows]})
+
+    return vocabulary.mapInPandas(run, "block int, key long, n long")
+
+
+def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Filter blocks from their summed (block, key, n) rows; a task holds its own blocks only."""
+    slots: dict[int, int] = {}
+    bits = np.zeros(0, np.uint8)
+    held, n = [], 0
+
+    def enter() -> None:
+        nonlocal bits
+        rows = pd.concat(held, ignore_index=True)
+        block = rows["block"].to_numpy()
+        for b in np.unique(block).tolist():
+            slots.setdefault(b, len(slots))
+        bits = np.concatenate([bits, np.zeros(len(slots) * BLOCK - len(bits), np.uint8)])
+        known = np.array(sorted(slots))
+        place = np.array([slots[b] for b in known.tolist()], np.uint64)
+        fill(bits, place[np.searchsorted(known, block)] * np.uint64(BLOCK * 8), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n > 300_000:
+            enter()
+            held, n = [], 0
+    if n:
+        enter()
+    for b, slot in slots.items():
+        yield pd.DataFrame({"block": [b], "bits": [bits[slot * BLOCK : (slot + 1) * BLOCK].tobytes()]})
 
 
 def score_documents(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, weight: float = 0.6, head: int = 300_000, most_bytes: int = 1 << 27
+    docs: DataFrame, folds: int = 7, held_out: int = 2, weight: float = 0.6, head: int = 100_000, most_bytes: int = 1 << 27
 ) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -161,32 +224,16 @@ def score_documents(
     count is 0. Each row gives a row, also when doc_ids repeat.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), (~training_part(F.col("doc_id"), folds, held_out)).alias("held_out")
     )
     train = rows.where(~F.col("held_out")).select("text")
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, min(most_bytes, size // 12) // BLOCK)
-    counts = stash(_task_counts(train, blocks).repartition("block"))
-
-    vocabulary = stash(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word") != F.lit(START)))
+    vocabulary = stash(word_counts(train))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            key, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()
-            block = batch["block"].to_numpy()
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
-            for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
-                at = order[a:b]
-                part = parts.setdefault(int(block[at[0]]), np.zeros(BLOCK, np.uint8))
-                fill(part, np.zeros(len(at), np.uint64), key[at], n[at])
-        for number, part in parts.items():
-            yield pd.DataFrame({"block": [number], "bits": [part.tobytes()]})
-
-    filled = counts.select("block", "key", "n").repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n")).mapInPandas(build, "block int, bits binary")
+    entries = pair_counts(train, blocks).unionByName(_word_keys(vocabulary, blocks))
+    filled = entries.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n")).mapInPandas(_build, "block int, bits binary")
     bits = np.zeros(blocks * BLOCK, np.uint8)
     for r in filled.toLocalIterator():
         bits[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["bits"], np.uint8)
@@ -208,7 +255,7 @@ def score_documents(
                     n = np.array([c for c in found if c is not None], np.float64)
                     base.append(float(np.log10(n + 1).sum()))
                     hits.append(len(n))
-                    rare.append([w for w, c in zip(t, found) if c is None])
+                    rare.append([w for w, c in zip([*t, END], found) if c is None])
                 yield pd.DataFrame(
                     {"row": some["row"].to_numpy(), "doc_id": some["doc_id"].to_numpy(), "held_out": some["held_out"].to_numpy(), "n_tokens": [len(t) + 1 for t in texts], "hits": hits, "base": base, "score": lm.log10(texts), "rare": rare}
                 )
