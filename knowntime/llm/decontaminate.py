@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knowntime.llm._shared import small_batches
+
 #: Characters of items that one pass holds in memory.
 BLOCK_CHARS = 4_000_000
 
@@ -135,7 +137,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) ->
     items match nothing; repeated rows of documents give repeated rows, equal
     items each their own. A document without a hit has no row.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for held in _blocks(benchmark):
 
@@ -162,5 +164,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05)
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(normalised(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = small_batches(docs).mapInArrow(keep, docs.schema)
     return docs

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import training_part
+from knowntime.llm._shared import small_batches, training_part
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -151,7 +151,7 @@ def _decide(cnn: ByteCnn, tables: list, texts: Iterable[str | None]) -> tuple[np
     at = 0
     while at < len(raw):
         end, size = at, 0
-        while end < len(raw) and (end == at or size < 4_000_000):
+        while end < len(raw) and (end == at or size < 1_000_000):
             size += len(raw[end])
             end += 1
         full = [k for k in range(at, end) if raw[k]]
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_o
             label, score = _decide(cnn, tables, batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": label, "score": score})
 
-    rows = docs.select(F.col("doc_id").cast("long"), (~training_part(F.col("doc_id"), folds, held_out)).alias("held_out"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), (~training_part(F.col("doc_id"), folds, held_out)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -205,4 +205,4 @@ def drop_unidentified(docs: DataFrame, least: float = 0.4) -> DataFrame:
             label, score = _decide(cnn, tables, batch.column("text").to_pylist())
             yield batch.filter(pa.array((label != "und") & (score >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

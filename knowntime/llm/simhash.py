@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import connected_components, stash
+from knowntime.llm._shared import connected_components, small_batches, stash
 
 FANOUT = 8
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
 
 
 def blocks(mask: int, parts: int) -> list[int]:
