@@ -54,9 +54,12 @@ def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
-def _bits(key: np.ndarray, level: int, probe: int) -> np.ndarray:
+def _level_hash(key: np.ndarray, level: int) -> np.ndarray:
+    return mix(key + np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+
+
+def _bits(h: np.ndarray, probe: int) -> np.ndarray:
     """Bit number within the key's block."""
-    h = mix(key + np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
     return (h + np.uint64(probe) * ((h >> np.uint64(33)) | np.uint64(1))) & np.uint64(BLOCK * 8 - 1)
 
 
@@ -65,26 +68,31 @@ def fill(filter_part: np.ndarray, base: np.ndarray, key: np.ndarray, count: np.n
     level = 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
     for q in range(1, int(level.max(initial=0)) + 1):
         reach = level >= q
+        h, start = _level_hash(key[reach], q), base[reach]
         for probe in range(PROBES):
-            bit = base[reach] + _bits(key[reach], q, probe)
+            bit = start + _bits(h, probe)
             np.bitwise_or.at(filter_part, bit >> np.uint64(3), np.left_shift(1, (bit & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
 
 def read_counts(bits: np.ndarray, blocks: int, key: np.ndarray) -> np.ndarray:
-    """Estimated counts: the middle of the quantum of the highest level before a gap, 0 for none."""
+    """Estimated counts: the middle of the quantum of the highest level before a gap, 0 for none.
+
+    Equal keys are probed once.
+    """
+    key, back = np.unique(key, return_inverse=True)
     level = np.zeros(len(key), np.int64)
     alive = np.arange(len(key))
     base = block_of(key, blocks) * np.uint64(BLOCK * 8)
     for q in range(1, LEVELS):
+        h = _level_hash(key[alive], q)
         for probe in range(PROBES):
-            bit = base[alive] + _bits(key[alive], q, probe)
-            alive = alive[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                break
+            bit = base[alive] + _bits(h, probe)
+            there = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive, h = alive[there], h[there]
         if not len(alive):
             break
         level[alive] = q
-    return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+    return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)[back]
 
 
 class NgramModel:
@@ -233,7 +241,7 @@ def score_documents(
     vocabulary = stash(word_counts(train))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     entries = pair_counts(train, blocks).unionByName(_word_keys(vocabulary, blocks))
-    filled = entries.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n")).mapInPandas(_build, "block int, bits binary")
+    filled = stash(entries.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n")).mapInPandas(_build, "block int, bits binary"))
     bits = np.zeros(blocks * BLOCK, np.uint8)
     for r in filled.toLocalIterator():
         bits[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["bits"], np.uint8)
