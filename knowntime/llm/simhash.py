@@ -30,17 +30,24 @@ FANOUT = 8
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text; 0 for null and for texts without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` words, repeats included; a shorter text is one run."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(words, len(tokens))
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = (ends - [len(t) + 1 for t in tokens])[: len(tokens) - size + 1].tolist()
     ends = (ends[size - 1 :] - 1).tolist()
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 for null and for texts without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].byteswap().view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
@@ -241,13 +248,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, group_limi
     return fps.join(owner, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """Rows whose doc_id is its component's smallest; all columns are kept.
-
-    A repeated doc_id keeps one row.
-    """
-    owners = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(owners, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
