@@ -9,6 +9,7 @@ whose distrust exceeds ``ratio`` times its trust is blocked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,13 +66,18 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(src, dst, n) links and (host, trusted, blocked) page counts -> (host, trust, distrust).
 
     Both walks advance in one job per round, written to the shared folder, until
-    no total moves by more than ``tolerance`` or ``rounds`` are done. Weight on a
-    host without links in a walk's direction is lost, as with seeds only.
+    the sum over hosts of the absolute changes of both is at most ``tolerance``
+    (looked at every fourth round) or ``rounds`` are done; without ``rounds``, those
+    after which damping leaves no larger change. Totals are 1 at most, so neither
+    depends on the number of hosts. Weight on a host without links in a walk's
+    direction is lost, as with seeds only.
     """
+    if rounds is None:  # a round's change is 2 * damping ** round at most, for two walks
+        rounds = math.ceil(math.log(tolerance / 4) / math.log(damping))
     hosts = stash(links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).union(seeds.select("host")).distinct())
     sums = seeds.agg(F.greatest(F.sum("trusted"), F.lit(1)).alias("t"), F.greatest(F.sum("blocked"), F.lit(1)).alias("b")).first()
     total_t, total_b = (sums["t"] or 1), (sums["b"] or 1)
@@ -86,24 +92,21 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             moves.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("w_t"), (F.col("n") / F.col("in_n")).alias("w_d"))
         )
     )
-    state, before = start.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust")), None
-    for _ in range(rounds):
-        sent = moves.join(state, moves["at"] == state["host"]).groupBy("to").agg(F.sum(F.col("w_t") * F.col("trust")).alias("t"), F.sum(F.col("w_d") * F.col("distrust")).alias("d"))
-        new = stash(
-            start.join(sent, start["host"] == sent["to"], "left").select(
-                "host",
-                ((1 - damping) * F.col("s_t") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-                ((1 - damping) * F.col("s_d") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-            )
+    none = F.lit(0.0)
+    state = start.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust"))
+    restart = start.select("host", ((1 - damping) * F.col("s_t")).alias("t"), ((1 - damping) * F.col("s_d")).alias("d"), none.alias("old_t"), none.alias("old_d"))
+    for done in range(1, rounds + 1):
+        sent = moves.join(state, moves["at"] == state["host"]).select(
+            F.col("to").alias("host"), (damping * F.col("w_t") * F.col("trust")).alias("t"), (damping * F.col("w_d") * F.col("distrust")).alias("d"), none.alias("old_t"), none.alias("old_d")
         )
+        held = state.select("host", none.alias("t"), none.alias("d"), F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        summed = restart.unionByName(sent).unionByName(held).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "old_t", "old_d")])
+        new = stash(summed.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), (F.abs(F.col("t") - F.col("old_t")) + F.abs(F.col("d") - F.col("old_d"))).alias("change")))
         release(state)
         state = new
-        now = state.agg(F.sum(F.col("trust") * F.col("trust")).alias("t"), F.sum(F.col("distrust") * F.col("distrust")).alias("d")).first()
-        now = (now["t"] or 0.0, now["d"] or 0.0)
-        if before and abs(now[0] - before[0]) + abs(now[1] - before[1]) < tolerance:
+        if done % 4 == 0 and (state.agg(F.sum("change").alias("c")).first()["c"] or 0.0) <= tolerance:
             break
-        before = now
-    return state
+    return state.select("host", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, ratio: float = 1.0) -> DataFrame:

@@ -233,6 +233,14 @@ def test_pagerank_equals_dense_iteration(spark):
     assert all(abs(got[h].trust - t[h]) < 1e-12 and abs(got[h].distrust - d[h]) < 1e-12 for h in t)
 
 
+def test_walks_go_on_however_many_seeds_there_are(spark):
+    chains = spark.range(3000).selectExpr("concat('a', id) AS a", "concat('b', id) AS b", "concat('c', id) AS c", "concat('d', id) AS d", "concat('e', id) AS e")
+    links = chains.selectExpr("stack(4, a, b, b, c, c, d, d, e) AS (src, dst)").withColumn("n", F.lit(1).cast("long"))
+    seeds = chains.selectExpr("e AS host", "0L AS trusted", "1L AS blocked")
+    got = {r.host: r.distrust for r in urls.propagate(links, seeds).where("host LIKE '%17'").collect()}
+    assert all(math.isclose(got[f"{h}17"], 0.15 * 0.85**k / 3000, rel_tol=1e-9) for k, h in enumerate("edcba"))
+
+
 @pytest.mark.parametrize("head", [0, 5, 100_000])
 def test_token_counts(spark, head):
     from tokenizers import Tokenizer
