@@ -29,12 +29,17 @@ ALLOWED = (
     r"^[A-Za-z]+$",
     r"^[0-9_=-]+$",
     r"^[A-Za-z]*[0-9]{0,4}$",
-    r"^/?[A-Za-z]+[0-9]{0,4}([/_=+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[/_=+-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)(example|placeholder|changeme|your[_-]|xxxx|abcdef|012345)",
     r"^(.)\1+$",
 )
 
+#: Words with up to 4 digits after them and numbers of up to 8 digits, joined by separators, the
+#: first one a word: a candidate with this start and none of these faults. A pattern that repeats
+#: a group says the same, but Java's matcher takes a stack frame for each repetition.
+JOINED = r"^/?[A-Za-z]"
+NOT_JOINED = r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}|[0-9]{9}"
+
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, rank, end, kind, value>> of the leftmost matches that are long enough.
@@ -83,7 +88,7 @@ def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
 
 def _suspicious(span: Column, base: Column) -> Column:
     value = span["value"]
-    explained = F.lit(False)
+    explained = value.rlike(JOINED) & ~value.rlike(NOT_JOINED)
     for pattern in ALLOWED:
         explained = explained | value.rlike(pattern)
     least = F.when(value.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])

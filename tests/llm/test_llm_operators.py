@@ -142,6 +142,17 @@ def test_secrets(spark):
     assert [tuple(r) for r in clean] == [(1, None, 5), (2, "[SECRET]", 8)]
 
 
+def test_long_joined_runs_are_explained(spark):
+    rng = random.Random(31)
+    texts = ["x" + "-a" * 500_000, "/path/to" + "_b12" * 20_000 + "=="]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n for r in secrets.scan_secrets(docs).select(F.size("spans").alias("n")).collect()] == [0, 0]
+    old = re.compile(r"/?[A-Za-z]+[0-9]{0,4}([/_=+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[/_=+-]*")
+    runs = ["".join(rng.choice(["/", "-", "_", "=", "ab", "Q", "7", "1234", "00"]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    got = spark.createDataFrame([(r,) for r in runs], "v string").select("v", (F.col("v").rlike(secrets.JOINED) & ~F.col("v").rlike(secrets.NOT_JOINED)).alias("ok")).collect()
+    assert all(r.ok == bool(old.fullmatch(r.v)) for r in got) and len({r.ok for r in got}) == 2
+
+
 def test_window_entropy(spark):
     rng = random.Random(6)
     values = ["".join(rng.choice("abcdef0123456789XYZ") for _ in range(rng.randrange(20, 70))) for _ in range(20)]
