@@ -29,7 +29,7 @@ from knowntime.llm._shared import small_batches, stash
 from knowntime.llm.pretokens import WordIds
 
 END_ID = 1
-EXACT = 5_000
+EXACT = 5_000  # rows of one task's sort
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
@@ -121,17 +121,30 @@ def _match(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return inside.unionByName(between), free.select("id", "size"), open_.select("bin", "gap")
 
 
-def _some(rows: DataFrame, have: int, take: int, salt: int) -> DataFrame:
-    """(id, lucky) of ``take`` of the ``have`` rows: exactly so many up to ``EXACT``, beyond that
-    a hashed share, which is off by its square root at most or so."""
+def _some(rows: DataFrame, have: int, take: int, salt: int, exact: int = EXACT) -> DataFrame:
+    """(id, lucky) of exactly ``take`` of the ``have`` rows, those of the smallest hashes.
+
+    Counts per run of hashes tell in which run the last one lies; that run is cut
+    again until it holds ``exact`` rows or fewer, which are then sorted.
+    """
     h = F.xxhash64("id", F.lit(salt))
     if take == have:
-        picked = rows
-    elif take <= EXACT:
-        picked = rows.orderBy(h, "id").limit(take)
-    else:
-        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(take / have * (1 << 30))))
-    return picked.select("id", F.lit(True).alias("lucky"))
+        return rows.select("id", F.lit(True).alias("lucky"))
+    rows, at, picked = rows.withColumn("h", h), 54, []
+    while have > exact and take and at >= 4:
+        run = F.shiftright(F.col("h"), at)
+        counts = sorted((r["run"], r["n"]) for r in rows.groupBy(run.alias("run")).agg(F.count("*").alias("n")).collect())
+        for edge, n in counts:
+            if n > take:
+                break
+            take -= n
+        picked.append(rows.where(run < F.lit(edge)))
+        rows, have, at = rows.where(run == F.lit(edge)), n, at - 10
+    picked.append(rows.orderBy("h", "id").limit(take))
+    out = picked[0]
+    for more in picked[1:]:
+        out = out.unionByName(more)
+    return out.select("id", F.lit(True).alias("lucky"))
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:

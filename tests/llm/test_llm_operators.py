@@ -311,6 +311,13 @@ def test_packing(spark):
     assert len(by_bin) <= 1.03 * len(bins) + 1
 
 
+def test_new_sequences_are_counted_exactly(spark):
+    rows = spark.range(20_000).select("id", F.lit(7).alias("size"))
+    for take in (1, 5_001, 9_999, 19_999, 20_000):
+        assert packing._some(rows, 20_000, take, 3).distinct().count() == take
+    assert packing._some(rows, 20_000, 12_345, 3, 2).distinct().count() == 12_345
+
+
 def test_packing_routes_match_a_stack():
     rng = random.Random(11)
     for _ in range(50):
