@@ -568,32 +568,53 @@ def evenly_spaced_points(spark, sf_dir):
     return sinks.evenly_spaced(events, ["user_id"], "event_id", 20)
 
 
+def _dealt(facts, rows):
+    """``facts`` with ``chunk``: the number of the document that takes a row, by its accession's hash.
+
+    All rows together give a chunk about ``rows``, so no issuer's document holds more,
+    however large its share.
+    """
+    return facts.withColumn("chunk", F.pmod(F.xxhash64("accession_number"), F.lit(facts.count() // rows + 1)))
+
+
+def _fact_documents(facts, rows=5000):
+    """(text): facts as nested JSON documents of bounded size, several per issuer."""
+    obs = F.struct(F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"), F.format_number("value", 2).alias("val"), F.col("accession_number").alias("accn"), F.col("fiscal_year").cast("string").alias("fy"), F.col("fiscal_period").alias("fp"), "form", F.col("filing_date").cast("string").alias("filed"))
+    concepts = _dealt(facts, rows).groupBy("cik", "chunk", "concept").agg(F.collect_list(obs).alias("o")).groupBy("cik", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.create_map(F.lit("USD"), "o").alias("units"))))).alias("c"))
+    return concepts.select(F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), "c").alias("facts"))).alias("text"))
+
+
 @query(_with(A.FACTS_SQL) + " SELECT cik, concept, fiscal_year, accession_number, round(value, 2) AS value, CAST(filing_date AS VARCHAR) AS filing_date FROM facts")
 def company_facts_scan(spark, sf_dir):
-    """Facts written as nested documents, one per issuer, and read back by the scan."""
+    """Facts written as nested documents of bounded size and read back by the scan."""
     facts = A.facts(spark, sf_dir)
-    obs = F.struct(F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"), F.format_number("value", 2).alias("val"), F.col("accession_number").alias("accn"), F.col("fiscal_year").cast("string").alias("fy"), F.col("fiscal_period").alias("fp"), "form", F.col("filing_date").cast("string").alias("filed"))
-    concepts = facts.groupBy("cik", "concept").agg(F.collect_list(obs).alias("o")).groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.create_map(F.lit("USD"), "o").alias("units"))))).alias("c"))
-    docs = concepts.select(F.from_json(F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), "c").alias("facts"))), documents.COMPANY_FACTS).alias("doc"))
+    docs = _fact_documents(facts).select(F.from_json("text", documents.COMPANY_FACTS).alias("doc"))
     filed = facts.select("accession_number", "filing_date", "acceptance_datetime", "form")
     rows = documents.company_facts(docs, filed)
     return rows.select("cik", "concept", _long("fiscal_year").alias("fiscal_year"), "accession_number", _r("value", 2).alias("value"), F.col("filing_date").cast("string").alias("filing_date"))
 
 
+def _submission_documents(facts, rows=5000):
+    """(text), (cik, text): recent and archived filings as JSON of bounded size. Both places
+    of a filing are in documents of the same number."""
+    cols = {"accessionNumber": "accession_number", "filingDate": "filing_date", "form": "form"}
+    row = F.struct("accession_number", F.col("filing_date").cast("string").alias("filing_date"), F.when(F.col("form") == "10-K/A", " ").otherwise(F.col("form")).alias("form"))
+    old = F.col("fiscal_year") < 1998
+    packed = _dealt(facts, rows).groupBy("cik", "chunk").agg(F.array_sort(F.collect_list(F.when(~old, row))).alias("recent"), F.array_sort(F.collect_list(F.when(old | (F.col("fiscal_year") == 1998), row))).alias("archived"))
+    arrays = lambda c: F.to_json(F.struct(*[F.col(f"{c}.{v}").alias(k) for k, v in cols.items()]))
+    subs = packed.select(F.concat(F.lit('{"cik":"'), "cik", F.lit('","filings":{"recent":'), arrays("recent"), F.lit("}}")).alias("text"))
+    return subs, packed.select("cik", arrays("archived").alias("text"))
+
+
 @query(
     """SELECT lpad(CAST(c_nationkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession_number, CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN 'UNKNOWN' ELSE '10-Q' END AS form,
 CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date FROM orders JOIN customer ON o_custkey = c_custkey"""
 )
 def submissions_scan(spark, sf_dir):
-    """Filings as parallel arrays per issuer, half of them archived, scanned with repeats removed."""
-    facts = A.facts(spark, sf_dir)
-    cols = {"accessionNumber": "accession_number", "filingDate": "filing_date", "form": "form"}
-    row = F.struct("accession_number", F.col("filing_date").cast("string").alias("filing_date"), F.when(F.col("form") == "10-K/A", " ").otherwise(F.col("form")).alias("form"))
-    old = F.col("fiscal_year") < 1998
-    packed = facts.groupBy("cik").agg(F.array_sort(F.collect_list(F.when(~old, row))).alias("recent"), F.array_sort(F.collect_list(F.when(old | (F.col("fiscal_year") == 1998), row))).alias("archived"))
-    arrays = lambda c: F.to_json(F.struct(*[F.col(f"{c}.{v}").alias(k) for k, v in cols.items()]))
-    subs = packed.select(F.from_json(F.concat(F.lit('{"cik":"'), "cik", F.lit('","filings":{"recent":'), arrays("recent"), F.lit("}}")), documents.SUBMISSIONS).alias("doc"))
-    archives = packed.select("cik", F.from_json(arrays("archived"), documents.ARCHIVE).alias("doc"))
+    """Filings as parallel arrays of bounded size, half of them archived, scanned with repeats removed."""
+    recent, archived = _submission_documents(A.facts(spark, sf_dir))
+    subs = recent.select(F.from_json("text", documents.SUBMISSIONS).alias("doc"))
+    archives = archived.select("cik", F.from_json("text", documents.ARCHIVE).alias("doc"))
     rows = documents.filings(documents.filing_arrays(subs, archives))
     return rows.select("cik", "accession_number", "form", F.col("filing_date").cast("string").alias("filing_date"))
 

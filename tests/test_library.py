@@ -258,3 +258,14 @@ def test_catalogue_against_duckdb(spark, name):
     assert columns == sorted(want.columns)
     text = lambda df: sorted(tuple("%.6f" % v if isinstance(v, float) and v == v else str(None if v is None or v != v else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert text(got) == text(want)
+
+
+def test_documents_stay_small_when_one_issuer_has_all_facts(spark):
+    facts = spark.range(4000).selectExpr(
+        "'0000000001' AS cik", "'Assets' AS concept", "1.5D AS value", "DATE '1998-01-01' AS start_date", "DATE '1998-12-31' AS end_date", "DATE '1999-02-01' AS filing_date",
+        "CAST(id AS STRING) AS accession_number", "'10-K' AS form", "1998 AS fiscal_year", "'FY' AS fiscal_period",
+    )
+    (recent, archived), scanned = catalogue._submission_documents(facts, 100), catalogue._fact_documents(facts, 100)
+    for made, key in ((scanned, '"accn":"'), (recent, '"10-K"'), (archived, '"10-K"')):
+        held = [r.text.count(key) for r in made.collect()]
+        assert sum(held) == 4000 and max(held) <= 200
