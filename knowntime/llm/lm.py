@@ -4,9 +4,10 @@ Counts of words and of word pairs are quantised, q = 1 + floor(log2 c), and each
 n-gram enters a Bloom filter once for every level up to its q; a count is read
 back by probing levels until one is missing, so it is never too low. Counting is
 a distributed aggregation over all training texts. The filter consists of blocks
-that tasks fill side by side; its size follows the corpus up to ``most_bytes``, a
-proven bound for the broadcast (beyond it the rate of false levels grows, and
-nothing is dropped).
+that tasks fill side by side; their number follows the corpus, so the rate of false
+levels does not grow with it. They are broadcast in successive groups of at most
+``most_bytes``: each pass probes the keys of its own blocks, and the levels found
+travel with the rows to the last pass, which scores.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import frequent, small_batches, stash, training_part
+from knowntime.llm._shared import frequent, release, small_batches, stash, training_part
 
 BLOCK = 1 << 17  # bytes of a filter block
 PROBES = 4
@@ -74,15 +75,14 @@ def fill(filter_part: np.ndarray, base: np.ndarray, key: np.ndarray, count: np.n
             np.bitwise_or.at(filter_part, bit >> np.uint64(3), np.left_shift(1, (bit & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
 
-def read_counts(bits: np.ndarray, blocks: int, key: np.ndarray) -> np.ndarray:
-    """Estimated counts: the middle of the quantum of the highest level before a gap, 0 for none.
-
-    Equal keys are probed once.
-    """
+def read_levels(bits: np.ndarray, blocks: int, key: np.ndarray, low: int = 0) -> np.ndarray:
+    """The highest level before a gap, 0 for none and for keys of other blocks than those
+    in ``bits``, which start with block ``low``. Equal keys are probed once."""
     key, back = np.unique(key, return_inverse=True)
-    level = np.zeros(len(key), np.int64)
-    alive = np.arange(len(key))
-    base = block_of(key, blocks) * np.uint64(BLOCK * 8)
+    level = np.zeros(len(key), np.uint8)
+    place = block_of(key, blocks).astype(np.int64) - low
+    alive = np.flatnonzero((place >= 0) & (place < len(bits) // BLOCK))
+    base = place.astype(np.uint64) * np.uint64(BLOCK * 8)
     for q in range(1, LEVELS):
         h = _level_hash(key[alive], q)
         for probe in range(PROBES):
@@ -92,18 +92,28 @@ def read_counts(bits: np.ndarray, blocks: int, key: np.ndarray) -> np.ndarray:
         if not len(alive):
             break
         level[alive] = q
-    return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)[back]
+    return level[back]
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """The middle of each level's quantum, 0 for none."""
+    return np.where(level > 0, (3.0 * 2.0 ** (level.astype(np.float64) - 1) - 1) / 2, 0.0)
+
+
+def read_counts(bits: np.ndarray, blocks: int, key: np.ndarray) -> np.ndarray:
+    """Estimated counts from a whole filter."""
+    return counts_of(read_levels(bits, blocks, key))
 
 
 class NgramModel:
-    """What scoring needs: the filter and the corpus totals."""
+    """What scoring needs: filter blocks from ``low`` on and the corpus totals."""
 
-    def __init__(self, bits: np.ndarray, blocks: int, tokens: int, distinct: int, weight: float):
-        self.bits, self.blocks, self.tokens, self.distinct, self.weight = bits, blocks, tokens, distinct, weight
+    def __init__(self, bits: np.ndarray, blocks: int, tokens: int, distinct: int, weight: float, low: int = 0):
+        self.bits, self.blocks, self.tokens, self.distinct, self.weight, self.low = bits, blocks, tokens, distinct, weight, low
 
-    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text (its words, then one end), all from filter probes:
-        a mix of the pair estimate c(u, w) / c(u) and the add-one word estimate."""
+    def _levels(self, texts: list[list[bytes]], seen: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of all words, each text's START and END included, and of all pairs;
+        ``seen`` has those that earlier blocks told."""
         ids: dict[bytes, int] = {START: 0, END: 1}
         flat: list[int] = []
         for t in texts:
@@ -111,17 +121,34 @@ class NgramModel:
             flat += [ids.setdefault(w, len(ids)) for w in t]
             flat.append(1)
         key = np.fromiter(map(word_key, ids), np.uint64, len(ids))
-        count = read_counts(self.bits, self.blocks, key)
         seq = np.array(flat, np.int64)
-        first, second = seq[:-1], seq[1:]
-        inside = first != 1
-        first, second = first[inside], second[inside]
-        pair = read_counts(self.bits, self.blocks, pair_key(key[first], key[second]))
-        alone = (count[second] + 1) / (self.tokens + self.distinct + 1)
-        context = count[first]
+        inside = seq[:-1] != 1
+        word = read_levels(self.bits, self.blocks, key, self.low)[seq]
+        pair = read_levels(self.bits, self.blocks, pair_key(key[seq[:-1][inside]], key[seq[1:][inside]]), self.low)
+        if seen is not None and texts:
+            word = np.maximum(word, np.frombuffer(b"".join(s[: len(t) + 2] for s, t in zip(seen, texts)), np.uint8))
+            pair = np.maximum(pair, np.frombuffer(b"".join(s[len(t) + 2 :] for s, t in zip(seen, texts)), np.uint8))
+        return word, pair
+
+    def levels(self, texts: list[list[bytes]], seen: list[bytes] | None) -> list[bytes]:
+        """Per text a byte for each word, then for each pair."""
+        word, pair = (x.tobytes() for x in self._levels(texts, seen))
+        out, w, p = [], 0, 0
+        for t in texts:
+            out.append(word[w : w + len(t) + 2] + pair[p : p + len(t) + 1])
+            w, p = w + len(t) + 2, p + len(t) + 1
+        return out
+
+    def log10(self, texts: list[list[bytes]], seen: list[bytes] | None = None) -> np.ndarray:
+        """log10 probability of each text (its words, then one end), all from filter probes:
+        a mix of the pair estimate c(u, w) / c(u) and the add-one word estimate."""
+        word, pair = map(counts_of, self._levels(texts, seen))
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1  # of each text, in word
+        context, count = np.delete(word, ends), np.delete(word, ends - sizes)
+        alone = (count + 1) / (self.tokens + self.distinct + 1)
         ratio = np.minimum(np.divide(pair, context, out=np.zeros_like(pair), where=context > 0), 1.0)
         log = np.log10(self.weight * ratio + (1 - self.weight) * alone)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
         return np.add.reduceat(log, np.cumsum(sizes) - sizes) if len(texts) else np.zeros(0)
 
 
@@ -229,7 +256,8 @@ def score_documents(
     ``held_out`` (a null doc_id trains). A null text is an empty one: its only
     token is the end. ``base_score`` uses exact counts: those of the ``head`` most
     frequent words by broadcast, the rest by a join. With no training rows every
-    count is 0. Each row gives a row, also when doc_ids repeat.
+    count is 0. Each row gives a row, also when doc_ids repeat. ``most_bytes`` bounds
+    what is broadcast at a time, not the filter.
     """
     sc = docs.sparkSession.sparkContext
     rows = small_batches(docs).select(
@@ -237,16 +265,37 @@ def score_documents(
     )
     train = rows.where(~F.col("held_out")).select("text")
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, min(most_bytes, size // 12) // BLOCK)
+    blocks, group = max(1, size // 12 // BLOCK), max(1, most_bytes // BLOCK)
     vocabulary = stash(word_counts(train))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     entries = pair_counts(train, blocks).unionByName(_word_keys(vocabulary, blocks))
     filled = stash(entries.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n")).mapInPandas(_build, "block int, bits binary"))
-    bits = np.zeros(blocks * BLOCK, np.uint8)
-    for r in filled.toLocalIterator():
-        bits[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["bits"], np.uint8)
-    model = sc.broadcast((bits, blocks, totals["tokens"], totals["distinct"], weight))
-    del bits
+
+    def loaded(low: int):
+        bits = np.zeros(min(group, blocks - low) * BLOCK, np.uint8)
+        for r in filled.where((F.col("block") >= low) & (F.col("block") < low + group)).toLocalIterator():
+            at = (r["block"] - low) * BLOCK
+            bits[at : at + BLOCK] = np.frombuffer(r["bits"], np.uint8)
+        return sc.broadcast((bits, blocks, totals["tokens"], totals["distinct"], weight, low))
+
+    def probed(state: DataFrame, model) -> DataFrame:
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lm = NgramModel(*model.value)
+            for batch in batches:
+                seen = None if batch["seen"].isna().any() else list(batch["seen"])
+                yield batch.assign(seen=lm.levels([words(t) for t in batch["text"]], seen))
+
+        return stash(state.mapInPandas(probe, "row long, doc_id long, text string, held_out boolean, seen binary"))
+
+    state = rows.withColumn("seen", F.lit(None).cast("binary"))
+    *earlier, last = range(0, blocks, group)
+    for low in earlier:
+        some = loaded(low)
+        new = probed(state, some)
+        some.destroy()
+        release(state)
+        state = new
+    model = loaded(last)
 
     least, common = frequent(vocabulary, head)
     known = sc.broadcast({bytes(r["word"]): r["n"] for r in common.toLocalIterator()})
@@ -265,10 +314,10 @@ def score_documents(
                     hits.append(len(n))
                     rare.append([w for w, c in zip([*t, END], found) if c is None])
                 yield pd.DataFrame(
-                    {"row": some["row"].to_numpy(), "doc_id": some["doc_id"].to_numpy(), "held_out": some["held_out"].to_numpy(), "n_tokens": [len(t) + 1 for t in texts], "hits": hits, "base": base, "score": lm.log10(texts), "rare": rare}
+                    {"row": some["row"].to_numpy(), "doc_id": some["doc_id"].to_numpy(), "held_out": some["held_out"].to_numpy(), "n_tokens": [len(t) + 1 for t in texts], "hits": hits, "base": base, "score": lm.log10(texts, None if some["seen"].isna().any() else list(some["seen"])), "rare": rare}
                 )
 
-    parts = stash(rows.mapInPandas(score, "row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<binary>"))
+    parts = stash(state.mapInPandas(score, "row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<binary>"))
     rest = (
         parts.where("size(rare) > 0").select("row", F.explode("rare").alias("word"))
         .join(vocabulary.where(F.col("n") < F.lit(least)), "word")

@@ -356,6 +356,15 @@ def test_lm_scores(spark):
         assert abs(np.mean(gap)) < 0.25  # counts are kept to a factor of two
 
 
+def test_lm_filter_in_groups_scores_like_the_whole(spark):
+    rng = random.Random(13)
+    texts = [*odd_texts(rng), *[" ".join(f"word{int(rng.paretovariate(0.7)) % 20_000}" for _ in range(2000)) for _ in range(320)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(len((t or "").encode()) for t in texts) * 6 // 7 > 12 * 2 * lm.BLOCK
+    whole, parts = ({r.doc_id: r for r in lm.score_documents(docs, most_bytes=n).collect()} for n in (1 << 27, lm.BLOCK))
+    assert whole == parts and len(whole) == len(texts)
+
+
 def test_bloom_counts_are_never_too_low():
     key = lm.mix(np.arange(1, 4000, dtype=np.uint64))
     count = np.tile([1, 2, 3, 9, 40, 1000], 667)[: len(key)]
