@@ -1,42 +1,49 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Texts become pieces of at most ``capacity`` tokens. Pieces over half of it open a
-sequence each; from then on every round
-
-1. range-sorts the unplaced pieces and the open gaps together, largest first;
-2. sweeps down each range: a piece takes the smallest gap above it that no larger
-   piece has taken (its successor; ranks resolve who takes which), and what a
-   range leaves over is matched to the ranges above it by rank intervals;
-3. takes the placed pieces off their gaps, and opens new sequences, as few as
-   their sum demands, for the largest pieces that no gap can hold.
-
-Only counts per range and a histogram of at most ``capacity`` lengths reach the
-driver; pieces, gaps and matches stay in the shared folder between rounds.
+Texts become pieces of at most ``capacity`` tokens, which one range sort puts in
+order, longest first, each with its rank. Gaps of sequences are kept in order too,
+widest first, each with its position. A round takes the pieces of one band of
+lengths, from ``capacity`` down by a factor of ``STEP``:
+
+1. a successor sweep goes down the lengths of the band. A length takes the smallest
+   gap that holds it, as often as it fits, then the next one, and a new sequence only
+   where no gap is left. As lengths and widths are whole numbers up to ``capacity``,
+   it moves whole runs of equal gaps: it needs only how many there are of each;
+2. tasks sweep their sorted pieces against these runs: ranks within a run decide
+   which piece takes which gap, and a join by position brings the two together;
+3. tasks take the placed pieces off their gaps and give the gaps their positions in
+   the new order, for the next round.
+
+The result is that of sequential best fit over falling lengths. Only counts by length
+(``capacity`` of them at most) and by range reach the driver; pieces, gaps and
+matches stay in the shared folder.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import small_batches, stash
-from knowntime.llm.pretokens import WordIds
+from knowntime.llm._shared import release, small_batches, stash
+from knowntime.llm.pretokens import word_ids
 
 END_ID = 1
-EXACT = 5_000  # rows of one task's sort
+STEP = 8
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """documents -> (pid, doc_id, piece, start, length, ids_crc32); a null text is only its end."""
+    """documents -> (doc_id, piece, start, length, ids_crc32); a null text is only its end."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = WordIds(path), END_ID.to_bytes(4, "little")
+        encode, end = word_ids(path), END_ID.to_bytes(4, "little")
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -46,142 +53,146 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    made = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return made.withColumn("pid", F.monotonically_increasing_id())
-
-
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One range, largest first: matches (kind 2), pieces and gaps left over with their ranks."""
-    part = TaskContext.get().partitionId()
-    stack: list[tuple[int, int]] = []
-    left = 0
-    for batch in batches:
-        pid, length, bin_, gap, late = [], [], [], [], []
-        for kind, ident, size in zip(batch["kind"].tolist(), batch["id"].tolist(), batch["size"].tolist()):
-            if kind == 0:
-                stack.append((ident, size))
-            elif stack:
-                b, g = stack.pop()
-                pid.append(ident), length.append(size), bin_.append(b), gap.append(g)
-            else:
-                late.append((ident, size))
-        yield pd.DataFrame({"kind": 2, "part": part, "rank": 0, "id": pid, "size": length, "bin": bin_, "gap": gap})
-        yield pd.DataFrame({"kind": 1, "part": part, "rank": left + np.arange(len(late)), "id": [x[0] for x in late], "size": [x[1] for x in late], "bin": 0, "gap": 0})
-        left += len(late)
-    yield pd.DataFrame({"kind": 0, "part": part, "rank": np.arange(len(stack)), "id": [x[0] for x in stack], "size": [x[1] for x in stack], "bin": 0, "gap": 0})
-
-
-def _routes(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Ranges' (pieces, gaps) left over, largest first -> (piece range, first rank, end rank,
-    gap range, gap rank of the first piece); gap ranks fall as piece ranks rise."""
-    stack: list[list[int]] = []
-    out = []
-    for part in sorted(left):
-        pieces, gaps = left[part]
-        at = 0
-        while at < pieces and stack:
-            source, count = stack[-1]
-            take = min(pieces - at, count)
-            out.append((part, at, at + take, source, count - 1))
-            at += take
-            if take == count:
-                stack.pop()
-            else:
-                stack[-1][1] -= take
-        if gaps:
-            stack.append([part, gaps])
-    return out
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECE)
+
+
+class Order:
+    """Ranks of range-sorted rows: rows of earlier ranges, then the place in the own one."""
+
+    def __init__(self, counts: list[tuple[int, int, int]]):
+        """``counts``: (range, length, rows) of a table sorted by falling length."""
+        counts = sorted(counts, key=lambda c: (c[0], -c[1]))
+        self.ranges = np.array(sorted({c[0] for c in counts}), np.int64)
+        before = np.cumsum([0, *(c[2] for c in counts)])
+        self.before = before[np.searchsorted([c[0] for c in counts], self.ranges)]
+        self.lengths: dict[int, list[int]] = {}  # length -> first rank, rows
+        for first, (_, length, n) in zip(before.tolist(), counts):
+            self.lengths.setdefault(length, [first, 0])[1] += n
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Ranks of ``monotonically_increasing_id`` values: range and row within it."""
+        return self.before[np.searchsorted(self.ranges, place >> 33)] + (place & ((1 << 33) - 1))
+
+
+class Runs:
+    """Runs of equally wide gaps, told by their positions at the start of a round."""
+
+    def __init__(self, gaps: dict[int, int]):
+        """``gaps``: number of gaps by width; the widest have the first positions."""
+        self.by_width: dict[int, list[tuple[int, int]]] = {}
+        self.widths: list[int] = []
+        self.total = 0
+        for width in sorted(gaps, reverse=True):
+            self.put(width, self.total, self.total + gaps[width])
+            self.total += gaps[width]
+
+    def put(self, width: int, low: int, high: int) -> None:
+        if low == high:
+            return
+        if width not in self.by_width:
+            self.by_width[width] = []
+            insort(self.widths, width)
+        self.by_width[width].append((low, high))
+
+    def take(self, least: int, capacity: int, fresh: int) -> tuple[int, int, int]:
+        """The first run of the smallest width that holds ``least``; else ``fresh`` new sequences."""
+        at = bisect_left(self.widths, least)
+        if at == len(self.widths):
+            self.put(capacity, self.total, self.total + fresh)
+            self.total += fresh
+        width = self.widths[at]
+        low, high = self.by_width[width].pop()
+        if not self.by_width[width]:
+            del self.by_width[width]
+            self.widths.pop(at)
+        return width, low, high
+
+    def order(self) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """(ends of the old runs, what to add for the new position or -1 where the gap is
+        filled, number of gaps by width), old runs in order."""
+        first, at, gaps = {}, 0, {}
+        for width in reversed(self.widths):
+            for low, high in sorted(self.by_width[width]):
+                first[low, high] = at if width else None
+                if width:
+                    at += high - low
+                    gaps[width] = gaps.get(width, 0) + high - low
+        runs = sorted(first)
+        return np.array([h for _, h in runs], np.int64), np.array([-1 if first[r] is None else first[r] - r[0] + self.total for r in runs], np.int64), gaps
+
+
+def sweep(lengths: list[tuple[int, int, int]], runs: Runs, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, pieces), longest first -> (first rank, pieces a gap, first position,
+    offset, length) of each run of matches, in the order of ranks; ``runs`` is kept up."""
+    routes = []
+    for length, rank, n in lengths:
+        while n:
+            width, low, high = runs.take(length, capacity, -(-n // (capacity // length)))
+            each = min(width // length, n)
+            gaps = min(high - low, n // each)
+            routes.append((rank, each, low, capacity - width, length))
+            runs.put(width - each * length, low, low + gaps)
+            runs.put(width, low + gaps, high)
+            rank, n = rank + gaps * each, n - gaps * each
+    return routes
+
+
+def _matched(pieces: DataFrame, order: Order, routes: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Each piece with the position of its gap and its offset."""
+    first, each, position, offset, length = np.array(routes, np.int64).T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rank = order.rank(batch.pop("place").to_numpy())
+            r = np.searchsorted(first, rank, "right") - 1
+            gap, nth = np.divmod(rank - first[r], each[r])
+            yield batch.assign(position=position[r] + gap, offset=offset[r] + nth * length[r])
+
+    return pieces.mapInPandas(run, f"{PIECE}, position long, offset long")
 
 
-def _match(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One global sweep -> (matches as id, size, bin, gap; pieces and gaps still free)."""
+def _moved(gaps: DataFrame, ends: np.ndarray, shift: np.ndarray, total: int) -> DataFrame:
+    """Gaps that are left, at their positions in the new order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            by = shift[np.searchsorted(ends, batch["position"].to_numpy(), "right")]
+            yield batch.assign(position=batch["position"] + by - total)[by >= 0]
+
+    return gaps.mapInPandas(run, "position long, sequence_id long")
+
+
+def best_fit(pieces: DataFrame, capacity: int, step: int = STEP) -> DataFrame:
+    """Pieces of 1 to ``capacity`` tokens -> the same rows with sequence_id and offset."""
     spark = pieces.sparkSession
-    rows = gaps.select(F.lit(0).alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size")).unionByName(pieces.select(F.lit(1).alias("kind"), "id", "size"))
-    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    swept = stash(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_sweep, "kind int, part int, rank long, id long, size long, bin long, gap long")
-    )
-    left: dict[int, tuple[int, int]] = {}
-    for r in swept.where("kind < 2").groupBy("part").agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("g")).collect():
-        left[r["part"]] = (r["p"], r["g"])
-    found = _routes(left)
-    inside = swept.where("kind = 2").select("id", "size", "bin", "gap")
-    free = swept.where("kind = 1").select("part", "rank", "id", "size")
-    open_ = swept.where("kind = 0").select(F.col("part").alias("source"), F.col("rank").alias("g_rank"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-    if not found:
-        return inside, free.select("id", "size"), open_.select("bin", "gap")
-    routes = F.broadcast(spark.createDataFrame(found, "part int, first long, last long, source int, top long"))  # two rows a range at most
-    goes = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-    to = free.join(routes, "part").where(goes).select("id", "size", "source", (F.col("top") - (F.col("rank") - F.col("first"))).alias("g_rank"))
-    between = stash(to.join(open_, ["source", "g_rank"]).select("id", "size", "bin", "gap"))
-    here = F.col("f.part") == F.col("r.part")
-    free = free.alias("f").join(routes.alias("r"), here & goes, "left_anti")
-    taken = (F.col("o.source") == F.col("r.source")) & (F.col("g_rank") <= F.col("top")) & (F.col("g_rank") > F.col("top") - (F.col("last") - F.col("first")))
-    open_ = open_.alias("o").join(routes.alias("r"), taken, "left_anti")
-    return inside.unionByName(between), free.select("id", "size"), open_.select("bin", "gap")
-
-
-def _some(rows: DataFrame, have: int, take: int, salt: int, exact: int = EXACT) -> DataFrame:
-    """(id, lucky) of exactly ``take`` of the ``have`` rows, those of the smallest hashes.
-
-    Counts per run of hashes tell in which run the last one lies; that run is cut
-    again until it holds ``exact`` rows or fewer, which are then sorted.
-    """
-    h = F.xxhash64("id", F.lit(salt))
-    if take == have:
-        return rows.select("id", F.lit(True).alias("lucky"))
-    rows, at, picked = rows.withColumn("h", h), 54, []
-    while have > exact and take and at >= 4:
-        run = F.shiftright(F.col("h"), at)
-        counts = sorted((r["run"], r["n"]) for r in rows.groupBy(run.alias("run")).agg(F.count("*").alias("n")).collect())
-        for edge, n in counts:
-            if n > take:
-                break
-            take -= n
-        picked.append(rows.where(run < F.lit(edge)))
-        rows, have, at = rows.where(run == F.lit(edge)), n, at - 10
-    picked.append(rows.orderBy("h", "id").limit(take))
-    out = picked[0]
-    for more in picked[1:]:
-        out = out.unionByName(more)
-    return out.select("id", F.lit(True).alias("lucky"))
-
-
-def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
-    """(pid, length) of stored pieces -> (pid, sequence_id, offset); each sequence is named
-    after the piece that opened it."""
-    all_ = pieces.select(F.col("pid").alias("id"), F.col("length").alias("size"))
-    opened = all_.where(F.col("size") * 2 > capacity)
-    placed = [opened.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    gaps = opened.where(F.col("size") < capacity).select(F.col("id").alias("bin"), (capacity - F.col("size")).alias("gap"))
-    waiting = all_.where(F.col("size") * 2 <= capacity)
-    while True:
-        matched, waiting, spare = _match(waiting, gaps)
-        placed.append(matched.select("id", "bin", (capacity - F.col("gap")).alias("offset")))
-        gaps = spare.unionByName(matched.where("gap > size").select("bin", (F.col("gap") - F.col("size")).alias("gap")))
-        histogram = {r["size"]: r["n"] for r in waiting.groupBy("size").agg(F.count("*").alias("n")).collect()}
-        if not histogram:
-            break
-        widest = gaps.agg(F.max("gap").alias("g")).first()["g"] or 0
-        stuck = {s: n for s, n in histogram.items() if s > widest}
-        need = -(-sum(s * n for s, n in stuck.items()) // capacity)
-        if need:  # the largest pieces open; of the last size as many as are still needed
-            cut, take = None, 0
-            for s in sorted(stuck, reverse=True):
-                cut, take = s, min(need, stuck[s])
-                need -= take
-                if not need:
-                    break
-            lucky = stash(_some(waiting.where(F.col("size") == cut), stuck[cut], take, len(placed)))
-            marked = waiting.join(lucky, "id", "left").withColumn("new", (F.col("size") > cut) | F.coalesce("lucky", F.lit(False)))
-            fresh = marked.where("new").select("id", "size")
-            placed.append(fresh.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
-            gaps = gaps.unionByName(fresh.where(F.col("size") < capacity).select(F.col("id").alias("bin"), (capacity - F.col("size")).alias("gap")))
-            waiting = marked.where("not new").select("id", "size")
+    by_length = [F.desc("length"), F.asc("id")]
+    ordered = pieces.repartitionByRange(*by_length).sortWithinPartitions(*by_length).drop("id")
+    ordered = stash(ordered.withColumn("place", F.monotonically_increasing_id()))
+    order = Order([tuple(r) for r in ordered.groupBy(F.shiftright("place", 33), "length").count().collect()])
+    bands = [capacity]
+    while bands[-1]:
+        bands.append(bands[-1] // step)
+    gaps, widths, opened, placed = None, {}, 0, []
+    for high, low in pairwise(bands):
+        lengths = [(s, *order.lengths[s]) for s in range(high, low, -1) if s in order.lengths]
+        if not lengths:
+            continue
+        runs = Runs(widths)
+        had = runs.total
+        routes = sweep(lengths, runs, capacity)
+        new = spark.range(had, runs.total).select(F.col("id").alias("position"), (F.col("id") - had + opened).alias("sequence_id"))
+        gaps = new if gaps is None else gaps.unionByName(new)
+        opened += runs.total - had
+        band = ordered.where((F.col("length") <= high) & (F.col("length") > low))
+        placed.append(_matched(band, order, routes).join(gaps, "position").drop("position"))
+        ends, shift, widths = runs.order()
+        gaps = stash(_moved(gaps, ends, shift, runs.total))
+    if not placed:
+        return ordered.drop("place").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("id").alias("pid"), F.col("bin").alias("sequence_id"), "offset")
+    return out
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
@@ -189,8 +200,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFram
 
     ``path`` names the tokenizer's file. Texts longer than ``capacity`` tokens (their
     end included) are cut, others never. Null and empty texts are one end token.
-    Rows with equal doc_id are packed each for itself. Gaps lie at the end of
+    Rows with equal or null doc_id are packed each for itself. Gaps lie at the end of
     sequences only.
     """
-    pieces = stash(token_pieces(docs, path, capacity))
-    return pieces.join(best_fit(pieces, capacity), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = stash(token_pieces(docs, path, capacity).withColumn("id", F.monotonically_increasing_id()))
+    out = best_fit(pieces, capacity)
+    release(pieces)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -24,6 +25,9 @@ WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: fraction digits are not among them.
 KNOWN = re.compile("[\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u036f\\u2010-\\u2060\\u20a0-\\u20bf\\u3041-\\u3096\\u30a1-\\u30fa]*")
 
+#: White space for ``str.split`` alone.
+SEPARATORS = re.compile("[\\x1c-\\x1f]")
+
 
 def load(path: str):
     from tokenizers import Tokenizer
@@ -60,37 +64,53 @@ class BytePretokens:
         return np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)).tolist()
 
 
-class WordIds:
+class WordIds(dict):
     """Token ids of texts under a word BPE tokenizer, as little-endian 32-bit strings.
 
-    Ids are found once per distinct pre-token. The memo keeps the pre-tokens that it
-    met first (frequent ones come early) when it reaches ``most`` entries, so
-    memory is bounded.
+    Pre-tokens never cross white space, so a text is split there and the dictionary
+    keeps the ids of each run of other characters. When it reaches ``most`` entries only the
+    ``keep`` that it met first stay (frequent ones come early), so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 250_000, keep: int = 60_000):
+    def __init__(self, path: str, most: int = 400_000, keep: int = 120_000):
+        super().__init__()
         self.tokenizer = load(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.memo: dict[str, bytes] = {}
         self.most, self.keep = most, keep
 
     def __call__(self, text: str) -> bytes:
-        if (self.special is not None and self.special.search(text)) or not KNOWN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORD_PATTERN.findall(unicodedata.normalize("NFC", text).lower())
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.memo.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        if len(self.memo) + len(new) > self.most:
-            self.memo = dict(islice(self.memo.items(), self.keep))
-            new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        tokenize, cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        for w in new:
-            parts = [w] if w.isascii() and w.isprintable() else [p for p, _ in cut(w)]  # other bytes have stand-ins in the vocabulary
-            self.memo[w] = b"".join(t.id.to_bytes(4, "little") for p in parts for t in tokenize(p))
+        if self.special is not None and self.special.search(text):
+            return self._encoded(text)
+        if KNOWN.fullmatch(text):
+            text = unicodedata.normalize("NFC", text).lower()
+        elif SEPARATORS.search(text):
+            return self._encoded(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        if KNOWN.fullmatch(run):
+            plain = unicodedata.normalize("NFC", run).lower()
+            tokenize, cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            if plain.isascii() and plain.isprintable():
+                words = [plain] if plain.isalpha() else WORD_PATTERN.findall(plain)
+            else:  # other bytes have stand-ins in the vocabulary
+                words = [w for w, _ in cut(plain)]
+            ids = b"".join([t.id.to_bytes(4, "little") for w in words for t in tokenize(w)])
+        else:
+            ids = self._encoded(run)
+        if len(self) >= self.most:
+            first = list(islice(self.items(), self.keep))
+            self.clear()
+            self.update(first)
+        self[run] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, kept from task to task."""
+    return WordIds(path)

@@ -1,5 +1,6 @@
 """Each operator against brute force, with nulls, empty and odd texts, ties, repeats and clashing columns."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -266,6 +267,17 @@ def test_token_counts(spark, head):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_word_ids_of_any_character():
+    from tokenizers import Tokenizer
+
+    word = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = pretokens.WordIds(tokenizer_path("word_bpe_49k.json"), most=500, keep=50)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F640)]):
+        s = f"Aa{c}b{c} {c}c it's{c}  d{c}"
+        assert np.frombuffer(ids(s), "<u4").tolist() == word.encode(s, add_special_tokens=False).ids, hex(ord(c))
+    assert len(ids) <= 500
+
+
 def test_known_characters_agree():
     from tokenizers import Tokenizer
 
@@ -300,36 +312,42 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 128
-    bins = []  # sequential best fit, decreasing
-    for size in sorted((r.length for r in got), reverse=True):
-        fits = [g for g in bins if g >= size]
-        if fits:
-            bins.remove(min(fits))
-            bins.append(min(fits) - size)
-        else:
-            bins.append(128 - size)
-    assert len(by_bin) <= 1.03 * len(bins) + 1
+    assert len(by_bin) == len(best_fit_decreasing([r.length for r in got], 128))
+    same = packing.pack_documents(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c"), (1, "d")], DOC), path, capacity=4).collect()
+    assert sorted(str(r.doc_id) for r in same) == ["1", "1", "None", "None"] and len({r.sequence_id for r in same}) == 3
+    assert all(r.offset + r.length <= 4 for r in same)
 
 
-def test_new_sequences_are_counted_exactly(spark):
-    rows = spark.range(20_000).select("id", F.lit(7).alias("size"))
-    for take in (1, 5_001, 9_999, 19_999, 20_000):
-        assert packing._some(rows, 20_000, take, 3).distinct().count() == take
-    assert packing._some(rows, 20_000, 12_345, 3, 2).distinct().count() == 12_345
+def best_fit_decreasing(sizes, capacity):
+    """Widths that sequential best fit leaves."""
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        left = gaps.pop(at) - size if at < len(gaps) else capacity - size
+        bisect.insort(gaps, left)
+    return gaps
 
 
-def test_packing_routes_match_a_stack():
+@pytest.mark.parametrize("step", [2, 8, 1000])
+def test_sweeps_equal_sequential_best_fit(step):
     rng = random.Random(11)
-    for _ in range(50):
-        left = {p: (rng.randrange(4), rng.randrange(4)) for p in range(8)}
-        stack, want = [], []
-        for p in sorted(left):
-            for i in range(left[p][0]):
-                if stack:
-                    want.append((p, i, *stack.pop()))
-            stack += [(p, k) for k in range(left[p][1])]
-        got = [(p, i, g, top - (i - lo)) for p, lo, hi, g, top in packing._routes(left) for i in range(lo, hi)]
-        assert got == want
+    for _ in range(60):
+        capacity = rng.choice([7, 30, 128])
+        sizes = [rng.randint(1, rng.choice([3, capacity])) for _ in range(rng.randrange(1, 400))]
+        counts, rank, widths, had = Counter(sizes), 0, {}, 0
+        lengths = {}
+        for size in sorted(counts, reverse=True):
+            lengths[size] = (size, rank, counts[size])
+            rank += counts[size]
+        high = capacity
+        while high:
+            runs = packing.Runs(widths)
+            routes = packing.sweep([lengths[s] for s in range(high, high // step, -1) if s in lengths], runs, capacity)
+            assert [r[0] for r in routes] == sorted({r[0] for r in routes})
+            _, _, widths = runs.order()
+            high //= step
+        want = Counter(best_fit_decreasing(sizes, capacity))
+        assert widths == {w: n for w, n in want.items() if w}
 
 
 def test_lm_scores(spark):
