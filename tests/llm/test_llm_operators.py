@@ -353,44 +353,73 @@ def test_sweeps_equal_sequential_best_fit(step):
 def test_lm_scores(spark):
     rng = random.Random(12)
     texts = [*odd_texts(rng), *[prose(rng, 30) for _ in range(60)]]
-    rows = [(i, t, 0) for i, t in enumerate(texts)]
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(20, texts[20], 0)]
+
+    def cut(text):
+        return lm.words((text or "").encode())
+
     for head in (0, 300_000):
         got = lm.score_documents(spark.createDataFrame(rows, DOC + ", score int"), head=head).collect()
         train = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
         one, two = Counter(), Counter()
         for t in train:
-            w = [lm.START, *lm.words(t), lm.END]
+            w = [lm.START, *cut(t), lm.END]
             one.update(w)
             two.update(zip(w, w[1:]))
         starts = one.pop(lm.START)
         n, v = sum(one.values()), len(one)
         gap = []
+        assert len(got) == len(rows)
         for r in got:
-            w = [*lm.words(texts[r.doc_id]), lm.END]
+            w = [*cut(texts[r.doc_id]), lm.END]
             assert r.n_tokens == len(w) and r.n_known == sum(one[x] > 0 for x in w) and r.train_tokens == n and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
             assert math.isclose(r.base_score, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-12)
-            exact = sum(math.log10(0.6 * min(1, two[a, b] / c if (c := starts if a == lm.START else one[a]) else 0) + 0.4 * (one[b] + 1) / (n + v + 1)) for a, b in zip([lm.START, *w], w))
+            exact = 0.0
+            for a, b in zip([lm.START, *w], w):
+                alone, c = (one[b] + 1) / (n + v + 1), starts if a == lm.START else one[a]
+                exact += math.log10(0.8 * (two[a, b] + 2 * alone) / (c + 2) + 0.2 * alone)
             gap.append((r.score - exact) / len(w))
         assert abs(np.mean(gap)) < 0.25  # counts are kept to a factor of two
+    held = lm.score_documents(spark.createDataFrame([(None, None), (None, "a b"), (None, "a b")], DOC)).collect()
+    assert sorted(r.n_tokens for r in held) == [1, 3, 3] and not any(r.held_out for r in held)
+
+
+def test_lm_learns_the_order_of_words(spark):
+    rng = random.Random(14)
+    after = {w: rng.sample(WORDS, 3) for w in WORDS}
+    texts = []
+    for _ in range(300):
+        w = [rng.choice(WORDS)]
+        for _ in range(80):
+            w.append(rng.choice(after[w[-1]]))
+        texts.append(" ".join(w))
+    got = [r for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), DOC)).collect() if r.held_out]
+    assert len(got) > 20 and all(r.score > r.base_score * 0.8 for r in got)
+    twice = lm.score_documents(spark.createDataFrame([(i, " ".join(f"w{k}x{j}" for j in range(50))) for i, k in enumerate([*range(40), *range(20)])], DOC)).collect()
+    trains = Counter(k for i, k in enumerate([*range(40), *range(20)]) if zlib.crc32(str(i).encode()) % 7 != 2)
+    score = {r.doc_id: r.score for r in twice}
+    assert min(score[k] for k in range(40) if trains[k] == 2) > max(score[k] for k in range(40) if trains[k] == 1)
 
 
 def test_lm_filter_in_groups_scores_like_the_whole(spark):
     rng = random.Random(13)
     texts = [*odd_texts(rng), *[" ".join(f"word{int(rng.paretovariate(0.7)) % 20_000}" for _ in range(2000)) for _ in range(320)]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sum(len((t or "").encode()) for t in texts) * 6 // 7 > 12 * 2 * lm.BLOCK
+    assert sum(len((t or "").encode()) for t in texts) * 6 // 7 > 8 * 2 * lm.BLOCK
     whole, parts = ({r.doc_id: r for r in lm.score_documents(docs, most_bytes=n).collect()} for n in (1 << 27, lm.BLOCK))
     assert whole == parts and len(whole) == len(texts)
 
 
 def test_bloom_counts_are_never_too_low():
-    key = lm.mix(np.arange(1, 4000, dtype=np.uint64))
+    key = np.sort(lm.mix(np.arange(1, 4000, dtype=np.uint64)))
     count = np.tile([1, 2, 3, 9, 40, 1000], 667)[: len(key)]
-    bits = np.zeros(4 * lm.BLOCK, np.uint8)
-    lm.fill(bits, lm.block_of(key, 4) * np.uint64(lm.BLOCK * 8), key, count)
-    got = lm.read_counts(bits, 4, key)
-    assert (got >= 2.0 ** np.floor(np.log2(count))).all()
-    assert (lm.read_counts(bits, 4, lm.mix(key)) == 0).mean() > 0.99
+    cells = np.zeros(4 * lm.CELLS, np.uint64)
+    block = lm.block_of(key, 4)
+    for b in range(4):
+        lm.fill(cells[b * lm.CELLS : (b + 1) * lm.CELLS], key[block == b], count[block == b])
+    got = lm.counts_of(lm.read_levels(cells, 4, key))
+    assert (got >= 2.0 ** np.floor(np.log2(count))).all() and (lm.read_levels(cells, 4, lm.mix(key)) == 0).mean() > 0.99
+    assert (lm.read_levels(cells[2 * lm.CELLS :], 4, key, 2) == np.where(block < 2, 0, lm.read_levels(cells, 4, key))).all()
 
 
 def test_language_id(spark):
