@@ -12,6 +12,8 @@ Positions are code points, end exclusive. Null texts are scanned as empty ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ BASE_KINDS = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+CHUNK = 128  # matches whose positions are summed at a time
 #: Bits per character that a window must reach, for either class.
 THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
 ALLOWED = (
@@ -41,14 +44,20 @@ JOINED = r"^/?[A-Za-z]"
 NOT_JOINED = r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}|[0-9]{9}"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, rank, end, kind, value>> of the leftmost matches that are long enough.
 
     The text between matches and the matches themselves come from the same
-    matcher, so their lengths add up to positions.
+    matcher, so their lengths add up to positions: within chunks of ``CHUNK`` matches
+    first, then over chunks, as each step of a sum copies what it has gathered.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
@@ -57,33 +66,56 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         span = F.struct(begin.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.when(measured >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(start["out"])
+    def chunked(pairs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.transform(F.sequence(F.lit(0), (F.size(pairs) - 1).cast("int")), lambda c: F.aggregate(pairs[c], start, step))
+
+    def placed(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(chunks, start, lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+        def moved(span: Column, base: Column) -> Column:
+            return F.struct((span["start"] + base).alias("start"), span["rank"].alias("rank"), (span["end"] + base).alias("end"), span["kind"].alias("kind"), span["value"].alias("value"))
+
+        return _let(bases, lambda b: F.flatten(F.transform(chunks, lambda c, j: F.transform(c["out"], lambda span: moved(span, b[j])))))
+
+    def grouped(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+
+    pairs = _let(found, lambda hits: F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")))
+    return F.when(text.rlike(pattern), _let(_let(_let(pairs, grouped), chunked), placed)).otherwise(none)
 
 
 def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of any ``window`` characters of an ASCII string.
 
-    Keeps counts c per character and sum(c*log2 c); an entering or leaving
-    character changes one count and one term.
+    Keeps sum(c*log2 c) over the counts c of a window's characters. A step changes two of
+    its terms: the character that enters and the one that leaves have their counts told by
+    the ``window - 1`` characters that both windows share, so a step costs the same
+    everywhere.
     """
 
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
-    def step(s: Column, i: Column) -> Column:
-        enter = F.ascii(F.substring(value, i, 1))
-        leave = F.when(i > window, F.ascii(F.substring(value, i - window, 1))).otherwise(F.lit(-1))
-        c_in = F.element_at(s["counts"], enter + 1)
-        grown = s["sum"] + term(c_in + 1) - term(c_in)
-        c_out = F.when(leave >= 0, F.element_at(s["counts"], F.greatest(leave, F.lit(0)) + 1) + F.when(leave == enter, 1).otherwise(0)).otherwise(F.lit(0))
-        total = grown + F.when(leave >= 0, term(c_out - 1) - term(c_out)).otherwise(F.lit(0.0))
-        counts = F.transform(s["counts"], lambda c, k: c + F.when(k == enter, 1).otherwise(0) - F.when(k == leave, 1).otherwise(0))
-        entropy = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(s["best"], entropy).alias("best"))
-
-    init = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), init, step, lambda s: s["best"])
+    def more(c: Column) -> Column:
+        return term(c + 1) - term(c)
+
+    def slide(chars: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            first = F.greatest(i - window + 1, F.lit(1))
+
+            def shared(at: Column) -> Column:
+                return i - first - F.size(F.array_remove(F.slice(chars, first, i - first), F.element_at(chars, at)))
+
+            total = s["sum"] + more(shared(i)) - F.when(i > window, more(shared(i - window))).otherwise(F.lit(0.0))
+            return _let(total, lambda t: F.struct(t.alias("sum"), F.greatest(s["best"], F.when(i >= window, F.log2(F.lit(float(window))) - t / window).otherwise(F.lit(0.0))).alias("best")))
+
+        init = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), init, step, lambda s: s["best"])
+
+    found = _let(F.transform(F.split(value, ""), F.ascii), slide)
+    return F.when(F.length(value) > 0, found).otherwise(F.lit(0.0))
 
 
 def _suspicious(span: Column, base: Column) -> Column:
