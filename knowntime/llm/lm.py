@@ -30,9 +30,9 @@ CELLS = BLOCK // 8  # 64-bit words of a block
 PROBES = 4  # bits that a level sets
 LEVELS = 48
 START, END = b" s", b" e"  # no word holds a space
-TASK_TOKENS = 5_000_000  # pairs that a task sorts at a time
-TASK_WORDS = 300_000  # distinct words that a task holds at a time
-PART_BYTES = 4_000_000  # of text that is scored at a time
+TASK_TOKENS = 1_500_000  # pairs that a task sorts at a time
+TASK_WORDS = 150_000  # distinct words that a task holds at a time
+PART_BYTES = 2_000_000  # of text that is scored at a time
 _random = np.random.default_rng(16)
 _MASKS = np.bitwise_or.reduce(np.uint64(1) << np.argsort(_random.random((4096, 64)), axis=1)[:, :PROBES].astype(np.uint64), axis=1)
 _FACTORS = _random.integers(0, 1 << 63, LEVELS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,7 +120,7 @@ class Scorer:
     """Reads filter blocks from ``low`` on; what it learns of a word is kept, for ``most`` words
     about, and so is the word's exact count where ``known`` has it."""
 
-    def __init__(self, cells: np.ndarray, blocks: int, tokens: int, distinct: int, weight: float, prior: float, low: int = 0, known: dict[bytes, int] | None = None, most: int = 300_000):
+    def __init__(self, cells: np.ndarray, blocks: int, tokens: int, distinct: int, weight: float, prior: float, low: int = 0, known: dict[bytes, int] | None = None, most: int = 150_000):
         self.cells, self.blocks, self.tokens, self.distinct = cells, blocks, tokens, distinct
         self.weight, self.prior, self.low, self.known, self.most = weight, prior, low, known or {}, most
         self._reset()
@@ -246,6 +246,7 @@ def pair_counts(train: DataFrame, blocks: int, shelf: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(runs), return_counts=True)
+            runs.clear()
             return pa.RecordBatch.from_pandas(_packed(pair, n.astype(np.int64), blocks, shelf), preserve_index=False)
 
         for batch in batches:
@@ -262,7 +263,7 @@ def pair_counts(train: DataFrame, blocks: int, shelf: int) -> DataFrame:
                 held += len(inside)
                 if held > TASK_TOKENS:
                     yield flush()
-                    runs, held = [], 0
+                    held = 0
         if runs:
             yield flush()
 
@@ -285,7 +286,7 @@ def _word_keys(vocabulary: DataFrame, blocks: int, shelf: int) -> DataFrame:
             if END in found:
                 found, n = [*found, START], np.append(n, n[found.index(END)])
             held.append((np.fromiter(map(word_key, found), np.uint64, len(found)), n))
-            if sum(len(k) for k, _ in held) > TASK_TOKENS // 5:
+            if sum(len(k) for k, _ in held) > TASK_WORDS:
                 yield flush()
                 held = []
         if held:
@@ -349,7 +350,7 @@ def score_documents(
     )
     train = rows.where(~F.col("held_out")).select("text")
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks, group = max(1, size // 8 // BLOCK), max(1, most_bytes // BLOCK)
+    blocks, group = max(1, size // 10 // BLOCK), max(1, most_bytes // BLOCK)
     shelf = min(16, 1 + blocks // 4096)
     vocabulary = stash(word_counts(train))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
