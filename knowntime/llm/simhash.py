@@ -178,7 +178,10 @@ def local_links(group: np.ndarray, fp: np.ndarray, radius: int, chunk: int = 1 <
 
 def near_links(classes: DataFrame, radius: int = 3, group_limit: int = 2048) -> DataFrame:
     """(id, fp), fp distinct -> (a, b): enough links within ``radius`` bits to connect
-    everything that such links connect. ``group_limit`` bounds a task's group."""
+    everything that such links connect. ``group_limit`` bounds a task's group; groups of
+    fingerprints that differ in ``radius`` bits or fewer can't be split below 2 ** radius."""
+    if group_limit < 1 << radius:
+        raise ValueError("group_limit must be 2 ** radius at least")
     parts = radius + 1
     rows = _deal(classes.select("id", "fp", F.lit(0).cast("long").alias("mask")), parts)
     settled: DataFrame | None = None
@@ -231,20 +234,18 @@ def near_links(classes: DataFrame, radius: int = 3, group_limit: int = 2048) ->
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, group_limit: int = 2048) -> DataFrame:
     """documents -> (doc_id, fingerprint, component_id), a row for each row.
 
-    Equal fingerprints are one class, represented by the smallest doc_id; the
-    index sees classes only, so a group of copies of any size is one row there.
-    Texts that are null or without words have fingerprint zero and are linked
-    like any other. A null doc_id keeps its row and takes its class's id.
+    Equal fingerprints are one class, and classes are what the index links, so a
+    group of copies of any size is one row there. Texts that are null or without
+    words have fingerprint zero and are linked like any other. A null doc_id keeps
+    its row, and its class links others; a component of null ids alone has no id.
     """
     fps = stash(fingerprints(docs, words))
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    links = near_links(classes.where("id is not null"), radius, group_limit)
-    comps = stash(connected_components(links))
-    owner = stash(
-        classes.join(comps, classes["id"] == comps["node"], "left").select(
-            "fp", F.coalesce("component", "id").alias("component_id")
-        )
-    )
+    links = near_links(classes.select(F.col("fp").alias("id"), "fp"), radius, group_limit)
+    comps = connected_components(links)
+    placed = stash(classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component")))
+    first = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    owner = stash(placed.join(first, "component").select("fp", "component_id"))
     return fps.join(owner, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
