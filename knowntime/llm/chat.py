@@ -28,7 +28,8 @@ class Layout:
 
     Either ``array`` (a list of messages with ``role`` and ``text`` fields) or
     ``turns`` ((role, path, ...): texts of several paths are joined by a blank
-    line). ``optional`` paths may be missing in a record.
+    line). ``optional`` paths may be missing in a record. ``roles`` renames roles; it is
+    empty for conversation rows, whose roles stay as they are.
     """
 
     name: str
@@ -49,7 +50,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("messages", array="messages", optional=("messages[].role", "messages[].content")),
-    Layout("rows", array="rows", text="text", order="turn", optional=("rows[].role", "rows[].text", "rows[].turn")),
+    Layout("rows", array="rows", text="text", order="turn", optional=("rows[].role", "rows[].text", "rows[].turn"), roles={}),
     Layout("from_value", array="conversations", role="from", text="value", optional=("conversations[].value",)),
     Layout("prompt_completion", turns=(("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", turns=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
@@ -80,11 +81,12 @@ def _record_fingerprint(df: DataFrame, keep: Sequence[str]) -> Column:
 
 
 def _turns(layout: Layout) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in layout.roles.items() for x in pair])
-
     def turn(role: Column, text: Column) -> Column:
         role = F.coalesce(role.cast("string"), F.lit(""))
-        return F.struct(F.coalesce(F.element_at(names, role), role).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+        named = role
+        for old, new in layout.roles.items():
+            named = F.when(role == old, F.lit(new)).otherwise(named)
+        return F.struct(named.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
     if layout.array:
         items = F.array_sort(layout.array) if layout.order else F.col(layout.array)
