@@ -113,7 +113,8 @@ class PieceIndex:
                 reach = start + most + 1
                 distance, end = edit_distance_within(item, text[low:high], most)
                 if end >= 0 and (best is None or distance < best[0]):
-                    best = (distance, max(0, low + end - len(item)), low + end)
+                    size = edit_distance_within(item[::-1], text[low : low + end][::-1], most)[1]  # read backwards, the end is the start
+                    best = (distance, low + end - size, low + end)
             if best:
                 found.append((item_id, best[0], most, best[1], best[2]))
         return found
