@@ -27,6 +27,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LABEL = 500
+MOST_LABELS = 1000
 WINDOWS_PER_TEXT = 3
 LETTER = regex.compile(r"\p{L}")
 
@@ -121,24 +122,30 @@ class ByteCnn:
         return out
 
 
-def training_sample(docs: DataFrame, per_label: int, folds: int, held_out: int) -> DataFrame:
-    """(label, part): windows' worth of text at hashed places of a hashed share of each
-    label's texts; the share makes ``per_label`` texts in expectation, four times at most."""
+def training_sample(docs: DataFrame, per_label: int, most_labels: int, folds: int, held_out: int) -> DataFrame:
+    """(doc_id, label, part): windows' worth of text at hashed places of a hashed share of each
+    label's texts. The share makes ``per_label`` texts of a label in expectation, repeated rows
+    counted once; of more than ``most_labels`` labels a hashed share is learned."""
     part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         training_part(F.col("doc_id"), folds, held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     sizes = part.groupBy("lang").agg(F.count("*").alias("n"))
-    pick = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("pick")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = part.join(F.broadcast(sizes.where("lang is not null").limit(10_000)), "lang").where(pick * F.col("n") < per_label)
+    labels = sizes.count()
+
+    def share(*of):
+        return F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    learned = sizes.where(share("lang") * labels < most_labels)  # that many rows, so it can be broadcast
+    chosen = part.join(F.broadcast(learned), "lang").where(share("doc_id", "text") * F.col("n") < per_label)
     spots = F.transform(
         F.sequence(F.lit(1), F.lit(WINDOWS_PER_TEXT)),
         lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), k), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)),
     )
-    return chosen.select("doc_id", F.col("lang").alias("label"), F.explode(spots).alias("part")).limit(4 * per_label * WINDOWS_PER_TEXT * 64)
+    return chosen.select("doc_id", F.col("lang").alias("label"), F.explode(spots).alias("part")).distinct()
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2) -> ByteCnn:
-    rows = sorted((r["label"], r["doc_id"] or 0, r["part"]) for r in training_sample(docs, per_label, folds, held_out).collect())
+def fit(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2, most_labels: int = MOST_LABELS) -> ByteCnn:
+    rows = sorted((r["label"], r["doc_id"] or 0, r["part"]) for r in training_sample(docs, per_label, most_labels, folds, held_out).collect())
     labels = sorted({label for label, _, _ in rows})
     x = np.concatenate([windows(part.encode("utf-8")[:WINDOW]) for _, _, part in rows]) if rows else np.zeros((0, WINDOW), np.uint8)
     return ByteCnn.train(x, np.array([labels.index(label) for label, _, _ in rows], np.int64), labels)
