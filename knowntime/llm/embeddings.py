@@ -15,7 +15,7 @@ a bounded sample; every vector is indexed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ PER_LIST = 256
 SUBSPACES = 8
 CODES = 64
 PROBES = 8
-BLOCK = 1024
+BLOCK, MOST_BLOCK = 1024, 1 << 15  # members of a list that a task holds; more of them where lists are longer
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -46,6 +46,12 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray
     return c
 
 
+def _scaled(vectors: Iterable[np.ndarray]) -> np.ndarray:
+    """Rows times powers of two, which loses nothing, so that no square leaves the range of doubles."""
+    raw = np.stack(list(vectors)).astype(np.float64)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
@@ -105,7 +111,7 @@ def _block_links(codec: Codec, at: int, members: dict, visitors: dict, least: fl
             seen = (members["probes"][n] == visitors["own"][q][:, None]).any(1)
             q, n = q[~(twice & seen)], n[~(twice & seen)]
     a, b = visitors["raw"][q], members["raw"][n]
-    good = (a * b).sum(1) / (visitors["norm"][q] * members["norm"][n]) >= least
+    good = ((a * b).sum(1) / (visitors["norm"][q] * members["norm"][n]) >= least) & (visitors["dim"][q] == members["dim"][n])
     return q[good], n[good]
 
 
@@ -113,27 +119,30 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for each row.
 
     A vector that is null, empty, zero, or holds null or non-finite components links
-    with nothing; so does one whose dimension is not the most frequent (the lower on
-    ties). Equal vectors are one class in the index and linked with each other.
-    ``least`` is a cosine; labels and other columns are not read. Recall depends
-    on ``probes``; the tests hold it above 0.9 against brute force.
+    with nothing; vectors of different dimensions don't link. Equal vectors are one class
+    in the index and linked with each other. ``least`` is a cosine; labels and other
+    columns are not read. Rows with equal or null vec_id count each for itself; a
+    component of null ids alone has no id. Recall depends on ``probes``; the tests hold
+    it above 0.9 against brute force.
     """
     sc = vectors.sparkSession.sparkContext
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(fine)
-    dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not dims:
+    widest = good.agg(F.max(F.size("v")).alias("d")).first()["d"]
+    if not widest:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0]["d"]
-    classes = stash(good.where(F.size("v") == dim).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), widest - F.size("v")))
+    classes = good.groupBy(padded.alias("v"), F.size("v").alias("dim")).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()))
     total = classes.count()
     share = min(1.0, SAMPLE / total)
-    sample = classes.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").toPandas()
+    sample = classes.where(F.pmod(F.xxhash64("v", F.lit("fit")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").toPandas()
     if sample.empty:
         sample = classes.select("v").limit(1).toPandas()
     lists = int(np.clip(total // PER_LIST, 1, MOST_LISTS))
-    codec = Codec.fit(_unit(np.stack(sample["v"]).astype(np.float64)), lists)
+    codec = Codec.fit(_unit(_scaled(sample["v"])), lists)
+    block = int(np.clip(total // lists // 8, BLOCK, MOST_BLOCK))
     sent = sc.broadcast((codec.coarse, codec.books))
     probes = min(probes, len(codec.coarse))
 
@@ -142,12 +151,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
         for batch in batches:
             if batch.empty:
                 continue
-            unit = _unit(np.stack(batch["v"]).astype(np.float64))
-            near = codec.probes(unit, probes)
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "v": batch["v"], "own": near[:, 0], "probes": list(near.astype(np.int32))})
+            near = codec.probes(_unit(_scaled(batch["v"])), probes)
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "dim": batch["dim"], "v": batch["v"], "own": near[:, 0], "probes": list(near.astype(np.int32))})
 
-    dealt = stash(classes.mapInPandas(deal, "id long, n long, v array<double>, own int, probes array<int>"))
-    sizes = dealt.groupBy("own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = stash(classes.select("id", "n", "dim", "v").mapInPandas(deal, "id long, n long, dim int, v array<double>, own int, probes array<int>"))
+    sizes = dealt.groupBy("own").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     blocks = sc.broadcast({r["own"]: r["blocks"] for r in sizes.collect()})  # a number per list
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,14 +171,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
             i, at, block, kind = map(list, zip(*out)) if out else ([], [], [], [])
             yield batch.iloc[i].assign(at=at, block=block, kind=kind)
 
-    routed = dealt.mapInPandas(route, "id long, n long, v array<double>, own int, probes array<int>, at int, block int, kind int")
+    routed = dealt.mapInPandas(route, "id long, n long, dim int, v array<double>, own int, probes array<int>, at int, block int, kind int")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, key, members, label, count = Codec(*sent.value), None, None, None, None
 
         def prepare(part: pd.DataFrame) -> dict:
-            raw = np.stack(part["v"]).astype(np.float64)
-            return {"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "raw": raw, "norm": np.sqrt((raw * raw).sum(1)), "unit": _unit(raw), "own": part["own"].to_numpy(), "probes": np.stack(part["probes"])}
+            raw = _scaled(part["v"])
+            return {"id": part["id"].to_numpy(), "dim": part["dim"].to_numpy(), "n": part["n"].to_numpy(), "raw": raw, "norm": np.sqrt((raw * raw).sum(1)), "unit": _unit(raw), "own": part["own"].to_numpy(), "probes": np.stack(part["probes"])}
 
         def close() -> pd.DataFrame:
             linked = label != np.arange(len(label))
@@ -209,8 +217,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
                     continue
                 if key != (at, block):
                     continue
-                for some in range(0, len(part["id"]), 512):
-                    few = {k: v[some : some + 512] for k, v in part.items()}
+                step = max(16, (1 << 19) // len(members["id"]))
+                for some in range(0, len(part["id"]), step):
+                    few = {k: v[some : some + step] for k, v in part.items()}
                     q, n = _block_links(codec, at, members, few, least, label, count)
                     if not len(q):
                         continue
@@ -229,11 +238,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
     )
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
     comps = connected_components(found.where("a <> b").select("a", "b"))
-    owner = stash(
+    placed = stash(
         classes.join(links, F.col("id") == F.col("a"), "left")
         .join(comps, F.col("id") == F.col("node"), "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select(F.col("v").alias("w"), F.col("dim").alias("w_dim"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    out = rows.withColumn("fine", fine & (F.size("v") == dim)).join(owner.withColumnRenamed("v", "w"), F.col("fine") & (F.col("v") == F.col("w")), "left")
+    owner = placed.join(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("w", "w_dim", "n_links", "component_id")
+    out = rows.withColumn("fine", fine).withColumn("padded", F.when(F.col("fine"), padded)).join(owner, (F.col("padded") == F.col("w")) & (F.size("v") == F.col("w_dim")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
