@@ -14,11 +14,13 @@ _own_scratch: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (unit tests), one temporary folder per
-    application is used instead.
+    Where the setting is absent and the whole of Spark is one process (unit tests), one
+    temporary folder per application is used instead; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_scratch:
             _own_scratch[app] = tempfile.mkdtemp(prefix="knowntime-")
@@ -51,7 +53,8 @@ def release(df: DataFrame) -> None:
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after bounding the rows that Python workers of its session hold at a time.
 
-    Texts can be long; workers share an executor's memory outside the heap.
+    Texts can be long; workers share an executor's memory outside the heap. The session keeps
+    the setting, as plans are run later than they are made.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key))
