@@ -79,6 +79,19 @@ def test_simhash_equals_brute_force(spark):
     assert len({r.component_id for r in got}) < len(texts)
 
 
+def test_simhash_null_ids_link_others(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = {0: base, 1: [*base[:200], "x", *base[201:]], 2: [*base[:200], "x", *base[201:300], "y", *base[301:]]}
+    fp = [simhash.fingerprint(" ".join(t)) for t in texts.values()]
+    rows = [(5, " ".join(texts[0])), (None, " ".join(texts[1])), (3, " ".join(texts[2])), (None, "alone in the world")]
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    want = closure(3, [(i, j) for i in range(3) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3])
+    least = {c: min(d for d, w in zip((5, 99, 3), want) if w == c) for c in want}
+    assert [got[f"{f:016x}"] for f in fp] == [least[c] if least[c] != 99 else None for c in want] and got[f"{simhash.fingerprint('alone in the world'):016x}"] is None
+    with pytest.raises(ValueError):
+        simhash.near_links(spark.createDataFrame([(1, 1)], "id long, fp long"), 3, 4)
+
+
 def test_simhash_dense_groups_are_split(spark):
     rng = np.random.default_rng(5)
     fps = {0x0123456789ABCDEF ^ int(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False))) for _ in range(150)}
@@ -120,6 +133,37 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == ["doc_id", "text"]
 
 
+def test_contaminations_equal_a_slow_search(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.randrange(4, 40))) for i in range(12)] + [(3, "a short one"), (7, "Same  item"), (8, "same item")]
+    docs = []
+    for i in range(40):
+        text = prose(rng, rng.randrange(0, 60))
+        for _ in range(rng.randrange(3)):
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(1 + len(part) // 12)):
+                part[rng.randrange(len(part))] = rng.choice("abc ")
+            text = text + " " + "".join(part) + " " + prose(rng, rng.randrange(0, 30))
+        docs.append((i, text))
+    docs.append((99, prose(rng, 30_000) + " " + items[0][1]))
+    want = set()
+    for d, text in docs:
+        t = decontaminate.normalised(text)
+        for k, item in items:
+            n = decontaminate.normalised(item)
+            far = slow_distance(n, t) if d != 99 else (0 if n in t else 99)
+            if far <= decontaminate.budget(len(n), 0.05):
+                want.add((d, k, n, far))
+    rows = decontaminate.contaminations(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by_id = {}
+    for k, item in items:
+        by_id.setdefault(k, []).append(decontaminate.normalised(item))
+    assert len(rows) == len(want) and {(r.doc_id, r.item_id, r.distance) for r in rows} == {(d, k, far) for d, k, _, far in want}
+    for r in rows:  # the place named holds the item at that distance
+        place = decontaminate.normalised(dict(docs)[r.doc_id])[r.start : r.end]
+        assert any(slow_distance(n, place) == r.distance and abs(len(place) - len(n)) <= r.distance for n in by_id[r.item_id])
+
+
 def slow_base(text):
     found = []
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -192,6 +236,13 @@ def test_chat_round_trip(spark):
         assert [tuple(x) for x in back[c]] == want
 
 
+def test_conversation_roles_stay(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 1, "gpt", "b"), (2, 0, "assistant", "x" * 300_000), (2, None, "user", "first")]
+    out = chat.format_records(chat.conversations_as_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), keep=["conv_id"])
+    got = {r.conv_id: [(s["role"], len(s["body"]), s["loss"]) for s in r.segments] for r in out.collect()}
+    assert got == {1: [("human", 1, False), ("gpt", 1, False), ("gpt", 1, False)], 2: [("user", 5, False), ("assistant", 300_000, True)]}
+
+
 def test_chat_layouts(spark):
     schema = "prompt string, completion string, instruction string, input string, output string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
     rows = [("p", "c") + (None,) * 5, (None, None, "i", "in", "o", None, None), (None,) * 5 + ([("system", "s"), ("user", "u")], None), (None,) * 6 + ([("human", "h"), ("gpt", "g")],), ("only",) + (None,) * 6]
@@ -220,6 +271,26 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_vectors(spark.createDataFrame(bad[:1], "vec_id long, embedding array<double>")).count() == 1
 
 
+def test_embeddings_of_all_dimensions_and_magnitudes(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 0.0]), (4, [2e200, 4e200]), (5, [1e-300, 2e-300]), (6, [0.0, 5e-324, 0.0]), (7, [0.0, 3.0, 0.0]), (8, [-1.0, -2.0]), (None, [0.0, 1e308, 0.0]), (9, [1.0, 0.0]), (9, [0.0, 1.0])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == sorted(
+        [(str(i), 3, 1, i == 1) for i in (1, 2, 4, 5)] + [("3", 0, 3, True), ("6", 2, 6, True), ("7", 2, 6, False), ("None", 2, 6, False), ("8", 0, 8, True), ("9", 0, 9, True), ("9", 0, 9, True)]
+    )
+
+
+def test_embeddings_in_many_lists(spark):
+    rng = np.random.default_rng(18)
+    centres = rng.normal(size=(60, 24))
+    v = np.concatenate([centres[rng.integers(60, size=2400)] + rng.normal(scale=0.06, size=(2400, 24)) * rng.choice([1, 4], size=(2400, 1)), centres[:1] + rng.normal(scale=0.12, size=(1300, 24))])
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    links = near.sum(1) - 1
+    assert len(v) // embeddings.PER_LIST > embeddings.PROBES and near[2400:, 2400:].sum() > embeddings.BLOCK**2
+    assert all(got[i].n_links <= links[i] for i in range(len(v))) and sum(r.n_links for r in got.values()) >= 0.95 * links.sum()
+
+
 def test_urls(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
     urls_ = ["http://A.example.ORG/es/x?y#z", "https://example.org/en/12", "http://example.org/en/2", "http://b.com/fr/", "http://c.b.com/de/1", "no scheme", None, "http://b.com", "http://notexample.org?x=/es/", "http://spam.net/a", "://x.org/", "http://u.com/fr?/de/"]
@@ -449,6 +520,29 @@ def test_language_id(spark):
     assert none[0].lang_pred == "und"
 
 
+def test_tables_equal_the_plain_convolution():
+    rng = np.random.default_rng(2)
+    net = langid.ByteCnn.train(np.zeros((0, langid.WINDOW), np.uint8), np.zeros(0, np.int64), ["a", "b", "c"])
+    net.bias, net.dense = rng.normal(size=net.bias.shape), rng.normal(size=net.dense.shape)
+    x = rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8)
+    e, tops = net.embed[x], []
+    for w, conv in zip(langid.WIDTHS, net.conv):
+        z = np.stack([sum(e[:, p + o] @ conv[o] for o in range(w)) for p in range(langid.WINDOW - w + 1)], 1)
+        tops.append(z.max(1))
+    logit = np.maximum(np.concatenate(tops, 1) + net.bias, 0) @ net.dense + net.shift
+    prob = np.exp(logit) / np.exp(logit).sum(1, keepdims=True)
+    assert np.allclose(net.probabilities(x, net.tables()), prob, atol=1e-4)
+
+
+def test_labels_and_texts_are_sampled_by_hash(spark):
+    rows = [(i, f"text {i}", f"l{i % 50}") for i in range(5000)] + [(None, "same", "l0")] * 400 + [(1, "same id", "l1")] * 400
+    docs = spark.createDataFrame(rows, DOC + ", lang string")
+    got = langid.training_sample(docs, 20, 10, 4, 2)
+    again = langid.training_sample(docs.repartition(7), 20, 10, 4, 2)
+    assert 2 <= got.select("label").distinct().count() <= 25 and got.count() <= 25 * 20 * 3 * 2
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
 def test_gradients_lower_the_loss():
     rng = np.random.default_rng(1)
     x = rng.integers(97, 110, (60, langid.WINDOW)).astype(np.uint8)
