@@ -7,7 +7,7 @@ struct; :data:`REGISTRY` names them, and users may add theirs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,27 +167,55 @@ def _quality(weights: dict[str, float]) -> Column:
     return result("basic_quality_score", F.try_divide(hits, total), [(total == 0, "no_quality_components", None)], F.create_map(*inputs), F.array_distinct(F.flatten(F.array(*filings))), F.array(*missing))
 
 
-def paired_snapshots(facts: DataFrame, requests: DataFrame) -> DataFrame:
+_DEBT = ("total_debt", "short_term_debt", "long_term_debt")
+_CASH_FLOW = ("operating_cash_flow", "capital_expenditures")
+_MARGIN = ("operating_income", "revenue")
+_ACCRUALS = ("net_income", "operating_cash_flow", "total_assets")
+#: Reported concepts that a factor reads; a factor that is not here reads all.
+NEEDS = {
+    "revenue_growth": ("revenue",), "operating_margin_change": _MARGIN, "free_cash_flow": _CASH_FLOW, "fcf_yield": _CASH_FLOW, "price_to_earnings": ("net_income",), "price_to_sales": ("revenue",),
+    "price_to_book": ("stockholders_equity",), "debt_change": _DEBT, "roa": ("net_income", "total_assets"), "accrual_ratio": _ACCRUALS, "basic_quality_score": (*_MARGIN, *_CASH_FLOW, *_DEBT, *_ACCRUALS),
+}
+
+
+def concepts_of(factors: Iterable[str]) -> list[str]:
+    """The reported concepts behind factors, in statement order."""
+    read = {c for f in factors for c in NEEDS.get(f, dims.NAMES)}
+    return [n for n in dims.NAMES if n in read]
+
+
+#: Fields of a value that factors read.
+READ_FIELDS = ("value", "unit", "period_start", "period_end", "accession_number", "available_at")
+
+
+def paired_snapshots(facts: DataFrame, requests: DataFrame, concepts: Sequence[str] | None = None) -> DataFrame:
     """KEYS, cur, pri: each request's snapshot and that of the same period a year before,
-    from one pass over the facts; written once, as both sides of the pairing read it."""
+    from one pass over the facts; written once, as both sides of the pairing read it. With
+    ``concepts`` the snapshots hold only those, and free cash flow, with ``READ_FIELDS``."""
     asked = normalized_requests(requests)
     before = asked.withColumn("fiscal_year", F.col("fiscal_year") - 1)
-    wide = snapshot_wide(facts, asked.unionByName(before))
-    names = [c for c in wide.columns if c not in KEYS and c != "replaced"]
-    packed = stored(wide.select(*KEYS, F.struct(*names).alias("cur")))
+    wide = snapshot_wide(facts, asked.unionByName(before), concepts)
+    if concepts is None or len(concepts) == len(dims.NAMES):
+        kept = [F.col(c) for c in wide.columns if c not in KEYS and c != "replaced"]
+    else:
+        kept = [F.struct(*[F.col(f"{c}.{f}").alias(f) for f in READ_FIELDS]).alias(c) for c in (*concepts, "free_cash_flow")]
+    packed = stored(wide.select(*KEYS, F.struct(*kept).alias("cur")))
     prior = packed.select("cik", (F.col("fiscal_year") + 1).alias("fiscal_year"), "fiscal_period", "as_of", F.col("cur").alias("pri"))
     return asked.join(packed, KEYS).join(prior, KEYS, "left")
 
 
 def factor_results(facts: DataFrame, requests: DataFrame, caps: DataFrame | None = None, factors: list[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """KEYS, RESULT fields and evidence_at (latest availability in the snapshot): a row per
-    request and factor.
+    """KEYS, RESULT fields and evidence_at (latest availability of the values read): a row per
+    request and factor. Facts of concepts that no factor asked for reads are left in the scan.
 
     ``caps`` is (cik, as_of, market_cap double, currency, cap_reason, cap_warnings,
     manual boolean): a manual cap is labelled and used as given; a stored one in
     another currency than USD is unusable.
     """
-    pairs = paired_snapshots(facts, requests)
+    wanted = factors or [*REGISTRY, "basic_quality_score"]
+    weights = weights or QUALITY_WEIGHTS
+    concepts = concepts_of([*wanted, *(weights if "basic_quality_score" in wanted else ())])
+    pairs = paired_snapshots(facts, requests, concepts)
     if caps is None:
         pairs = pairs.withColumns({"market_cap": F.lit(None).cast("double"), "cap_reason": F.lit(None).cast("string"), "cap_warnings": F.array().cast("array<string>")})
     else:
@@ -197,9 +225,9 @@ def factor_results(facts: DataFrame, requests: DataFrame, caps: DataFrame | None
             F.array_compact(F.concat(F.coalesce("cap_warnings", F.array().cast("array<string>")), F.array(F.when(F.col("manual"), F.lit("manual_market_cap")), F.when(foreign, F.lit("currency_mismatch"))))).alias("cap_warnings"),
         )
         pairs = pairs.join(usable, ["cik", "as_of"], "left").withColumn("cap_warnings", F.coalesce("cap_warnings", F.array().cast("array<string>")))
-    weights = weights or QUALITY_WEIGHTS
-    evidence = F.greatest(*[cur(n, "available_at") for n in (*dims.NAMES, *dims.DERIVED)])
-    rows = pairs.select(*KEYS, evidence.alias("evidence_at"), F.struct(*[make().alias(name) for name, make in REGISTRY.items()]).alias("f")).withColumn("q", _quality(weights))
-    wanted = factors or [*REGISTRY, "basic_quality_score"]
+    evidence = F.array_max(F.array(*[cur(n, "available_at") for n in concepts]))
+    parts = set(weights) if "basic_quality_score" in wanted else set()
+    rows = pairs.select(*KEYS, evidence.alias("evidence_at"), F.struct(*[make().alias(name) for name, make in REGISTRY.items() if name in parts or name in wanted]).alias("f"))
+    rows = rows.withColumn("q", _quality(weights)) if parts else rows
     picked = [F.col("q") if name == "basic_quality_score" else F.col(f"f.{name}") for name in wanted]
     return rows.select(*KEYS, "evidence_at", F.explode(F.array(*picked)).alias("r")).select(*KEYS, "r.*", "evidence_at")

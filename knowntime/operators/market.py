@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions import dims
@@ -33,8 +33,11 @@ def scan_bars_for(bars: DataFrame, ids: DataFrame) -> DataFrame:
 def _window(bars: DataFrame, requests: DataFrame, closes: int, lookback: int) -> DataFrame:
     """Known bars of each request's last ``lookback`` days, numbered from the newest (rn = 1)."""
     day = F.to_date("as_of")
+    bucket = lambda c: F.floor(F.unix_date(c) / lookback)  # noqa: E731  a window meets two buckets, not the whole history
+    asked = requests.select("symbol", "as_of").distinct().withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.date_sub(day, lookback)), bucket(day)))))
+    known = bars.select("symbol", "trading_date", F.col("close").cast("double").alias("close"), "available_at", "fetched_at", bucket(F.col("trading_date")).alias("__b"))
     joined = (
-        requests.select("symbol", "as_of").distinct().join(bars.select("symbol", "trading_date", F.col("close").cast("double").alias("close"), "available_at", "fetched_at"), "symbol")
+        asked.join(known, ["symbol", "__b"]).drop("__b")
         .where((F.col("available_at") <= F.col("as_of")) & (F.col("trading_date") <= day) & (F.col("trading_date") >= F.date_sub(day, lookback)))
     )
     newest = Window.partitionBy("symbol", "as_of").orderBy(F.desc("trading_date"))
@@ -140,11 +143,11 @@ def shares_outstanding(requests: DataFrame, facts: DataFrame) -> DataFrame:
     counts = facts.where(F.col("concept").isin(*dims.SHARE_TAGS) & (F.lower("unit") == "shares") & (F.col("value") > 0) & F.col("end_date").isNotNull()).select(
         "cik", F.col("value").cast("decimal(38,6)").alias("shares"), F.col("end_date").alias("shares_date"), F.col("available_at").alias("shares_at"), "accession_number", "form", "concept", F.element_at(tags, F.col("concept")).alias("priority")
     )
-    numbered = requests.withColumn("__id", F.monotonically_increasing_id())
-    hits = numbered.join(counts, "cik").where((F.col("shares_date") <= F.col("market_date")) & (F.col("shares_at") <= F.col("knowledge_time")))
+    asked = ["cik", "market_date", "knowledge_time"]
+    hits = requests.select(*asked).distinct().join(counts, "cik").where((F.col("shares_date") <= F.col("market_date")) & (F.col("shares_at") <= F.col("knowledge_time")))
     level = F.struct("shares_date", (-F.col("priority")).alias("p"))
     order = F.struct("shares_date", (-F.col("priority")).alias("p"), "shares_at", F.coalesce("accession_number", F.lit("")).alias("a"), "shares")
-    best = hits.groupBy("__id").agg(
+    best = hits.groupBy(*asked).agg(
         F.max_by(F.struct("shares", "shares_date", "shares_at", "accession_number", "form", "concept"), order).alias("s"), F.max(F.struct(level.alias("l"), F.col("shares").alias("v"))).alias("hi"), F.max(F.struct(level.alias("l"), (-F.col("shares")).alias("v"))).alias("lo")
     )
     age = F.datediff("market_date", "s.shares_date")
@@ -155,7 +158,7 @@ def shares_outstanding(requests: DataFrame, facts: DataFrame) -> DataFrame:
             F.when(age > STALE_SHARES_DAYS, F.concat(F.lit("stale_shares_fact:"), age.cast("string"), F.lit("_days_old"))),
         )
     )
-    return numbered.join(best, "__id", "left").select(*requests.columns, "s.*", warnings.alias("shares_warnings"), F.when(F.col("s").isNull(), F.lit("no_qualifying_shares_outstanding_fact")).alias("shares_reason"))
+    return requests.join(best, asked, "left").select(*requests.columns, "s.*", warnings.alias("shares_warnings"), F.when(F.col("s").isNull(), F.lit("no_qualifying_shares_outstanding_fact")).alias("shares_reason"))
 
 
 def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, securities: DataFrame, instruments: DataFrame, stale_days: int = STALE_PRICE_DAYS) -> DataFrame:
@@ -174,7 +177,9 @@ def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, securiti
         .withColumn("known_by", F.coalesce("as_of", F.lit("9999-12-31").cast("timestamp")))
     )
     asked = asked.select("ticker", "market_date", "as_of", "instrument_id", "cik", "classes", "known_by")
-    priced = latest_on_or_before(asked, bars, ["instrument_id"], "market_date", "trading_date", ["trading_date", "close", "currency", "provider", "available_at", "fetched_at"], known_at="known_by", ties=["available_at"])
+    payload = ["trading_date", "close", "currency", "provider", "available_at", "fetched_at"]
+    swept = latest_on_or_before(asked.where("as_of is null"), bars, ["instrument_id"], "market_date", "trading_date", payload, ties=["available_at"])
+    priced = swept.unionByName(latest_on_or_before(asked.where("as_of is not null"), bars, ["instrument_id"], "market_date", "trading_date", payload, known_at="known_by", ties=["available_at"]))
     priced = priced.withColumn("price_date", F.col("bar_trading_date")).withColumn("knowledge_time", F.coalesce("as_of", "bar_available_at"))
     with_shares = shares_outstanding(priced.withColumnRenamed("market_date", "asked_date").withColumn("market_date", F.col("price_date")), facts)
     age = F.datediff("asked_date", "price_date")
@@ -220,7 +225,3 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     assert out is not None, "no tables"
     return out
 
-
-def metric_direction(name: Column) -> Column:
-    known = {k: v for k, v in dims.METRICS.items() if v is not None}
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), name)

@@ -25,8 +25,8 @@ def as_of_requests(df: DataFrame, requests: DataFrame, keys: Sequence[str] = ("c
 def first_known(facts: DataFrame, key: str = "fact_id") -> DataFrame:
     """One row per key: the earliest available, then the smallest rest of the row."""
     rest = [c for c in facts.columns if c != key]
-    best = F.min_by(F.struct(*rest), F.struct("available_at", F.coalesce("filing_date", F.lit("9999-12-31").cast("date")), F.coalesce("accession_number", F.lit(""))))
-    return facts.groupBy(key).agg(best.alias("best")).select(key, "best.*").select(facts.columns)
+    order = F.struct(F.col("available_at").alias("__a"), F.coalesce("filing_date", F.lit("9999-12-31").cast("date")).alias("__f"), F.coalesce("accession_number", F.lit("")).alias("__n"), F.struct(*rest).alias("__rest"))
+    return facts.groupBy(key).agg(F.min(order).alias("best")).select(key, "best.__rest.*").select(facts.columns)
 
 
 def latest_on_or_before(

@@ -64,7 +64,7 @@ def decision_pairs(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 def aligned_returns(selected: DataFrame, bars: DataFrame, closes: int = CLOSES, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """(run_id, decision_date, decision_at, symbol) -> returns over the last ``closes`` common dates.
 
-    (run_id, decision_date, symbol, d, ret, dates, usable): ``usable`` is false for a group
+    (run_id, decision_date, symbol, d, ret, dates, usable, available_at): ``usable`` is false for a group
     with a doubled date or a close that is not positive; ``dates`` counts common ones.
     """
     key = ["run_id", "decision_date"]
@@ -78,7 +78,7 @@ def aligned_returns(selected: DataFrame, bars: DataFrame, closes: int = CLOSES,
     dates = dates.withColumn("rn", F.row_number().over(w.orderBy(F.desc("d")))).withColumn("dates", F.count("*").over(w)).where(F.col("rn") <= closes)
     rows = known.join(dates.select(*key, "d", "dates", "usable"), [*key, "d"])
     before = F.lag("close").over(Window.partitionBy(*key, "symbol").orderBy("d"))
-    return rows.withColumn("ret", F.try_divide(F.col("close"), before) - 1.0).where("ret is not null or not usable").select(*key, "symbol", "d", "ret", "dates", "usable")
+    return rows.withColumn("ret", F.try_divide(F.col("close"), before) - 1.0).where("ret is not null or not usable").select(*key, "symbol", "d", "ret", "dates", "usable", "available_at")
 
 
 def equal_weights(selected: DataFrame) -> DataFrame:
@@ -156,7 +156,8 @@ def _signals(requests: DataFrame, pairs: DataFrame, universe: DataFrame, facts:
     asked = pairs.where("reason is null").select("run_id", "decision_date", "decision_at").join(universe, "run_id")
     wanted = asked.select("cik", F.col("decision_at").alias("as_of")).distinct()
     annual = latest_annual(facts, wanted).withColumn("fiscal_period", F.lit("FY"))
-    values = factor_results(facts, annual, caps).where("valid")
+    factors = sorted(r["factor"] for r in requests.select("factor").distinct().collect())  # a dozen names at most
+    values = factor_results(facts, annual, caps, factors).where("valid")
     named = asked.join(requests.select("run_id", "factor", "top_n"), "run_id")
     return named.join(values.withColumnRenamed("as_of", "decision_at"), ["cik", "decision_at", "factor"])
 
@@ -166,7 +167,7 @@ def form_targets(requests: DataFrame, pairs: DataFrame, universe: DataFrame, fac
     """(targets, attempts): target weights per pair with their signals, and each pair with its reason.
 
     targets: run_id, decision_date, symbol, weight, value, rank, signal_period,
-    evidence_at, mixed_fiscal_periods. attempts: pairs plus reason (null: executable).
+    evidence_at, price_evidence_at, mixed_fiscal_periods. attempts: pairs plus reason (null: executable).
     """
     key = ["run_id", "decision_date"]
     chosen = exact_top_n(_signals(requests, pairs, universe, facts, caps), key, F.col("top_n"), name="symbol")
@@ -177,7 +178,8 @@ def form_targets(requests: DataFrame, pairs: DataFrame, universe: DataFrame, fac
     inverse = inverse_volatility_weights(usable.where("baseline = 'inverse_volatility'"))
     least = minimum_variance_weights(covariances(usable.where("baseline = 'minimum_variance'")))
     weights = equal.unionByName(inverse).unionByName(least)
-    targets = stored(chosen.join(weights, [*key, "symbol"], "left"))
+    evidence = returns.groupBy(*key).agg(F.max("available_at").alias("price_evidence_at"))
+    targets = stored(chosen.join(weights, [*key, "symbol"], "left").join(evidence, key, "left"))
     on_day = bars.select("symbol", F.col("trading_date").alias("effective_date"), "available_at")
     known = pairs.where("reason is null").select(*key, "effective_date", "effective_at")
     support = (
@@ -195,8 +197,8 @@ def run_backtests(requests: DataFrame, bars: DataFrame, facts: DataFrame, securi
     ``requests`` rows are valid (see ``request_faults``). ``bars`` are adjusted bars of
     one provider with symbol, trading_date, close, available_at; ``caps`` serves
     valuation factors. A run is success, unavailable (its universe, calendar or
-    first rebalance cannot be formed) or failed (a held return is missing, or
-    evidence is later than its decision), with its first reason. Only successful
+    first rebalance cannot be formed) or failed (see :func:`failures`, or evidence is
+    later than its decision), with its first reason. Only successful
     runs have metrics and an equity path.
     """
     requests = requests.withColumns({"factor": resolve_alias(F.col("factor"), dims.FACTOR_ALIASES, dims.FACTORS), "calendar_symbol": canonical_symbol(F.col("calendar_symbol")), "benchmark_symbol": canonical_symbol(F.col("benchmark_symbol"))})
@@ -239,8 +241,9 @@ def run_backtests(requests: DataFrame, bars: DataFrame, facts: DataFrame, securi
     so_far = Window.partitionBy("run_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     rate = F.col("cost_bps") / 10_000.0
     chain = chain.withColumn("factor_", F.coalesce("growth_end", F.lit(1.0)) * (1.0 - F.col("turnover") * rate))
-    chain = chain.withColumn("post_nav", F.col("initial_nav") * F.product("factor_").over(so_far)).withColumn("pre_nav", F.col("post_nav") / (1.0 - F.col("turnover") * rate)).withColumn("cost", F.col("pre_nav") * F.col("turnover") * rate)
-
+    earlier = Window.partitionBy("run_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.product("factor_").over(earlier), F.lit(1.0))
+    chain = chain.withColumn("pre_nav", F.col("initial_nav") * before * F.coalesce("growth_end", F.lit(1.0))).withColumn("cost", F.col("pre_nav") * F.col("turnover") * rate).withColumn("post_nav", F.col("initial_nav") * F.product("factor_").over(so_far))
     chain = stored(chain)
 
     window = requests.select("run_id", "start_date", "end_date", "initial_nav", F.col("calendar_symbol").alias("symbol"), "benchmark_symbol").join(sessions.select("symbol", "d", "at", "twice"), "symbol").where((F.col("d") >= F.col("start_date")) & (F.col("d") <= F.col("end_date")))
@@ -273,19 +276,20 @@ def run_backtests(requests: DataFrame, bars: DataFrame, facts: DataFrame, securi
     )
 
     audit = leakage_audit(attempts, targets)
-    bad = growth.where("not ok").groupBy("run_id").agg(F.min("d").alias("missing_on"))
+    bad = failures(growth, chain)
     first = attempts.where("n = 1").select("run_id", F.col("reason").alias("first_reason"))
     explicit = attempts.where(F.col("reason").isin("explicit_date_out_of_range", "calendar_missing", "effective_session_out_of_range")).groupBy("run_id").agg(F.min_by("reason", "decision_date").alias("calendar_reason"))
     in_window = window.groupBy("run_id").agg(F.bool_or("twice").alias("twice"))
     metrics = performance(path, rebalances)
-    joined = requests.select("run_id").join(guards, "run_id", "left").join(in_window, "run_id", "left").join(first, "run_id", "left").join(explicit, "run_id", "left").join(bad, "run_id", "left").join(audit, "run_id", "left").join(metrics, "run_id", "left")
+    unsound = weight_faults(targets).select("run_id").distinct().withColumn("unsound", F.lit(True))
+    joined = requests.select("run_id").join(unsound, "run_id", "left").join(guards, "run_id", "left").join(in_window, "run_id", "left").join(first, "run_id", "left").join(explicit, "run_id", "left").join(bad, "run_id", "left").join(audit, "run_id", "left").join(metrics, "run_id", "left")
     unavailable = (
         F.when(F.col("nameless").isNull(), "factor_universe_too_small").when(F.col("nameless"), "issuer_identity_unavailable").when(F.col("shared"), "same_issuer_universe").when(F.col("twice"), "calendar_ambiguous")
         .when(F.col("twice").isNull(), "calendar_missing").when(F.col("calendar_reason").isNotNull(), F.col("calendar_reason")).when(F.col("n_attempts").isNull(), "calendar_missing").when(F.col("first_reason").isNotNull(), F.col("first_reason"))
     )
     counts = attempts.groupBy("run_id").agg(F.count("*").alias("n_attempts"))
     joined = joined.join(counts, "run_id", "left")
-    failed = F.when(F.col("missing_on").isNotNull(), "held_return_missing").when(F.col("violations") > 0, "leakage_detected")
+    failed = F.coalesce("failure", F.when(F.col("unsound"), "non_finite_weights"), F.when(F.col("violations") > 0, "leakage_detected"))
     status = F.when(unavailable.isNotNull(), "unavailable").when(failed.isNotNull(), "failed").otherwise("success")
     measures = ["total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "gross_turnover", "transaction_cost_total", "successful_rebalance_count", "interval_count"]
     warnings = F.array_compact(F.array(*map(F.lit, STANDING_WARNINGS), F.when(F.col("mixed"), F.lit("mixed_fiscal_periods")), F.when(F.col("benchmark_gap"), F.lit("benchmark_unavailable"))))
@@ -294,6 +298,16 @@ def run_backtests(requests: DataFrame, bars: DataFrame, facts: DataFrame, securi
     return {"runs": runs, **{n: d.join(good, "run_id", "left_semi") for n, d in (("rebalances", rebalances), ("transitions", transitions), ("equity", equity))}}
 
 
+def failures(growth: DataFrame, chain: DataFrame) -> DataFrame:
+    """(run_id, failure): what stops a run first: a held return that is missing, value that is
+    gone, and on the day of a rebalance after them a cost that is no cost or takes everything."""
+    interval = F.when(~F.col("ok"), F.struct(F.lit(1).alias("n"), F.lit("held_return_missing").alias("reason"))).when(~F.coalesce(F.col("growth") > 0, F.lit(False)), F.struct(F.lit(2).alias("n"), F.lit("non_positive_growth").alias("reason")))
+    endless = F.isnan("cost") | (F.col("cost") == float("inf"))
+    change = F.when(F.coalesce(endless | (F.col("cost") < 0), F.lit(False)), F.struct(F.lit(3).alias("n"), F.lit("invalid_cost").alias("reason"))).when(~F.coalesce(F.col("post_nav") > 0, F.lit(False)), F.struct(F.lit(4).alias("n"), F.lit("invalid_post_cost_nav").alias("reason")))
+    found = growth.select("run_id", "d", interval.alias("f")).unionByName(chain.select("run_id", F.col("effective_date").alias("d"), change.alias("f"))).where("f is not null")
+    return found.groupBy("run_id").agg(F.min(F.struct("d", "f.n", "f.reason")).alias("first")).select("run_id", F.col("first.reason").alias("failure"))
+
+
 def performance(path: DataFrame, rebalances: DataFrame) -> DataFrame:
     """Return, risk and cost figures per run; the maximum drawdown runs over marks and post-cost values."""
     stats = path.groupBy("run_id").agg(
@@ -312,8 +326,8 @@ def performance(path: DataFrame, rebalances: DataFrame) -> DataFrame:
 
 def leakage_audit(attempts: DataFrame, targets: DataFrame) -> DataFrame:
     """(run_id, violations, mixed): decisions not before their effect, and evidence known later than its decision."""
-    rows = attempts.where("ok").join(targets.select("run_id", "decision_date", "symbol", "evidence_at", "mixed_fiscal_periods"), ["run_id", "decision_date"])
-    late = (F.col("decision_at") >= F.col("effective_at")) | (F.col("evidence_at") > F.col("decision_at"))
+    rows = attempts.where("ok").join(targets.select("run_id", "decision_date", "symbol", "evidence_at", "price_evidence_at", "mixed_fiscal_periods"), ["run_id", "decision_date"])
+    late = (F.col("decision_at") >= F.col("effective_at")) | F.coalesce(F.col("evidence_at") > F.col("decision_at"), F.lit(False)) | F.coalesce(F.col("price_evidence_at") > F.col("decision_at"), F.lit(False))
     return rows.groupBy("run_id").agg(F.count_if(late).alias("violations"), F.bool_or("mixed_fiscal_periods").alias("mixed"))
 
 

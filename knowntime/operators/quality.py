@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import ohlcv_faults
@@ -56,6 +56,11 @@ def window_gaps(windows: DataFrame, bars: DataFrame, series: Sequence[str] = ("s
     return counted.withColumn("gap", F.when(empty & filled & (F.coalesce(before, F.lit(0)) > 0), "interior").when(empty & filled, "leading"))
 
 
+def known_zones(spark: SparkSession) -> DataFrame:
+    """(zone): time zones that Spark's functions take; some hundreds."""
+    return spark.createDataFrame([(z,) for z in sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())], "zone string")
+
+
 def with_known_zone(df: DataFrame, zones: DataFrame, column: str = "exchange_timezone") -> DataFrame:
     """``column`` nulled where it is not in ``zones(zone)``; an unknown zone would stop the job."""
     known = F.broadcast(zones.select(F.col("zone").alias("__zone")).distinct())

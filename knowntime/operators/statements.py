@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,12 @@ def _words(*texts: str | Column) -> Column:
     return F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts]).cast("array<string>")
 
 
-def _mapped_facts(facts: DataFrame) -> DataFrame:
+def _mapped_facts(facts: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
     """Facts with a mapped tag and the expected unit, with what scoring needs as columns.
 
     The tag list is a literal, so it reaches the Parquet scan as a filter.
     """
+    tags = [t for c in dims.CONCEPTS if c.name in names for t in c.tags]
     dim = dims.concept_dimension(facts.sparkSession).select(F.col("tag").alias("concept"), "canonical", "period_type", "expected_unit", "sign_mode", "priority")
     period = F.upper(F.trim("fiscal_period"))
     form = F.upper(F.coalesce("form", F.lit("")))
@@ -53,8 +56,8 @@ def _mapped_facts(facts: DataFrame) -> DataFrame:
     )
     return (
         facts.select(*FACT_COLUMNS)
-        .where(F.col("concept").isin(*dims.TAGS))
-        .join(F.broadcast(dim), "concept")
+        .where(F.col("concept").isin(*tags))
+        .join(F.broadcast(dim.where(F.col("canonical").isin(*names))), "concept")
         .where(F.lower(F.trim("unit")) == F.lower("expected_unit"))
         .withColumn("fiscal_period", period)
         .withColumn("is_ytd", looks_ytd(days, period))
@@ -85,12 +88,12 @@ def _selected(fact: Column, warnings: Column) -> Column:
     )
 
 
-def _selections(facts: DataFrame, requests: DataFrame) -> DataFrame:
+def _selections(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
     """KEYS, canonical, and what one aggregation finds: standalone, ytd, components, counts.
 
     One shuffle on (request, concept); the maxima combine before it.
     """
-    known = _mapped_facts(facts).join(requests.select(*KEYS).distinct(), ["cik", "fiscal_year", "fiscal_period"]).where(F.col("available_at") <= F.col("as_of"))
+    known = _mapped_facts(facts, names).join(requests.select(*KEYS).distinct(), ["cik", "fiscal_year", "fiscal_period"]).where(F.col("available_at") <= F.col("as_of"))
     alone = F.col("type_ok") & ~F.col("is_ytd")
     tie = [F.coalesce("accession_number", F.lit("")).alias("a"), F.col("concept").alias("c"), F.coalesce("fact_id", F.lit("")).alias("f")]
     score, ytd_score = _score(F.col("span_score")), _score(F.lit(1))
@@ -118,16 +121,16 @@ def normalized_requests(requests: DataFrame) -> DataFrame:
     return requests.select("cik", "fiscal_year", F.upper(F.trim("fiscal_period")).alias("fiscal_period"), F.col("as_of").cast("timestamp").alias("as_of")).distinct()
 
 
-def canonical_values(facts: DataFrame, requests: DataFrame) -> DataFrame:
+def canonical_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
     """(cik, fiscal_year, fiscal_period, as_of) -> KEYS, concept, v (VALUE_TYPE), part0..2.
 
-    A row for every request and canonical concept. Selection takes the best
+    A row for every request and canonical concept of ``names``. Selection takes the best
     version known; quarters whose only facts are cumulative are derived from them
     (Q2 = six months - Q1, Q3 = nine - six months); what is missing says why.
     """
     requests = normalized_requests(requests)
-    found = _selections(facts, _quarter_helpers(requests))
-    grid = requests.withColumn("canonical", F.explode(F.array(*map(F.lit, dims.NAMES))))
+    found = _selections(facts, _quarter_helpers(requests), names)
+    grid = requests.withColumn("canonical", F.explode(F.array(*map(F.lit, names))))
     own = found.alias("own")
     before = found.select(
         "cik", "fiscal_year", "as_of", "canonical", F.when(F.col("fiscal_period") == "Q1", "Q2").when(F.col("fiscal_period") == "Q2", "Q3").alias("fiscal_period"),
@@ -186,19 +189,22 @@ def _or_missing(made: Column, ok: Column, reason: str | Column) -> Column:
     return F.when(ok, made).otherwise(value_struct(missing_reason=F.lit(reason) if isinstance(reason, str) else reason))
 
 
-def snapshot_wide(facts: DataFrame, requests: DataFrame) -> DataFrame:
+def snapshot_wide(facts: DataFrame, requests: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """KEYS and one VALUE_TYPE column per canonical and derived concept, a row per request.
+    With ``names`` only those reported concepts are read; the others are null.
 
     Components fill gross profit, short-term debt (unless the complete tag was
     used) and total debt; ``replaced`` keeps warnings of values they replace.
     """
-    long = canonical_values(facts, requests)
+    read = [n for n in dims.NAMES if names is None or n in names]
+    long = canonical_values(facts, requests, read)
     wide = long.groupBy(*KEYS).agg(
-        *[F.first(F.when(F.col("concept") == n, F.col("v")), ignorenulls=True).alias(n) for n in dims.NAMES],
+        *[F.first(F.when(F.col("concept") == n, F.col("v")), ignorenulls=True).alias(n) for n in read],
         *[F.first(F.when(F.col("concept") == "short_term_debt", F.col(f"part{i}")), ignorenulls=True).alias(f"part{i}") for i in range(3)],
     )
+    wide = wide.withColumns({n: F.lit(None).cast(VALUE_TYPE) for n in dims.NAMES if n not in read})
     c = F.col
-    replaced = F.flatten(F.array(*[c(n)["warnings"] for n in dims.NAMES]))
+    replaced = F.flatten(F.array(*[c(n)["warnings"] for n in read]))
     rev, cost = c("revenue"), c("cost_of_revenue")
     gross = value_struct(
         value=rev["value"] - cost["value"], unit=rev["unit"], accession_number=rev["accession_number"], period_start=rev["period_start"], period_end=rev["period_end"], available_at=_latest(rev, cost),

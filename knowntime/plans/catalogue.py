@@ -386,7 +386,8 @@ def dense_nation_bars(spark, sf_dir) -> DataFrame:
     market_ = raw.groupBy("trading_date").agg(F.round(F.avg("close"), 6).alias("close")).select(F.lit("MARKET").alias("symbol"), "trading_date", "close")
     everyone = raw.unionByName(market_)
     days = market_.select("trading_date")
-    grid = F.broadcast(everyone.select("symbol").distinct()).join(days, F.lit(True))
+    ends = everyone.groupBy("symbol").agg(F.min("trading_date").alias("first")).crossJoin(F.broadcast(days.agg(F.max("trading_date").alias("last"))))  # one row on the right
+    grid = ends.select("symbol", F.explode(F.sequence("first", "last")).alias("trading_date")).join(days, "trading_date", "left_semi")
     w = Window.partitionBy("symbol").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(everyone, ["symbol", "trading_date"], "left").withColumn("close", F.last("close", ignorenulls=True).over(w)).where("close is not null")
     return filled.withColumn("available_at", S.bar_available_at(F.col("trading_date"), F.lit("America/New_York")))
@@ -425,32 +426,34 @@ def rebalance_pairs(spark, sf_dir):
     return pairs.select(F.col("run_id").alias("schedule"), F.col("decision_date").cast("string").alias("decision_date"), F.col("effective_date").cast("string").alias("effective_date"))
 
 
-_ALIGNED_SQL = (
-    _with(A.bars_sql())
-    + """, k AS (SELECT * FROM bars WHERE symbol IN ('A', 'R') AND trading_date BETWEEN DATE '2000-12-29' - 550 AND DATE '2000-12-29'),
-d AS (SELECT trading_date, row_number() OVER (ORDER BY trading_date DESC) AS rn FROM k GROUP BY 1 HAVING count(*) = 2),
+def _aligned_sql(key: str) -> str:
+    return (
+        _with(A.bars_sql(key))
+        + """, k AS (SELECT * FROM bars WHERE trading_date BETWEEN DATE '2000-12-29' - 550 AND DATE '2000-12-29'),
+d AS (SELECT trading_date, row_number() OVER (ORDER BY trading_date DESC) AS rn FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM k)),
 r AS (SELECT symbol, trading_date, close / lag(close) OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS ret FROM k JOIN d USING (trading_date) WHERE rn <= 253)"""
-)
+    )
 
 
-def _pair_returns(spark, sf_dir):
-    bars = A.bars(spark, sf_dir).where(F.col("symbol").isin("A", "R"))
-    group = bars.select("symbol").distinct().select(F.lit("pair").alias("run_id"), F.lit("2000-12-29").cast("date").alias("decision_date"), F.lit("2000-12-29 23:30:00").cast("timestamp").alias("decision_at"), "symbol")
+def _common_returns(spark, sf_dir, key):
+    bars = A.bars(spark, sf_dir, key)
+    group = bars.select("symbol").distinct().select(F.lit("all").alias("run_id"), F.lit("2000-12-29").cast("date").alias("decision_date"), F.lit("2000-12-29 23:30:00").cast("timestamp").alias("decision_at"), "symbol")
     return portfolio.aligned_returns(group, bars)
 
 
-@query(_ALIGNED_SQL + ", v AS (SELECT symbol, 1 / stddev_samp(ret) AS i FROM r GROUP BY 1) SELECT symbol, round(i / sum(i) OVER (), 6) AS weight FROM v")
+@query(_aligned_sql("l_returnflag") + ", v AS (SELECT symbol, 1 / stddev_samp(ret) AS i FROM r GROUP BY 1) SELECT symbol, round(i / sum(i) OVER (), 6) AS weight FROM v")
 def inverse_volatility(spark, sf_dir):
-    return portfolio.inverse_volatility_weights(_pair_returns(spark, sf_dir)).select("symbol", _r("weight").alias("weight"))
+    return portfolio.inverse_volatility_weights(_common_returns(spark, sf_dir, "l_returnflag")).select("symbol", _r("weight").alias("weight"))
 
 
 @query(
-    _ALIGNED_SQL
-    + """, c AS (SELECT var_samp(a.ret) AS va, var_samp(b.ret) AS vb, covar_samp(a.ret, b.ret) AS ab FROM r a JOIN r b USING (trading_date) WHERE a.symbol = 'A' AND b.symbol = 'R'),
-w AS (SELECT least(greatest((vb - ab) / (va + vb - 2 * ab), 0.0), 1.0) AS a FROM c) SELECT unnest(['A', 'R']) AS symbol, round(unnest([a, 1 - a]), 6) AS weight FROM w"""
+    _aligned_sql("l_linestatus")
+    + """, c AS (SELECT var_samp(a.ret) AS va, var_samp(b.ret) AS vb, covar_samp(a.ret, b.ret) AS ab FROM r a JOIN r b USING (trading_date) WHERE a.symbol = 'F' AND b.symbol = 'O'),
+w AS (SELECT least(greatest((vb - ab) / (va + vb - 2 * ab), 0.0), 1.0) AS a FROM c) SELECT unnest(['F', 'O']) AS symbol, round(unnest([a, 1 - a]), 6) AS weight FROM w"""
 )
 def minimum_variance(spark, sf_dir):
-    return portfolio.minimum_variance_weights(portfolio.covariances(_pair_returns(spark, sf_dir))).select("symbol", _r("weight").alias("weight"))
+    """The two line statuses share all items, so SQL has a closed form; tests hold more names to brute force."""
+    return portfolio.minimum_variance_weights(portfolio.covariances(_common_returns(spark, sf_dir, "l_linestatus"))).select("symbol", _r("weight").alias("weight"))
 
 
 # Data quality, sinks and sources ------------------------------------------------------------

@@ -130,12 +130,16 @@ def resolve_tickers(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return asked.join(first, "ticker", "left").select("ticker", "e.cik", "e.title", F.col("e.cik").isNotNull().alias("found"))
 
 
-def bar_payloads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bar_payloads(docs: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbol, adjustment_mode, doc PAYLOAD) -> (typed bars, rejected rows with reasons).
 
     Malformed rows, and all rows of a payload without currency or time zone, are
-    rejected; an empty payload gives neither.
+    rejected; an empty payload gives neither. A zone that is not in ``zones(zone)`` counts
+    as missing: Spark would stop the job at it. Without ``zones``, Spark's own list is used.
+    Bars carry ``available_at``, 16:15 of their day in their zone.
     """
+    from knowntime.operators.quality import known_zones, with_known_zone
+
     zone = F.coalesce(F.nullif(F.trim("doc.meta.exchange_timezone"), F.lit("")), F.nullif(F.trim("doc.meta.timezone"), F.lit("")))
     rows = docs.select("symbol", "adjustment_mode", F.nullif(F.trim("doc.meta.currency"), F.lit("")).alias("currency"), zone.alias("exchange_timezone"), F.explode("doc.values").alias("b"))
     price = lambda c: F.regexp_replace(F.trim(c), ",", "").try_cast("decimal(18,6)")
@@ -150,8 +154,9 @@ def bar_payloads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             *[F.when(F.col(n).isNull(), F.lit(f"malformed_{n}")) for n in ("open", "high", "low", "close", "volume")],
         )
     )
-    marked = typed.withColumn("faults", faults)
-    return marked.where(F.size("faults") == 0).drop("raw", "faults"), marked.where(F.size("faults") > 0).select("symbol", "adjustment_mode", "raw", "faults")
+    marked = with_known_zone(typed, zones if zones is not None else known_zones(docs.sparkSession)).withColumn("faults", faults)
+    good = marked.where(F.size("faults") == 0).drop("raw", "faults")
+    return good.withColumn("available_at", S.bar_available_at(F.col("trading_date"), F.col("exchange_timezone"))), marked.where(F.size("faults") > 0).select("symbol", "adjustment_mode", "raw", "faults")
 
 
 def strategies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knowntime.operators.quality import BAR_KEY
+from knowntime.functions.scalars import request_fingerprint
+from knowntime.operators.quality import BAR_KEY, mapping_violations
 
 
 def replace_by_key(base: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,10 +21,15 @@ def replace_by_key(base: DataFrame, incoming: DataFrame, keys: Sequence[str]) ->
 
 
 def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("created_at",)) -> DataFrame:
-    """Insert new keys, update the others' columns; ``keep`` columns stay as first stored."""
-    old, new = base.alias("o"), incoming.alias("n")
+    """Insert new keys, update the others' columns; ``keep`` columns stay as first stored.
+
+    Null keys are equal to each other. Of several incoming rows of a key the greatest counts.
+    """
+    rest = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *([f"__row.{c}" for c in rest]))
+    old, new = base.alias("o"), one.withColumn("__there", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
-    there = F.coalesce(*[F.col(f"n.{k}").isNotNull() for k in keys[:1]])
+    there = F.col("n.__there").isNotNull()
     out = []
     for c in base.columns:
         if c in keys or c in keep:
@@ -75,9 +81,27 @@ def confirm_metadata(instruments: DataFrame, observed: DataFrame) -> tuple[DataF
     return marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in instruments.columns]), marked.where("__clash").select("instrument_id", F.col("__c").alias("currency"), F.col("__z").alias("exchange_timezone"))
 
 
+FACTOR_VALUE_KEY = ("cik", "factor", "fiscal_year", "fiscal_period", "as_of")
+
+
+def store_factor_values(base: DataFrame, results: DataFrame) -> DataFrame:
+    """Stored factor values with the valid ones of ``results`` put in or over those of the same key."""
+    valid = results.where(F.col("valid") & F.col("value").isNotNull())
+    return replace_by_key(base, valid.select(*base.columns), FACTOR_VALUE_KEY)
+
+
 def lookup_factor_values(values: DataFrame, requests: DataFrame) -> DataFrame:
-    """Valid stored factor values by (ticker, factor, fiscal_year, fiscal_period, as_of)."""
-    return requests.join(values.where("valid"), ["ticker", "factor", "fiscal_year", "fiscal_period", "as_of"])
+    """Stored factor values of the requests' (cik, factor, fiscal_year, fiscal_period, as_of)."""
+    return requests.join(values, list(FACTOR_VALUE_KEY))
+
+
+def upsert_mappings(base: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, violations): symbol mappings upserted by mapping_id, unless the outcome would
+    break an invariant: incoming rows that take part in a violation stay out."""
+    tried = upsert(base, incoming, ["mapping_id"], keep=())
+    bad = mapping_violations(tried)
+    fine = incoming.join(bad.select("mapping_id").distinct(), "mapping_id", "left_anti")
+    return upsert(base, fine, ["mapping_id"], keep=()), bad.join(incoming.select("mapping_id").distinct(), "mapping_id", "left_semi")
 
 
 def latest_success(runs: DataFrame, by: Sequence[str] = ("ticker",)) -> DataFrame:
@@ -100,9 +124,10 @@ def read_version(spark: SparkSession, path: str, before: str | None = None) -> D
 
 
 def write_backtest(result: dict[str, DataFrame], path: str) -> None:
-    """Children first, run rows last: a run counts as stored once its row is there."""
+    """Children first, run rows last: a run counts as stored once its row is there. A run
+    written again replaces what it left before."""
     for name in ("equity", "transitions", "rebalances", "runs"):
-        result[name].write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+        result[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
 def read_backtest(spark: SparkSession, path: str, run_ids: Sequence[str] | None = None) -> DataFrame:
@@ -117,9 +142,24 @@ def read_backtest(spark: SparkSession, path: str, run_ids: Sequence[str] | None
     return runs
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object, fields in name order."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
+
+
 def export_json(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """One JSON object per row, fields in name order, rows in key order."""
-    df.orderBy(*keys).select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+    json_rows(df.orderBy(*keys)).write.text(path)
+
+
+def backtest_documents(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """(run_id, document): a stored run with its request, the request's fingerprint and its
+    children as one JSON object; figures that don't exist are left out."""
+    fields = [c for c in requests.columns if c != "run_id"]
+    economic = {c: F.col(c) for c in fields if c not in ("name", "description")}
+    asked = requests.select("run_id", F.struct(*fields).alias("request"), request_fingerprint(economic).alias("fingerprint"))
+    both = stored.join(asked, "run_id")
+    return both.select("run_id", F.to_json(F.struct(*sorted(both.columns))).alias("document"))
 
 
 def run_log(runs: DataFrame, path: str) -> None:

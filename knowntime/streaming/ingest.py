@@ -1,28 +1,69 @@
 """Incremental ingest with Structured Streaming: bars and facts from files, merged batch by batch.
 
-No watermark is set on ``available_at``: backfilled filings arrive years after it.
+A store is a table partitioned by what a batch can touch little of: months of bars, and
+buckets of fact ids. A batch merges and rewrites the partitions it touches, under its own
+number; the pointer names the number that holds a partition, so a replayed batch writes the
+same again, and what no pointer names any more is deleted. No watermark is set on
+``available_at``: backfilled filings arrive years after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from knowntime.functions.scalars import ohlcv_faults
 from knowntime.operators.pit import first_known
 from knowntime.operators.quality import BAR_KEY, dedup_bars
-from knowntime.sources.sinks import classify_bars, read_version, write_version
+from knowntime.sources.sinks import classify_bars
 
+FACT_BUCKETS = 256
 
-def _stored(spark: SparkSession, path: str, like: DataFrame, before: str) -> DataFrame:
-    """What batches before this one left; a replayed batch does not see its own result."""
-    jvm = spark._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
-    found = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer) and read_version(spark, path, before)
-    return found or like.limit(0)
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _pointers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(part, batch): the batch that holds each partition, as batches below ``before`` left it."""
+    if not _exists(spark, f"{path}/_pointers"):
+        return spark.createDataFrame([], "part string, batch long")
+    rows = spark.read.schema("part string, batch long").parquet(f"{path}/_pointers")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    return rows.groupBy("part").agg(F.max("batch").alias("batch"))
+
+
+def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of a store, with ``part``; None before its first batch."""
+    if not _exists(spark, f"{path}/rows"):
+        return None
+    return spark.read.parquet(f"{path}/rows").join(F.broadcast(_pointers(spark, path, before)), ["part", "batch"], "left_semi").drop("batch")
+
+
+def _merge(batch: DataFrame, number: int, path: str, part: Column, work: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the partitions that ``batch`` touches as ``work(stored, batch)``."""
+    spark = batch.sparkSession
+    incoming = batch.withColumn("part", part)
+    touched = incoming.select("part").distinct()
+    stored = read_store(spark, path, number)
+    old = incoming.limit(0) if stored is None else stored.join(F.broadcast(touched), "part", "left_semi").select(incoming.columns)
+    merged = work(old.drop("part"), batch).withColumn("part", part).withColumn("batch", F.lit(number).cast("long"))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(f"{path}/rows")
+    touched.select("part", F.lit(number).cast("long").alias("batch")).coalesce(1).write.mode("append").parquet(f"{path}/_pointers")
+    if number > 1:  # the batch before may be read by a replay of this one
+        kept = _pointers(spark, path, number)
+        gone = spark.read.schema("part string, batch long").parquet(f"{path}/_pointers").where(F.col("batch") < number - 1).join(kept, ["part", "batch"], "left_anti").distinct()
+        for row in gone.collect():  # a row for each partition rewritten since
+            _delete(spark, f"{path}/rows/batch={row['batch']}/part={row['part']}")
 
 
 def _start(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -30,17 +71,12 @@ def _start(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int],
 
 
 def stream_bars(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Bars from new Parquet files: invalid rows and conflicting dates are dropped, the rest upserted.
-
-    A replayed batch writes the same version again, so results do not change.
-    """
+    """Bars from new Parquet files: invalid rows and conflicting dates are dropped, the rest upserted."""
 
     def merge(batch: DataFrame, number: int) -> None:
         valid = batch.where(F.size(ohlcv_faults(*[F.col(c) for c in ("open", "high", "low", "close", "volume")])) == 0)
         incoming, _ = dedup_bars(valid, BAR_KEY)
-        version = f"{number:09d}"
-        merged, _ = classify_bars(_stored(batch.sparkSession, path, incoming, version), incoming)
-        write_version(merged, path, version)
+        _merge(incoming, number, path, F.date_format("trading_date", "yyyy-MM"), lambda old, new: classify_bars(old, new)[0])
 
     return _start(spark.readStream.schema(schema).parquet(source), checkpoint, merge)
 
@@ -49,8 +85,7 @@ def stream_facts(spark: SparkSession, source: str, schema: str, path: str, check
     """Facts from new Parquet files; of equal fact_ids the earliest availability stays."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        version = f"{number:09d}"
-        stored = _stored(batch.sparkSession, path, batch, version)
-        write_version(first_known(stored.unionByName(batch)), path, version)
+        bucket = F.pmod(F.xxhash64("fact_id"), F.lit(FACT_BUCKETS)).cast("string")
+        _merge(batch, number, path, bucket, lambda old, new: first_known(old.unionByName(new)))
 
     return _start(spark.readStream.schema(schema).parquet(source), checkpoint, merge)

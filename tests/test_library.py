@@ -241,8 +241,27 @@ def test_streams_are_idempotent(spark, tmp_path):
     for k, rows in enumerate(([row("2020-01-01", 1.0), row("2020-01-02", -1.0)], [row("2020-01-01", 2.0), row("2020-01-03", 3.0)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.stream_bars(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    stored = sinks.read_version(spark, f"{tmp_path}/out")
+    stored = ingest.read_store(spark, f"{tmp_path}/out")
     assert sorted((str(r.trading_date), r.close) for r in stored.collect()) == [("2020-01-01", 2.0), ("2020-01-03", 3.0)]
+    assert [(str(r.trading_date), r.close) for r in ingest.read_store(spark, f"{tmp_path}/out", 1).collect()] == [("2020-01-01", 1.0)]
+    for k in range(3):  # only the months that a batch touches are rewritten, and what they replace goes
+        spark.createDataFrame([row(f"2020-0{2 + k % 2}-01", 5.0 + k)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.stream_bars(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    held = sorted(f"{b}/{p}" for b in os.listdir(f"{tmp_path}/out/rows") if b.startswith("batch") for p in os.listdir(f"{tmp_path}/out/rows/{b}") if p.startswith("part="))
+    assert held == ["batch=1/part=2020-01", "batch=2/part=2020-02", "batch=3/part=2020-03", "batch=4/part=2020-02"] or held == ["batch=1/part=2020-01", "batch=3/part=2020-03", "batch=4/part=2020-02"]
+    got = {(str(r.trading_date), r.close) for r in ingest.read_store(spark, f"{tmp_path}/out").collect()}
+    assert got == {("2020-01-01", 2.0), ("2020-01-03", 3.0), ("2020-02-01", 7.0), ("2020-03-01", 6.0)}
+
+
+def test_fact_stream_keeps_the_earliest(spark, tmp_path):
+    from knowntime.streaming import ingest
+
+    first, later = fact("Assets", 1, "2020-12-31", "2021-02-01"), fact("Assets", 1, "2020-12-31", "2021-06-01")
+    rows = [[first[:-1] + ("x",), later[:-1] + ("y",)], [later[:-1] + ("x",), first[:-1] + ("y",)]]
+    for some in rows:
+        spark.createDataFrame(some, FACT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.stream_facts(spark, f"{tmp_path}/in", FACT, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert {r.fact_id: r.filing_date for r in ingest.read_store(spark, f"{tmp_path}/out").collect()} == {"x": d("2021-02-01"), "y": d("2021-02-01")}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
