@@ -5,25 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder that ``spark.checkpoint.dir`` names and read it back.
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
-    Cuts the lineage of frames that several later steps use; a lost executor costs a
-    re-read. Without the setting, and with all of Spark in one process (unit tests), one
+    Without the setting, and with all of Spark in one process (unit tests), one
     temporary folder per application serves; a cluster must name a shared one.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="knowntime-")) if app not in _own else _own[app]
-    path = f"{base.rstrip('/')}/knowntime-{uuid.uuid4().hex}"
+        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="knowntime-")
+    return f"{base.rstrip('/')}/knowntime-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to a new scratch path and read it back.
+
+    Cuts the lineage of frames that several later steps use; a lost executor costs a
+    re-read.
+    """
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,7 +85,7 @@ def fetch_starts(requests: DataFrame, ranges: DataFrame, overlap: int = 5) -> Da
 
 def ingest_status(modes: DataFrame) -> DataFrame:
     """(run_id, mode, committed, clean) -> (run_id, status)."""
-    return modes.groupBy("run_id").agg(F.sum("committed").alias("rows"), F.bool_and("clean").alias("clean")).select("run_id", F.when(F.coalesce("rows", F.lit(0)) == 0, "failed").when("clean", "success").otherwise("partial").alias("status"))
+    return modes.groupBy("run_id").agg(F.sum("committed").alias("rows"), F.bool_and("clean").alias("clean")).select("run_id", F.when(F.coalesce("rows", F.lit(0)) == 0, "failed").when(F.col("clean"), "success").otherwise("partial").alias("status"))
 
 
 def mapping_coverage(requests: DataFrame, mappings: DataFrame) -> DataFrame:

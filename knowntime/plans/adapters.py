@@ -6,7 +6,7 @@ for securities, events for knowledge-time prices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import bar_available_at
@@ -131,3 +131,81 @@ def issuer_requests(spark: SparkSession, sf_dir: str, as_ofs: list[str], first_y
     times = F.explode(F.array(*[F.lit(t).cast("timestamp") for t in as_ofs]))
     years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
     return issuers.withColumn("fiscal_year", years).withColumn("fiscal_period", F.lit("FY")).withColumn("as_of", times)
+
+
+#: Reported tag, canonical concept and whether it is an instant, by order key modulo their number.
+RICH_CONCEPTS = (
+    ("NetIncomeLoss", "net_income", False),
+    ("Assets", "total_assets", True),
+    ("Revenues", "revenue", False),
+    ("NetCashProvidedByUsedInOperatingActivities", "operating_cash_flow", False),
+    ("PaymentsToAcquirePropertyPlantAndEquipment", "capital_expenditures", False),
+    ("CostOfRevenue", "cost_of_revenue", False),
+    ("OperatingIncomeLoss", "operating_income", False),
+    ("IncomeTaxExpenseBenefit", "income_tax_expense", False),
+    ("DepreciationDepletionAndAmortization", "depreciation_and_amortization", False),
+    ("Cash", "cash_and_equivalents", True),
+    ("ShortTermInvestments", "short_term_investments", True),
+    ("AssetsCurrent", "total_current_assets", True),
+    ("LiabilitiesCurrent", "total_current_liabilities", True),
+    ("StockholdersEquity", "stockholders_equity", True),
+    ("ShortTermBorrowings", "short_term_debt", True),
+    ("CommercialPaper", "short_term_debt", True),
+    ("LongTermDebtCurrent", "short_term_debt", True),
+    ("LongTermDebtNoncurrent", "long_term_debt", True),
+)
+
+
+def rich_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual facts of many concepts, some negative: incomes and equity may fall below zero, tax
+    may exceed income, depreciation is reported with a minus sign."""
+    rows, n = facts(spark, sf_dir), F.col("accession_number").cast("long") % len(RICH_CONCEPTS)
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in RICH_CONCEPTS]), (n + 1).cast("int"))
+    tag, name, instant = pick(0), pick(1), pick(2)
+    value = (
+        F.when(name.isin("net_income", "operating_income"), F.col("value") - 100_000).when(name == "stockholders_equity", F.col("value") - 200_000)
+        .when(name == "income_tax_expense", F.col("value") / 4 - 20_000).when(name == "depreciation_and_amortization", -F.col("value")).otherwise(F.col("value"))
+    )
+    return rows.withColumns({"concept": tag, "value": value, "start_date": F.when(~instant, F.make_date("fiscal_year", F.lit(1), F.lit(1)))})
+
+
+_TAG_SQL = "CASE o_orderkey % 18 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _, _) in enumerate(RICH_CONCEPTS)) + " END"
+_NAME_SQL = "CASE o_orderkey % 18 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _) in enumerate(RICH_CONCEPTS)) + " END"
+RICH_SQL = f"""rich AS (
+    SELECT f.cik, {_TAG_SQL} AS tag, {_NAME_SQL} AS canonical, f.fiscal_year, f.available_on, f.accession_number, f.form_score, f.amended,
+           CASE {_NAME_SQL} WHEN 'net_income' THEN f.value - 100000 WHEN 'operating_income' THEN f.value - 100000 WHEN 'stockholders_equity' THEN f.value - 200000 WHEN 'income_tax_expense' THEN f.value / 4 - 20000 ELSE f.value END AS value
+    FROM facts f JOIN orders o ON f.accession_number = CAST(o.o_orderkey AS VARCHAR))"""
+
+
+def quarter_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly facts: a nation's orders of a concept, summed over the quarter for every third
+    nation and from the start of the year for the others; every fifth nation begins the
+    half-year's sum nine days late. Known 40 days after the quarter."""
+    rows = facts(spark, sf_dir).groupBy("cik", "concept", "fiscal_year", F.quarter("filing_date").alias("q")).agg(F.sum("value").alias("v"))
+    w = Window.partitionBy("cik", "concept", "fiscal_year").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
+    number, alone = F.col("cik").cast("int"), F.col("cik").cast("int") % 3 == 1
+    first = F.make_date("fiscal_year", F.lit(1), F.lit(1))
+    begin = F.make_date("fiscal_year", (F.col("q") * 3 - 2).cast("int"), F.lit(1))
+    end = F.last_day(F.add_months(begin, 2))
+    start = F.when(F.col("concept") == "Assets", None).when(alone, begin).when((number % 5 == 0) & (F.col("q") == 2), F.date_add(first, 9)).otherwise(first)
+    made = rows.withColumn("cum", F.sum("v").over(w)).withColumn("end_date", end).withColumn("start_date", start).withColumn("value", F.when(alone, F.col("v")).otherwise(F.col("cum")))
+    return made.select(
+        "cik", F.lit("us-gaap").alias("taxonomy"), "concept", F.lit("USD").alias("unit"), "value", "start_date", "end_date", F.date_add("end_date", 30).alias("filing_date"), F.lit(None).cast("timestamp").alias("acceptance_datetime"), F.date_add("end_date", 40).cast("timestamp").alias("available_at"),
+        F.concat_ws("-", "cik", "fiscal_year", "q").alias("accession_number"), F.lit("10-Q").alias("form"), "fiscal_year", F.concat(F.lit("Q"), F.col("q").cast("string")).alias("fiscal_period"), F.lit(None).cast("string").alias("frame"), F.concat_ws("-", "cik", "concept", "fiscal_year", "q").alias("fact_id"),
+    )
+
+
+QUARTERS_SQL = """cells AS (
+    SELECT cik, canonical, fiscal_year, quarter(filing_date) AS q, sum(value) AS v FROM facts GROUP BY 1, 2, 3, 4),
+quarters AS (
+    SELECT *, sum(v) OVER (PARTITION BY cik, canonical, fiscal_year ORDER BY q) AS cum, CAST(cik AS INTEGER) % 3 = 1 AS alone, CAST(cik AS INTEGER) % 5 = 0 AS late,
+           last_day(make_date(fiscal_year, q * 3, 1)) AS end_date, last_day(make_date(fiscal_year, q * 3, 1)) + 40 AS available_on, cik || '-' || fiscal_year || '-' || q AS accession_number FROM cells)"""
+
+
+def dense_bars_sql() -> str:
+    """``dense(symbol, trading_date, close)``: nation bars carried over the orders' calendar, and MARKET."""
+    return """raw AS (SELECT symbol, trading_date, CAST(close AS DOUBLE) AS close FROM nation_bars),
+    everyone AS (SELECT * FROM raw UNION ALL SELECT 'MARKET', trading_date, round(avg(close), 6) FROM raw GROUP BY 2),
+    days AS (SELECT DISTINCT trading_date FROM raw),
+    dense AS (SELECT symbol, trading_date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trading_date) AS close
+              FROM (SELECT s.symbol, d.trading_date FROM (SELECT DISTINCT symbol FROM everyone) s, days d) LEFT JOIN everyone USING (symbol, trading_date) QUALIFY close IS NOT NULL OR last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trading_date) IS NOT NULL)"""

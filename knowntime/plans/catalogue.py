@@ -631,9 +631,15 @@ def resolved_tickers(spark, sf_dir):
     return documents.resolve_tickers(asked, documents.ticker_entries(docs)).select("ticker", "cik", "found")
 
 
+def _register() -> None:
+    from knowntime.plans import details, figures  # noqa: F401  their queries enter as they are read
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register()
     return dict(_spark)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_sql)
