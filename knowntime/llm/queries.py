@@ -17,7 +17,7 @@ from knowntime.llm.packing import pack_documents
 from knowntime.llm.secrets import listing, scan_secrets
 from knowntime.llm.simhash import near_duplicates
 from knowntime.llm.tokens import token_counts
-from knowntime.llm.urls import judge_urls
+from knowntime.llm.urls import judge_urls, match_rules
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can count."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say: the parts of each url and the rule that fits."""
+    rules = spark.createDataFrame([tuple(r) for r in URL_RULES], "verdict string, rule string")
+    return match_rules(read_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op5_embedding_near_dedup, op6_url_filter, op7_token_counts,
-        op8_best_fit_packing, op9_lm_scoring, op10_language_id,
+        op8_best_fit_packing, op9_lm_scoring, op10_language_id, secret_counts, url_rules,
     )}
 
 
@@ -115,6 +126,20 @@ _ORACLES = {
                CAST(sum(length(role) + 5 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1~\2\3', 'g')) + 8) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "secret_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 8)) AS n_assign,
+               len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16)) AS n_access,
+               len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda v: length(v) >= 32)) AS n_hex
+        FROM t
+    """,
+    "url_rules": """
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+        r AS (SELECT unnest(['org/', 'example.org/es/', 'example.org/en/1', 'com/fr/', 'com/de/']) AS rule)
+        SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/')))) AS rule
+        FROM p
+    """,
 }
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from knowntime.llm._shared import release, stash
 
+TOGETHER = 4
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -69,9 +71,9 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(src, dst, n) links and (host, trusted, blocked) page counts -> (host, trust, distrust).
 
-    Both walks advance in one job per round, written to the shared folder, until
-    the sum over hosts of the absolute changes of both is at most ``tolerance``
-    (looked at every fourth round) or ``rounds`` are done; without ``rounds``, those
+    Both walks advance ``TOGETHER`` rounds in a job, written to the shared folder, until
+    the sum over hosts of the absolute changes of both over a job is at most ``tolerance``
+    or ``rounds`` are done; without ``rounds``, those
     after which damping leaves no larger change. Totals are 1 at most, so neither
     depends on the number of hosts. Weight on a host without links in a walk's
     direction is lost, as with seeds only.
@@ -92,19 +94,21 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             moves.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("w_t"), (F.col("n") / F.col("in_n")).alias("w_d"))
         )
     )
-    none = F.lit(0.0)
     state = start.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust"))
-    restart = start.select("host", ((1 - damping) * F.col("s_t")).alias("t"), ((1 - damping) * F.col("s_d")).alias("d"), none.alias("old_t"), none.alias("old_d"))
-    for done in range(1, rounds + 1):
-        sent = moves.join(state, moves["at"] == state["host"]).select(
-            F.col("to").alias("host"), (damping * F.col("w_t") * F.col("trust")).alias("t"), (damping * F.col("w_d") * F.col("distrust")).alias("d"), none.alias("old_t"), none.alias("old_d")
-        )
-        held = state.select("host", none.alias("t"), none.alias("d"), F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
-        summed = restart.unionByName(sent).unionByName(held).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "old_t", "old_d")])
-        new = stash(summed.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), (F.abs(F.col("t") - F.col("old_t")) + F.abs(F.col("d") - F.col("old_d"))).alias("change")))
+    restart = start.select("host", ((1 - damping) * F.col("s_t")).alias("t"), ((1 - damping) * F.col("s_d")).alias("d"))
+    done = 0
+    while done < rounds:
+        new = state
+        for _ in range(min(TOGETHER, rounds - done)):
+            sent = moves.join(new, moves["at"] == new["host"]).select(F.col("to").alias("host"), (damping * F.col("w_t") * F.col("trust")).alias("t"), (damping * F.col("w_d") * F.col("distrust")).alias("d"))
+            new = restart.unionByName(sent).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
+            done += 1
+        new = stash(new)
+        old = state.select("host", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        change = new.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("old_t")) + F.abs(F.col("distrust") - F.col("old_d"))).alias("c")).first()["c"] or 0.0
         release(state)
         state = new
-        if done % 4 == 0 and (state.agg(F.sum("change").alias("c")).first()["c"] or 0.0) <= tolerance:
+        if change <= tolerance:
             break
     return state.select("host", "trust", "distrust")
 
