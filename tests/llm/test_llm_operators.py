@@ -553,6 +553,22 @@ def test_gradients_lower_the_loss():
     assert (p.argmax(1) == y).mean() > 0.95 and np.allclose(p.sum(1), 1)
 
 
+def test_repeated_long_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", 1), (1, "token=abcdefgh1", 1), (None, "token=abcdefgh1", 2), (2, "plain " * 60_000, 3)], DOC + ", spans int")
+    got = secrets.scan_secrets(docs).select("doc_id", secrets.listing(F.col("spans")).alias("s")).collect()
+    assert sorted((str(r.doc_id), r.s) for r in got) == [("1", "assign:0:15"), ("1", "assign:0:15"), ("2", ""), ("None", "assign:0:15")]
+    link = '<a href="http://bad.de.com/de/x">' * 5000
+    pages = spark.createDataFrame([(1, "http://x.net/a", link, "r"), (1, "http://x.net/a", link, "r"), (2, "http://bad.de.com/de/", "<p>" * 100_000, "r"), (None, None, None, "r")], "page_id long, url string, html string, rule string")
+    rows = urls.judge_urls(pages, [("block", "com/de/")]).collect()
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in rows) == [("1", "x.net", "block"), ("1", "x.net", "block"), ("2", "bad.de.com", "block"), ("None", "", "allow")]
+    twice = spark.createDataFrame([(i % 40, ("ab " if i % 2 else "xy ") * 30, "a" if i % 2 else "x", 0) for i in range(80)] + [(None, "ab " * 80_000, None, 0)], DOC + ", lang string, lang_pred int")
+    found = langid.identify(twice, per_label=30).collect()
+    assert len(found) == 81 and all(r.lang_pred == ("a" if r.doc_id is None or r.doc_id % 2 else "x") for r in found)
+    items = spark.createDataFrame([(1, "an item of the benchmark, long enough to be told"), (1, "an item of the benchmark, long enough to be told"), (2, "y" * 20_000)], "item_id long, text string")
+    hits = decontaminate.contaminations(spark.createDataFrame([(5, "an item of the benchmark, long enough to be told", 0), (6, "y" * 20_000, 0)], DOC + ", start int"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.start) for r in hits) == [(5, 1, 0, 0), (6, 2, 0, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     path = tokenizer_path("byte_bpe_50k.json")
