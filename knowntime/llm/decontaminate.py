@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import small_batches
+from knowntime.llm._shared import release, small_batches, stash
 
 #: Characters of items that one pass holds in memory.
 BLOCK_CHARS = 4_000_000
@@ -120,27 +120,30 @@ class PieceIndex:
         return found
 
 
-def _blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The items as broadcast lists of (item_id, text), BLOCK_CHARS characters each on average."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[Broadcast]]:
+    """Number of blocks, and the items block by block as broadcast lists of (item_id, text),
+    ``block_chars`` characters each on average."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    count = -(-size // BLOCK_CHARS) or 1
+    count = -(-size // block_chars) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([(r["item_id"], r["text"]) for r in items.where(block == b).collect()]) for b in range(count)]
+    return count, (sc.broadcast([(r["item_id"], r["text"]) for r in items.where(block == b).collect()]) for b in range(count))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, budget, start, end): a row for each document and item in it.
 
     ``distance`` is the least edit distance of the item to the text and ``start``,
     ``end`` its place there, both after normalisation. Null and empty texts and
     items match nothing; repeated rows of documents give repeated rows, equal
-    items each their own. A document without a hit has no row.
+    items each their own. A document without a hit has no row. Of several blocks of items one
+    is broadcast at a time, and its hits are written before the next.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
-    for held in _blocks(benchmark):
+    count, blocks = _blocks(benchmark, block_chars)
+    for held in blocks:
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = PieceIndex(held.value, rate)
@@ -149,21 +152,33 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) ->
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance", "budget", "start", "end"])
 
         one = rows.mapInPandas(run, "doc_id long, item_id long, distance int, budget int, start int, end int")
+        if count > 1:
+            one = stash(one)
+            held.destroy()
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """documents without those that hold a test item; columns as given.
 
-    Each block of items filters rows where they lie, so no text is shuffled.
+    Each block of items filters rows where they lie, so no text is shuffled; of several
+    blocks one is broadcast at a time, and what it leaves is written before the next.
     """
-    for held in _blocks(benchmark):
+    left = docs
+    count, blocks = _blocks(benchmark, block_chars)
+    for held in blocks:
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = PieceIndex(held.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(normalised(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = small_batches(docs).mapInArrow(keep, docs.schema)
-    return docs
+        rest = small_batches(left).mapInArrow(keep, docs.schema)
+        if count > 1:
+            rest = stash(rest)
+            held.destroy()
+            if left is not docs:  # what the block before left
+                release(left)
+        left = rest
+    return left

@@ -131,6 +131,9 @@ def test_decontamination(spark):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 0, 0), (1, 0, 0), (2, 1, 4)]
     kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == ["doc_id", "text"]
+    table, items_table = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminations(table, items_table, block_chars=100).collect()) == [(1, 0), (1, 0), (2, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table, items_table, block_chars=100).collect()) == [3, 4, 5, 6]
 
 
 def test_contaminations_equal_a_slow_search(spark):
