@@ -13,11 +13,13 @@ from knowntime.llm.decontaminate import contaminations
 from knowntime.llm.embeddings import near_vectors
 from knowntime.llm.langid import identify
 from knowntime.llm.lm import score_documents
+from knowntime.llm.neighbours import nearest_vectors
 from knowntime.llm.packing import pack_documents
 from knowntime.llm.secrets import listing, scan_secrets
 from knowntime.llm.simhash import near_duplicates
 from knowntime.llm.tokens import token_counts
 from knowntime.llm.urls import judge_urls, match_rules
+from knowntime.llm.whitening import whiten
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can count."""
     return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -108,7 +118,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op5_embedding_near_dedup, op6_url_filter, op7_token_counts,
-        op8_best_fit_packing, op9_lm_scoring, op10_language_id, secret_counts, url_rules,
+        op8_best_fit_packing, op9_lm_scoring, op10_language_id, op11_nearest_neighbours, op13_whitening, secret_counts, url_rules,
     )}
 
 
@@ -126,6 +136,14 @@ _ORACLES = {
                CAST(sum(length(role) + 5 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1~\2\3', 'g')) + 8) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "op11_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+    """,
     "secret_counts": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 8)) AS n_assign,
