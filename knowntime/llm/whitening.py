@@ -37,10 +37,10 @@ Product = Callable[[np.ndarray], np.ndarray]
 
 def _orthogonal(t: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Orthonormal columns that span what ``t`` adds to the orthonormal ``basis``."""
-    for _ in range(2):
-        t = t - basis @ (basis.T @ t)
+    for least in (0, 1e-10, 1e-10):
         size = np.sqrt((t * t).sum(0))
-        t = t[:, size > 1e-10] / size[size > 1e-10]
+        t = t[:, size > least] / size[size > least]
+        t = t - basis @ (basis.T @ t)
     if not t.shape[1]:
         return t
     left, size, _ = np.linalg.svd(t, full_matrices=False)
