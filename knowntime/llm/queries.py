@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knowntime.llm._shared import read_table
 from knowntime.llm.chat import conversations_as_records, format_records, unescaped
+from knowntime.llm.collocations import collocations
 from knowntime.llm.decontaminate import contaminations
 from knowntime.llm.embeddings import near_vectors
 from knowntime.llm.langid import identify
@@ -100,6 +101,10 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -118,7 +123,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_decontamination, op3_secret_scan, op4_chat_format, op5_embedding_near_dedup, op6_url_filter, op7_token_counts,
-        op8_best_fit_packing, op9_lm_scoring, op10_language_id, op11_nearest_neighbours, op13_whitening, secret_counts, url_rules,
+        op8_best_fit_packing, op9_lm_scoring, op10_language_id, op11_nearest_neighbours, op12_phrase_collocations, op13_whitening, secret_counts, url_rules,
     )}
 
 
@@ -144,6 +149,29 @@ _ORACLES = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
     """,
+    "op12_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+        places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        grams AS (SELECT lang, words, i, unnest([1, 2, 3, 4]) AS size FROM places),
+        f AS (SELECT lang, array_to_string(list_slice(words, i, i + size - 1), ' ') AS phrase, size, count(*) AS f
+              FROM grams WHERE i + size - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 30),
+        cuts AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS p, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+        scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+                   FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(p, 1, k), ' ')
+                   JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(p, k + 1, c.size), ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        starts AS (SELECT lang, f, size, string_split(phrase, ' ') AS p, unnest(range(2, size)) AS part FROM f WHERE size > 2),
+        insides AS (SELECT lang, f, part, p, unnest(range(1, size - part + 2)) AS at FROM starts),
+        around AS (SELECT lang, array_to_string(list_slice(p, at, at + part - 1), ' ') AS phrase, max(f) AS f FROM insides GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best b JOIN totals USING (lang)
+        WHERE NOT EXISTS (SELECT 1 FROM around o WHERE o.lang = b.lang AND o.phrase = b.phrase AND CAST(100 AS HUGEINT) * o.f >= CAST(80 AS HUGEINT) * b.a)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
     "secret_counts": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 8)) AS n_assign,

@@ -45,7 +45,6 @@ def test_equals_brute_force(spark):
 def test_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(neighbours, "STRIPE_PAIRS", 500)
-    monkeypatch.setattr(neighbours, "TILE", 64)
     rng = np.random.default_rng(6)
     rows = [(i, np.round(rng.normal(size=5), 1).tolist()) for i in range(500)]  # rounded, so distances tie
     asked = F.col("vec_id") % 5 == 0
@@ -59,6 +58,20 @@ def test_magnitudes_and_wide_vectors(spark):
     same(found(spark, rows, F.col("vec_id") % 10 == 0), brute(rows, lambda i: i % 10 == 0, 10, np.longdouble))  # wider exponents
 
 
+def test_heaps_in_small_tiles(monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 50)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(20, 6)), np.round(rng.normal(size=(300, 6)))
+    heaps = neighbours.Heaps(a, 4)
+    for at in range(0, 300, 70):
+        heaps.meet(b[at : at + 70], np.arange(300)[at : at + 70] % 150, np.arange(300)[at : at + 70])
+    got = heaps.rows(np.arange(20)).sort_values(["q", "score", "least", "c"])
+    for q in range(20):
+        d = neighbours.distances(np.repeat(a[q : q + 1], 300, 0), b)
+        want = np.lexsort((np.arange(300), np.arange(300) % 150, d))[:4]
+        assert got[got["q"] == q]["c"].tolist() == want.tolist()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(40, 1500)), rng.normal(size=(30, 1500)) * 3
