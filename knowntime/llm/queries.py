@@ -165,8 +165,8 @@ _ORACLES = {
                    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(p, k + 1, c.size), ' ')),
         best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
         starts AS (SELECT lang, f, size, string_split(phrase, ' ') AS p, unnest(range(2, size)) AS part FROM f WHERE size > 2),
-        insides AS (SELECT lang, f, part, p, unnest(range(1, size - part + 2)) AS at FROM starts),
-        around AS (SELECT lang, array_to_string(list_slice(p, at, at + part - 1), ' ') AS phrase, max(f) AS f FROM insides GROUP BY ALL)
+        insides AS (SELECT lang, f, part, p, unnest(range(1, size - part + 2)) AS pos FROM starts),
+        around AS (SELECT lang, array_to_string(list_slice(p, pos, pos + part - 1), ' ') AS phrase, max(f) AS f FROM insides GROUP BY ALL)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM best b JOIN totals USING (lang)
         WHERE NOT EXISTS (SELECT 1 FROM around o WHERE o.lang = b.lang AND o.phrase = b.phrase AND CAST(100 AS HUGEINT) * o.f >= CAST(80 AS HUGEINT) * b.a)
