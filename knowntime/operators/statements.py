@@ -88,55 +88,74 @@ def _selected(fact: Column, warnings: Column) -> Column:
     )
 
 
-def _selections(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
-    """KEYS, canonical, and what one aggregation finds: standalone, ytd, components, counts.
+#: A key's facts are swept in as many parts, so a hot issuer and period is no single task.
+SWEEP_PARTS = 8
+_PERIOD = ["cik", "fiscal_year", "fiscal_period"]
 
-    One shuffle on (request, concept); the maxima combine before it.
+
+def _slotted(facts: DataFrame, requests: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mapped facts of the requested periods, each once, with the first ``as_of`` that knows it.
+
+    Facts and decision times of a period lie on one time axis, and the next decision time is
+    carried back over the facts before it; facts that no request knows drop out. A fact also
+    enters the next quarter (``own`` false) if that quarter may be derived from it.
     """
-    known = _mapped_facts(facts, names).join(requests.select(*KEYS).distinct(), ["cik", "fiscal_year", "fiscal_period"]).where(F.col("available_at") <= F.col("as_of"))
-    alone = F.col("type_ok") & ~F.col("is_ytd")
+    rows = _mapped_facts(facts, names).where("available_at is not null").withColumn("alone", F.col("type_ok") & ~F.col("is_ytd"))
+    period = F.col("fiscal_period")
+    after = F.when((period == "Q1") & F.col("alone"), "Q2").when((period == "Q2") & F.col("is_ytd"), "Q3")
+    roles = F.array_compact(F.array(F.struct(period.alias("p"), F.lit(True).alias("own")), F.when(after.isNotNull(), F.struct(after.alias("p"), F.lit(False).alias("own")))))
+    rows = rows.withColumn("role", F.explode(roles)).withColumns({"fiscal_period": F.col("role.p"), "own": F.col("role.own")}).drop("role")
+    rows = rows.join(requests.select(*_PERIOD).distinct(), _PERIOD, "left_semi")
+    part = F.pmod(F.xxhash64("accession_number", "fact_id", "concept"), F.lit(SWEEP_PARTS)).cast("int")
+    right = rows.select(*_PERIOD, part.alias("part"), F.col("available_at").alias("time"), F.lit(1).alias("side"), F.lit(None).cast("timestamp").alias("as_of"), F.struct(*[c for c in rows.columns if c not in _PERIOD]).alias("f"))
+    left = requests.where("as_of is not null").select(*_PERIOD, F.explode(F.array(*map(F.lit, range(SWEEP_PARTS)))).alias("part"), F.col("as_of").alias("time"), F.lit(0).alias("side"), "as_of", F.lit(None).alias("f"))
+    w = Window.partitionBy(*_PERIOD, "part").orderBy(F.desc("time"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = left.unionByName(right).withColumn("as_of", F.last("as_of", ignorenulls=True).over(w))
+    return swept.where("side = 1 and as_of is not null").select(*KEYS, "f.*")
+
+
+def _states(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
+    """KEYS, canonical, best, hi, lo, ytd, prior, candidates, part0..2: what each concept's facts
+    known by then make, where the ``as_of`` knows more than the one before it.
+
+    All are maxima, so a slot's facts combine before the shuffle, and slots combine by a
+    running maximum: a fact is read once, whatever the number of decision times.
+    """
+    rows = _slotted(facts, requests, names)
+    own, alone = F.col("own"), F.col("alone")
     tie = [F.coalesce("accession_number", F.lit("")).alias("a"), F.col("concept").alias("c"), F.coalesce("fact_id", F.lit("")).alias("f")]
-    score, ytd_score = _score(F.col("span_score")), _score(F.lit(1))
-    rounded = F.round("normalized", 6)
+    ranked = F.struct(F.struct(_score(F.when(F.col("is_ytd"), 1).otherwise(F.col("span_score"))).alias("s"), *tie).alias("o"), _fact().alias("v"))
+    score, rounded = _score(F.col("span_score")), F.round("normalized", 6)
     instant = F.col("start_date").isNull() | (F.col("start_date") == F.col("end_date"))
-    newest = F.struct("available_at", "end_key", *tie)
-    parts = [F.max_by(_fact(), F.when(instant & (F.col("concept") == t), newest)).alias(f"part{i}") for i, t in enumerate(_COMPONENT_TAGS)]
-    return known.groupBy(*KEYS, "canonical").agg(
-        F.max_by(_fact(), F.when(alone, F.struct(score.alias("s"), *tie))).alias("best"),
-        F.max(F.when(alone, F.struct(score.alias("s"), rounded.alias("v")))).alias("hi"),
-        F.max(F.when(alone, F.struct(score.alias("s"), (-rounded).alias("v")))).alias("lo"),
-        F.max_by(_fact(), F.when(F.col("is_ytd"), F.struct(ytd_score.alias("s"), *tie))).alias("ytd"),
-        F.count_if("type_ok").alias("candidates"),
-        *parts,
-    )
-
-
-def _quarter_helpers(requests: DataFrame) -> DataFrame:
-    """Requests and the quarters that deriving theirs needs."""
-    prior = requests.where(F.col("fiscal_period").isin("Q2", "Q3")).select("cik", "fiscal_year", prior_quarter(F.col("fiscal_period")).alias("fiscal_period"), "as_of")
-    return requests.select(*KEYS).unionByName(prior).distinct()
+    newest = F.struct(F.struct("available_at", "end_key", *tie).alias("o"), _fact().alias("v"))
+    maxima = {
+        "best": F.when(own & alone, ranked), "ytd": F.when(own & F.col("is_ytd"), ranked), "prior": F.when(~own, ranked),
+        "hi": F.when(own & alone, F.struct(score.alias("s"), rounded.alias("v"))), "lo": F.when(own & alone, F.struct(score.alias("s"), (-rounded).alias("v"))),
+        **{f"part{i}": F.when(own & instant & (F.col("concept") == t), newest) for i, t in enumerate(_COMPONENT_TAGS) if "short_term_debt" in names},
+    }
+    slots = rows.groupBy(*KEYS, "canonical").agg(*[F.max(c).alias(k) for k, c in maxima.items()], F.count_if(own & F.col("type_ok")).alias("candidates"))
+    w = Window.partitionBy(*_PERIOD, "canonical").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    found = slots.withColumns({**{k: F.max(k).over(w) for k in maxima}, "candidates": F.sum("candidates").over(w)})
+    facts_of = [F.col(f"{k}.v").alias(k) for k in maxima if k not in ("hi", "lo")]
+    none = [F.lit(None).cast(rows.select(_fact().alias("v")).schema["v"].dataType).alias(f"part{i}") for i in range(len(_COMPONENT_TAGS)) if "short_term_debt" not in names]
+    return found.select(*KEYS, "canonical", "hi", "lo", "candidates", *facts_of, *none)
 
 
 def normalized_requests(requests: DataFrame) -> DataFrame:
     return requests.select("cik", "fiscal_year", F.upper(F.trim("fiscal_period")).alias("fiscal_period"), F.col("as_of").cast("timestamp").alias("as_of")).distinct()
 
 
-def canonical_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
-    """(cik, fiscal_year, fiscal_period, as_of) -> KEYS, concept, v (VALUE_TYPE), part0..2.
+def wide_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
+    """(cik, fiscal_year, fiscal_period, as_of) -> KEYS, a VALUE_TYPE column per canonical concept of
+    ``names``, part0..2: a row for every request.
 
-    A row for every request and canonical concept of ``names``. Selection takes the best
-    version known; quarters whose only facts are cumulative are derived from them
-    (Q2 = six months - Q1, Q3 = nine - six months); what is missing says why.
+    Selection takes the best version known; quarters whose only facts are cumulative are
+    derived from them (Q2 = six months - Q1, Q3 = nine - six months); what is missing says
+    why. A concept's value is worked out where it changes and carried to the decision times
+    after it.
     """
     requests = normalized_requests(requests)
-    found = _selections(facts, _quarter_helpers(requests), names)
-    grid = requests.withColumn("canonical", F.explode(F.array(*map(F.lit, names))))
-    own = found.alias("own")
-    before = found.select(
-        "cik", "fiscal_year", "as_of", "canonical", F.when(F.col("fiscal_period") == "Q1", "Q2").when(F.col("fiscal_period") == "Q2", "Q3").alias("fiscal_period"),
-        F.when(F.col("fiscal_period") == "Q1", F.col("best")).otherwise(F.col("ytd")).alias("prior"),
-    ).where("fiscal_period is not null and prior is not null")
-    rows = grid.join(own, [*KEYS, "canonical"], "left").join(before, [*KEYS, "canonical"], "left")
+    rows = _states(facts, requests, names)
     units = F.create_map(*[F.lit(x) for c in dims.CONCEPTS for x in (c.name, c.unit)])
     flows = [c.name for c in dims.CONCEPTS if c.statement != "balance"]
     best, ytd, prior = F.col("best"), F.col("ytd"), F.col("prior")
@@ -173,7 +192,24 @@ def canonical_values(facts: DataFrame, requests: DataFrame, names: Sequence[str]
         .when(F.coalesce(F.col("candidates"), F.lit(0)) > 0, reject("only_cumulative_facts", "ytd_only", "missing_value"))
         .otherwise(reject("no_fact_known", "missing_value"))
     )
-    return rows.select(*KEYS, F.col("canonical").alias("concept"), v.alias("v"), *[f"part{i}" for i in range(3)])
+    parts = [f"part{i}" for i in range(len(_COMPONENT_TAGS))]
+    made_at = rows.select(*KEYS, "canonical", v.alias("v"), *parts)
+    asked = requests.select(*KEYS, *[F.lit(None).cast(made_at.schema[c].dataType).alias(c) for c in ("canonical", "v", *parts)])
+    wide = made_at.unionByName(asked).groupBy(*KEYS).agg(
+        *[F.first(F.when(F.col("canonical") == n, F.col("v")), ignorenulls=True).alias(n) for n in names],
+        *[F.first(F.when(F.col("canonical") == "short_term_debt", F.col(p)), ignorenulls=True).alias(p) for p in parts],
+    )
+    w = Window.partitionBy(*_PERIOD).orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    carried = wide.select(*KEYS, *[F.last(n, ignorenulls=True).over(w).alias(n) for n in (*names, *parts)])
+    own_unit = {c.name: c.unit for c in dims.CONCEPTS}
+    unknown = {n: value_struct(missing_reason=F.lit("no_fact_known"), unit=F.lit(own_unit[n]), warnings=_words("missing_value")) for n in names}
+    return carried.withColumns({n: F.coalesce(n, unknown[n]) for n in names})
+
+
+def canonical_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
+    """KEYS, concept, v (VALUE_TYPE): :func:`wide_values` with a row for every request and concept."""
+    wide = wide_values(facts, requests, names)
+    return wide.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("concept"), F.col(n).alias("v")) for n in names])).alias("x")).select(*KEYS, "x.*")
 
 
 def _sum(*values: Column) -> Column:
@@ -197,11 +233,7 @@ def snapshot_wide(facts: DataFrame, requests: DataFrame, names: Sequence[str] |
     used) and total debt; ``replaced`` keeps warnings of values they replace.
     """
     read = [n for n in dims.NAMES if names is None or n in names]
-    long = canonical_values(facts, requests, read)
-    wide = long.groupBy(*KEYS).agg(
-        *[F.first(F.when(F.col("concept") == n, F.col("v")), ignorenulls=True).alias(n) for n in read],
-        *[F.first(F.when(F.col("concept") == "short_term_debt", F.col(f"part{i}")), ignorenulls=True).alias(f"part{i}") for i in range(3)],
-    )
+    wide = wide_values(facts, requests, read)
     wide = wide.withColumns({n: F.lit(None).cast(VALUE_TYPE) for n in dims.NAMES if n not in read})
     c = F.col
     replaced = F.flatten(F.array(*[c(n)["warnings"] for n in read]))
