@@ -70,22 +70,43 @@ def valid_on(requests: DataFrame, mappings: DataFrame, day: str = "day") -> Data
     return hits.groupBy("__id", *requests.columns).agg(best.alias("m")).select(*requests.columns, "m.*")
 
 
-def overlapping_mappings(mappings: DataFrame) -> DataFrame:
-    """Pairs of mappings of one provider symbol, on different instruments, whose validity overlaps.
+def _best_of_others(value: Column, owner: Column, w: Window) -> tuple[Column, Column]:
+    """(top, runner-up part) of a running maximum by owner over the rows before this one: see
+    :func:`first_shared_days`."""
+    top = F.max(F.struct(value.alias("v"), owner.alias("o"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return top, F.when(top["o"] != owner, F.least(value, top["v"]))
+
+
+def first_shared_days(rows: DataFrame, by: Sequence[str], owner: str) -> DataFrame:
+    """``rows`` (valid_from, valid_to, mapping_id, ...) with ``shared_from``: the first day that an
+    interval shares with one of another ``owner`` in the same group, null without any.
 
-    An interval overlaps an earlier one exactly if it starts before the latest end so
-    far, so one sweep per symbol finds every mapping in conflict: (provider,
-    provider_symbol, mapping_id, instrument_id, conflicts_until).
+    Both sides of an overlap are told, an owner's own intervals never. One sweep per group and
+    direction keeps the top two of the latest ends (earliest starts) by different owners: the
+    runner-up is the maximum of what the top displaced or turned away. Open ends are unbounded; a
+    reversed interval holds no day and is left out.
     """
-    start = F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))
-    end = F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
-    w = Window.partitionBy("provider", "provider_symbol").orderBy(start, "mapping_id").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        mappings.withColumn("conflicts_until", F.max(end).over(w))
-        .withColumn("__owners", F.collect_set("instrument_id").over(Window.partitionBy("provider", "provider_symbol")))
-        .where((start <= F.col("conflicts_until")) & (F.size("__owners") > 1))
-        .select("provider", "provider_symbol", "mapping_id", "instrument_id", "conflicts_until")
-    )
+    start, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
+    zero = F.lit("0001-01-01").cast("date")
+    rows = rows.withColumns({"__s": F.datediff(start, zero), "__e": F.datediff(end, zero)}).where("__s <= __e")
+    forth = Window.partitionBy(*by).orderBy("__s", "mapping_id")
+    back = Window.partitionBy(*by).orderBy(F.desc("__s"), F.desc("mapping_id"))
+    own = F.col(owner)
+    for name, value, w in (("e", F.col("__e"), forth), ("s", -F.col("__s"), back)):
+        top, second = _best_of_others(value, own, w)
+        rows = rows.withColumns({f"__top_{name}": top, f"__second_{name}": second})
+        other = F.when(F.col(f"__top_{name}.o") != own, F.col(f"__top_{name}.v")).otherwise(F.max(f"__second_{name}").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn(f"__other_{name}", other)
+    later = -F.col("__other_s")
+    day = F.when(F.col("__s") <= F.col("__other_e"), start).when(later <= F.col("__e"), F.date_add(zero, later))
+    return rows.withColumn("shared_from", day).drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+def overlapping_mappings(mappings: DataFrame) -> DataFrame:
+    """(provider, provider_symbol, mapping_id, instrument_id, shared_from): every mapping of a provider
+    symbol that is in force on a day when another instrument has the symbol too."""
+    shared = first_shared_days(mappings, ["provider", "provider_symbol"], "instrument_id")
+    return shared.where("shared_from is not null").select("provider", "provider_symbol", "mapping_id", "instrument_id", "shared_from")
 
 
 def issuers_of_symbols(symbols: DataFrame, instruments: DataFrame, securities: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import ohlcv_faults
+from knowntime.operators.pit import first_shared_days, overlapping_mappings
 
 BAR_VALUES = ("open", "high", "low", "close", "volume", "currency", "exchange_timezone")
 BAR_KEY = ("instrument_id", "provider", "trading_date", "adjustment_mode")
@@ -113,15 +114,12 @@ def missing_references(df: DataFrame, parent: DataFrame, keys: Sequence[str]) ->
 
 
 def mapping_violations(mappings: DataFrame) -> DataFrame:
-    """(mapping_id, violation): reversed validity, symbol reuse across instruments, two primaries at once."""
-    from knowntime.operators.pit import overlapping_mappings
-
+    """(mapping_id, violation): reversed validity, symbol reuse across instruments, two primaries of
+    an instrument at once; both sides of an overlap are told."""
     reverse = mappings.where("valid_from > valid_to").select("mapping_id", F.lit("validity_reversed").alias("violation"))
     reuse = overlapping_mappings(mappings).select("mapping_id", F.lit("symbol_reused").alias("violation"))
-    start, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
-    w = Window.partitionBy("instrument_id", "provider").orderBy(start, "mapping_id").rowsBetween(Window.unboundedPreceding, -1)
-    twice = mappings.where("is_primary").withColumn("reach", F.max(end).over(w)).where(start <= F.col("reach")).select("mapping_id", F.lit("two_primaries").alias("violation"))
-    return reverse.unionByName(reuse).unionByName(twice)
+    twice = first_shared_days(mappings.where("is_primary"), ["instrument_id", "provider"], "mapping_id").where("shared_from is not null")
+    return reverse.unionByName(reuse).unionByName(twice.select("mapping_id", F.lit("two_primaries").alias("violation")))
 
 
 def ambiguous_securities(securities: DataFrame) -> DataFrame:

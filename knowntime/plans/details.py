@@ -254,9 +254,11 @@ def _mappings(spark, sf_dir) -> DataFrame:
 
 _MAPPINGS_SQL = """om AS (SELECT 'i' || o_custkey AS instrument_id, 'S' || (o_custkey % 50) AS provider_symbol, CAST(o_orderdate AS DATE) AS valid_from, CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 - 1 AS INTEGER) END AS valid_to, bool_or(o_orderkey % 2 = 0) AS is_primary FROM orders GROUP BY 1, 2, 3, 4),
 mappings AS (SELECT *, 'map_' || substr(sha256(instrument_id || '|table|' || provider_symbol || '|' || valid_from || '|' || coalesce(CAST(valid_to AS VARCHAR), '')), 1, 16) AS mapping_id, coalesce(valid_to, DATE '9999-12-31') AS until FROM om),
-swept AS (SELECT *, max(until) OVER (PARTITION BY provider_symbol ORDER BY valid_from, mapping_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, count(DISTINCT instrument_id) OVER (PARTITION BY provider_symbol) AS owners FROM mappings),
-firsts AS (SELECT *, max(until) OVER (PARTITION BY instrument_id ORDER BY valid_from, mapping_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_reach FROM mappings WHERE is_primary),
-broken AS (SELECT mapping_id, 'validity_reversed' AS violation FROM mappings WHERE valid_from > valid_to UNION ALL SELECT mapping_id, 'symbol_reused' FROM swept WHERE valid_from <= reach AND owners > 1 UNION ALL SELECT mapping_id, 'two_primaries' FROM firsts WHERE valid_from <= own_reach)"""
+pairs AS (SELECT a.mapping_id, a.instrument_id, a.provider_symbol, greatest(a.valid_from, b.valid_from) AS day, 'symbol_reused' AS violation FROM mappings a JOIN mappings b
+          ON a.provider_symbol = b.provider_symbol AND a.instrument_id <> b.instrument_id AND a.valid_from <= b.until AND b.valid_from <= a.until WHERE a.valid_from <= a.until AND b.valid_from <= b.until UNION ALL
+          SELECT a.mapping_id, a.instrument_id, a.provider_symbol, greatest(a.valid_from, b.valid_from), 'two_primaries' FROM mappings a JOIN mappings b
+          ON a.instrument_id = b.instrument_id AND a.mapping_id <> b.mapping_id AND a.valid_from <= b.until AND b.valid_from <= a.until WHERE a.valid_from <= a.until AND b.valid_from <= b.until AND a.is_primary AND b.is_primary),
+broken AS (SELECT mapping_id, 'validity_reversed' AS violation FROM mappings WHERE valid_from > valid_to UNION ALL SELECT DISTINCT mapping_id, violation FROM pairs)"""
 
 
 @query(
@@ -271,9 +273,9 @@ def symbols_in_force(spark, sf_dir):
     return pit.valid_on(asked, _mappings(spark, sf_dir)).select("instrument_id", _text("day"), "mapping_id", "provider_symbol")
 
 
-@query(_with(_MAPPINGS_SQL) + " SELECT mapping_id, instrument_id, provider_symbol, CAST(reach AS VARCHAR) AS conflicts_until FROM swept WHERE valid_from <= reach AND owners > 1")
+@query(_with(_MAPPINGS_SQL) + " SELECT mapping_id, instrument_id, provider_symbol, CAST(min(day) AS VARCHAR) AS shared_from FROM pairs WHERE violation = 'symbol_reused' GROUP BY 1, 2, 3")
 def overlapping_mappings(spark, sf_dir):
-    return pit.overlapping_mappings(_mappings(spark, sf_dir)).select("mapping_id", "instrument_id", "provider_symbol", _text("conflicts_until"))
+    return pit.overlapping_mappings(_mappings(spark, sf_dir)).select("mapping_id", "instrument_id", "provider_symbol", _text("shared_from"))
 
 
 @query(_with(_MAPPINGS_SQL) + " SELECT * FROM broken")
@@ -349,18 +351,36 @@ def confirmed_metadata(spark, sf_dir):
     return sinks.confirm_metadata(known, seen)[0].select("instrument_id", "currency", "metadata_confirmed")
 
 
-@query(
-    """WITH r AS (SELECT user_id AS u, event_id % 12 AS p, max(event_id) AS e FROM events GROUP BY 1, 2), f AS (SELECT r.u, r.p, r.e, v.value, v.value > 2 AS ok FROM r JOIN events v ON v.event_id = r.e),
-stored AS (SELECT u, p, round(value, 4) AS value FROM f WHERE ok UNION ALL SELECT u, p, 0.0 FROM f WHERE NOT ok)
-SELECT u AS cik, p AS fiscal_year, value FROM stored WHERE p % 2 = 0"""
-)
+def _factor_runs(spark, sf_dir) -> str:
+    """A store of three runs over the same keys: events of one to three days each; values of 2 or less are invalid."""
+    path = scratch_path(spark)
+    events = _table(spark, sf_dir, "events")
+    for run in range(3):
+        rows = events.where(F.col("event_id") % 3 == run).groupBy("user_id", (F.col("event_id") % 11).alias("p")).agg(F.max_by("value", "event_id").alias("value"))
+        ok = F.col("value") > 2
+        results = rows.select(F.col("user_id").cast("string").alias("cik"), F.lit("roa").alias("factor"), F.col("p").alias("fiscal_year"), F.lit("FY").alias("fiscal_period"), F.lit(AS_OFS[0]).alias("as_of"), F.when(ok, _r("value", 4)).alias("value"), ok.alias("valid"), F.when(~ok, "too_small").alias("reason"))
+        sinks.append_factor_results(path, results, f"run-{run}", f"2024-01-0{run + 1} 00:00:00")
+    return path
+
+
+_FACTOR_RUNS_SQL = """g AS (SELECT event_id % 3 AS run, user_id AS u, event_id % 11 AS p, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2, 3),
+latest AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY u, p ORDER BY run DESC) = 1)"""
+
+
+@query(_with(_FACTOR_RUNS_SQL) + " SELECT CAST(u AS VARCHAR) AS cik, p AS fiscal_year, round(value, 4) AS value FROM latest WHERE value > 2 AND p % 2 = 0")
 def stored_factor_values(spark, sf_dir):
-    """Valid values enter the store or replace what it has; requests find them by key."""
-    events = _table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 12).alias("p")).agg(F.max_by("value", "event_id").alias("value"))
-    key = {"cik": F.col("user_id"), "factor": F.lit("roa"), "fiscal_year": F.col("p"), "fiscal_period": F.lit("FY"), "as_of": F.lit(AS_OFS[0])}
-    results = events.select(*[c.alias(n) for n, c in key.items()], _r("value", 4).alias("value"), (F.col("value") > 2).alias("valid"))
-    store = sinks.store_factor_values(results.drop("valid").withColumn("value", F.lit(0.0)), results)
-    return sinks.lookup_factor_values(store, results.where("fiscal_year % 2 = 0").drop("value", "valid")).select("cik", "fiscal_year", "value")
+    """Three runs store their results; a look-up finds the latest of each key, if that is valid."""
+    values = sinks.read_factor_values(spark, _factor_runs(spark, sf_dir))
+    asked = values.where("fiscal_year % 2 = 0").select(*sinks.FACTOR_VALUE_KEY)
+    return sinks.lookup_factor_values(values, asked).select("cik", _long("fiscal_year").alias("fiscal_year"), "value")
+
+
+@query(_with(_FACTOR_RUNS_SQL) + " SELECT 'run-' || run AS run_id, CASE WHEN value > 2 THEN 'success' ELSE 'unavailable' END AS status, count(*) AS rows, CAST(sum(p) AS BIGINT) AS years FROM g GROUP BY 1, 2")
+def factor_run_log(spark, sf_dir):
+    """The log of the three runs, read back after the store was compacted."""
+    path, compact = _factor_runs(spark, sf_dir), scratch_path(spark)
+    sinks.compact_factor_values(spark, path, compact)
+    return sinks.read_factor_runs(spark, compact).groupBy("run_id", "status").agg(F.count("*").alias("rows"), F.sum("fiscal_year").alias("years"))
 
 
 @query(
@@ -499,7 +519,7 @@ def streamed_bars(spark, sf_dir):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.drop("late").schema)
     for i in range(2):
         ingest.stream_bars(spark, f"{source}/[0-{i}]", schema, f"{out}/store", f"{out}/checkpoint").awaitTermination()
-    return ingest.read_store(spark, f"{out}/store").select("instrument_id", _text("trading_date"), "close")
+    return ingest.read_bars(spark, f"{out}/store").select("instrument_id", _text("trading_date"), "close")
 
 
 @query(
@@ -514,4 +534,4 @@ def streamed_facts(spark, sf_dir):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in facts.schema)
     for i in range(2):
         ingest.stream_facts(spark, f"{source}/[0-{i}]", schema, f"{out}/store", f"{out}/checkpoint").awaitTermination()
-    return ingest.read_store(spark, f"{out}/store").select("cik", "concept", _long("fiscal_year").alias("fiscal_year"), "accession_number", _day("available_at").alias("available_at"))
+    return ingest.read_facts(spark, f"{out}/store").select("cik", "concept", _long("fiscal_year").alias("fiscal_year"), "accession_number", _day("available_at").alias("available_at"))

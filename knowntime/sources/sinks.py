@@ -82,26 +82,60 @@ def confirm_metadata(instruments: DataFrame, observed: DataFrame) -> tuple[DataF
 
 
 FACTOR_VALUE_KEY = ("cik", "factor", "fiscal_year", "fiscal_period", "as_of")
+FACTOR_VALUES = "cik string, factor string, fiscal_year int, fiscal_period string, as_of timestamp, value double, valid boolean, reason string, run_id string, updated_at timestamp"
+FACTOR_RUNS = "run_id string, cik string, factor string, fiscal_year int, fiscal_period string, as_of timestamp, status string, created_at timestamp"
 
 
-def store_factor_values(base: DataFrame, results: DataFrame) -> DataFrame:
-    """Stored factor values with the valid ones of ``results`` put in or over those of the same key."""
-    valid = results.where(F.col("valid") & F.col("value").isNotNull())
-    return replace_by_key(base, valid.select(*base.columns), FACTOR_VALUE_KEY)
+def append_factor_results(path: str, results: DataFrame, run_id: str, at: str) -> None:
+    """One run's results (FACTOR_VALUE_KEY, value, valid, reason) as a new version of their keys,
+    valid or not, and its run log rows; a run written again under its id replaces itself.
+
+    The store is a log partitioned by run: nothing is read or rewritten, the latest version of
+    a key counts (:func:`read_factor_values`).
+    """
+    stamped = results.withColumns({"run_id": F.lit(run_id), "updated_at": F.lit(at).cast("timestamp")})
+    types = {x.split(" ")[0]: x.split(" ")[1] for x in FACTOR_VALUES.split(", ")}
+    values = stamped.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    log = values.select("run_id", *FACTOR_VALUE_KEY, F.when(F.coalesce("valid", F.lit(False)), "success").otherwise("unavailable").alias("status"), F.col("updated_at").alias("created_at"))
+    for name, frame in (("values", values), ("runs", log)):
+        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+
+
+def latest_factor_values(versions: DataFrame) -> DataFrame:
+    """The version that counts of each key: the latest update, ties to the greatest run id."""
+    rest = [c for c in versions.columns if c not in FACTOR_VALUE_KEY]
+    newest = F.max_by(F.struct(*rest), F.struct("updated_at", "run_id", F.coalesce("valid", F.lit(False)).alias("ok"), "value"))
+    return versions.groupBy(*FACTOR_VALUE_KEY).agg(newest.alias("r")).select(*FACTOR_VALUE_KEY, *[f"r.{c}" for c in rest])
+
+
+def read_factor_values(spark: SparkSession, path: str) -> DataFrame:
+    return latest_factor_values(spark.read.schema(FACTOR_VALUES).parquet(f"{path}/values"))
+
+
+def read_factor_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FACTOR_RUNS).parquet(f"{path}/runs")
+
+
+def compact_factor_values(spark: SparkSession, path: str, to: str) -> None:
+    """The store with superseded versions left out, under a new path; versions keep their run."""
+    read_factor_values(spark, path).write.partitionBy("run_id").parquet(f"{to}/values")
+    read_factor_runs(spark, path).write.partitionBy("run_id").parquet(f"{to}/runs")
 
 
 def lookup_factor_values(values: DataFrame, requests: DataFrame) -> DataFrame:
-    """Stored factor values of the requests' (cik, factor, fiscal_year, fiscal_period, as_of)."""
-    return requests.join(values, list(FACTOR_VALUE_KEY))
+    """(FACTOR_VALUE_KEY) -> the requests whose current version is valid, with its value; a key
+    whose latest run was not valid has none, whatever was stored before."""
+    return requests.join(values.where(F.col("valid") & F.col("value").isNotNull()), list(FACTOR_VALUE_KEY))
 
 
 def upsert_mappings(base: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mappings, violations): symbol mappings upserted by mapping_id, unless the outcome would
-    break an invariant: incoming rows that take part in a violation stay out."""
+    break an invariant: incoming rows on either side of a violation stay out, what is stored
+    stays. Of incoming rows that break one with each other none enters."""
     tried = upsert(base, incoming, ["mapping_id"], keep=())
-    bad = mapping_violations(tried)
+    bad = mapping_violations(tried).join(incoming.select("mapping_id").distinct(), "mapping_id", "left_semi")
     fine = incoming.join(bad.select("mapping_id").distinct(), "mapping_id", "left_anti")
-    return upsert(base, fine, ["mapping_id"], keep=()), bad.join(incoming.select("mapping_id").distinct(), "mapping_id", "left_semi")
+    return upsert(base, fine, ["mapping_id"], keep=()), bad
 
 
 def latest_success(runs: DataFrame, by: Sequence[str] = ("ticker",)) -> DataFrame:

@@ -1,17 +1,24 @@
 """Incremental ingest with Structured Streaming: bars and facts from files, merged batch by batch.
 
-A store is a table partitioned by what a batch can touch little of: months of bars, and
-buckets of fact ids. A batch merges and rewrites the partitions it touches, under its own
-number; the pointer names the number that holds a partition, so a replayed batch writes the
-same again, and what no pointer names any more is deleted. No watermark is set on
-``available_at``: backfilled filings arrive years after it.
+A store is a folder of row files and a manifest, a small text file that names what is live.
+A batch writes its rows under its own number, then moves one new manifest into place, so
+readers see a batch whole or not at all. A replayed batch starts from the manifest before
+it and writes the same again. What a manifest no longer names is listed in it (its
+tombstones) and deleted by the batch after it; only the last two manifests stay. So what the
+driver reads follows the live store, never the number of batches.
+
+Bars live in months: a batch rewrites the months that it touches. Facts are a log: a batch
+appends what it brings, and ``FAN`` segments of a level merge into one of the next, so a fact
+is written again a logarithmic number of times; of equal ids the first known counts at reading
+as at merging. No watermark is set on ``available_at``: backfilled filings arrive years after it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,72 +27,138 @@ from knowntime.operators.pit import first_known
 from knowntime.operators.quality import BAR_KEY, dedup_bars
 from knowntime.sources.sinks import classify_bars
 
-FACT_BUCKETS = 256
+FAN = 8
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+class Folder:
+    """Files of one folder through Hadoop's file system, local or not."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._type = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._type(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    def at(self, name: str):
+        return self._type(f"{self.path}/{name}")
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
 
-def _pointers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """(part, batch): the batch that holds each partition, as batches below ``before`` left it."""
-    if not _exists(spark, f"{path}/_pointers"):
-        return spark.createDataFrame([], "part string, batch long")
-    rows = spark.read.schema("part string, batch long").parquet(f"{path}/_pointers")
-    rows = rows if before is None else rows.where(F.col("batch") < before)
-    return rows.groupBy("part").agg(F.max("batch").alias("batch"))
+    def names(self, name: str) -> list[str]:
+        there = self.at(name)
+        return [f.getPath().getName() for f in self._fs.listStatus(there)] if self._fs.exists(there) else []
 
+    def put(self, name: str, text: str) -> None:
+        """Write ``text`` beside its place and move it there."""
+        hidden = self.at(name + ".new")
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.delete(self.at(name), False)
+        self._fs.rename(hidden, self.at(name))
 
-def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The rows of a store, with ``part``; None before its first batch."""
-    if not _exists(spark, f"{path}/rows"):
+    def get(self, name: str) -> str:
+        stream = self._fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+
+def manifest(spark: SparkSession, path: str, before: int | None = None) -> dict:
+    """What the last batch (below ``before``) left live, {} before the first."""
+    folder = Folder(spark, path)
+    numbers = [int(n) for n in folder.names("_manifests") if n.isdigit() and (before is None or int(n) < before)]
+    return json.loads(folder.get(f"_manifests/{max(numbers):010d}")) if numbers else {}
+
+
+def _commit(spark: SparkSession, path: str, number: int, old: dict, live: dict, gone: list[str]) -> None:
+    """The manifest of batch ``number``; what its predecessor had given up is deleted."""
+    folder = Folder(spark, path)
+    folder.put(f"_manifests/{number:010d}", json.dumps({"live": live, "gone": gone}))
+    for name in old.get("gone", []):
+        folder.delete(f"rows/{name}")
+    for name in folder.names("_manifests"):
+        if name.isdigit() and int(name) < number - 1:
+            folder.delete(f"_manifests/{name}")
+
+
+def _rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame | None:
+    """The rows of files or folders under ``rows``; None for none."""
+    if not names:
         return None
-    return spark.read.parquet(f"{path}/rows").join(F.broadcast(_pointers(spark, path, before)), ["part", "batch"], "left_semi").drop("batch")
+    return spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/{n}" for n in names]).drop("batch", "part")
+
 
+def _bars_of(spark: SparkSession, path: str, live: dict) -> DataFrame | None:
+    return _rows(spark, path, [f"batch={b}/part={p}" for p, b in sorted(live.items())])
 
-def _merge(batch: DataFrame, number: int, path: str, part: Column, work: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Rewrite the partitions that ``batch`` touches as ``work(stored, batch)``."""
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame | None:
+    """The bars of a store; None before its first."""
+    return _bars_of(spark, path, manifest(spark, path).get("live", {}))
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame | None:
+    """The facts of a store, the first known of each id; None before its first."""
+    rows = _rows(spark, path, sorted(manifest(spark, path).get("live", {})))
+    return None if rows is None else first_known(rows)
+
+
+def merge_bars(batch: DataFrame, number: int, path: str) -> None:
+    """Rewrite the months that ``batch`` touches with its bars merged in."""
+    spark = batch.sparkSession
+    old = manifest(spark, path, number)
+    live = dict(old.get("live", {}))
+    month = F.date_format("trading_date", "yyyy-MM")
+    touched = sorted(r["part"] for r in batch.select(month.alias("part")).distinct().collect())  # months, not bars
+    if not touched:
+        return _commit(spark, path, number, old, live, [])
+    stored = _bars_of(spark, path, {p: live[p] for p in touched if p in live})
+    merged = batch if stored is None else classify_bars(stored.select(batch.columns), batch)[0]
+    out = merged.withColumns({"part": month, "batch": F.lit(number).cast("long")})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(f"{path}/rows")
+    gone = [f"batch={live[p]}/part={p}" for p in touched if p in live]
+    _commit(spark, path, number, old, live | {p: number for p in touched}, gone)
+
+
+def append_facts(batch: DataFrame, number: int, path: str) -> None:
+    """Append ``batch`` to the log; a level that is full becomes one segment of the next."""
     spark = batch.sparkSession
-    incoming = batch.withColumn("part", part)
-    touched = incoming.select("part").distinct()
-    stored = read_store(spark, path, number)
-    old = incoming.limit(0) if stored is None else stored.join(F.broadcast(touched), "part", "left_semi").select(incoming.columns)
-    merged = work(old.drop("part"), batch).withColumn("part", part).withColumn("batch", F.lit(number).cast("long"))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(f"{path}/rows")
-    touched.select("part", F.lit(number).cast("long").alias("batch")).coalesce(1).write.mode("append").parquet(f"{path}/_pointers")
-    if number > 1:  # the batch before may be read by a replay of this one
-        kept = _pointers(spark, path, number)
-        gone = spark.read.schema("part string, batch long").parquet(f"{path}/_pointers").where(F.col("batch") < number - 1).join(kept, ["part", "batch"], "left_anti").distinct()
-        for row in gone.collect():  # a row for each partition rewritten since
-            _delete(spark, f"{path}/rows/batch={row['batch']}/part={row['part']}")
+    old = manifest(spark, path, number)
+    live, gone = dict(old.get("live", {})), []
+    first_known(batch).write.mode("overwrite").parquet(f"{path}/rows/{number:010d}-0")
+    live[f"{number:010d}-0"] = 0
+    level = 0
+    while len(full := sorted(n for n, k in live.items() if k == level)) >= FAN:
+        name = f"{number:010d}-{level + 1}"
+        first_known(_rows(spark, path, full)).write.mode("overwrite").parquet(f"{path}/rows/{name}")
+        live = {n: k for n, k in live.items() if k != level} | {name: level + 1}
+        gone += full
+        level += 1
+    _commit(spark, path, number, old, live, gone)
 
 
 def _start(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(work).start()
 
 
-def stream_bars(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Bars from new Parquet files: invalid rows and conflicting dates are dropped, the rest upserted."""
+def stream_bars(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+    """Bars from new Parquet files (``files`` a batch at most): invalid rows and conflicting dates
+    are dropped, the rest upserted."""
 
     def merge(batch: DataFrame, number: int) -> None:
         valid = batch.where(F.size(ohlcv_faults(*[F.col(c) for c in ("open", "high", "low", "close", "volume")])) == 0)
-        incoming, _ = dedup_bars(valid, BAR_KEY)
-        _merge(incoming, number, path, F.date_format("trading_date", "yyyy-MM"), lambda old, new: classify_bars(old, new)[0])
+        merge_bars(dedup_bars(valid, BAR_KEY)[0], number, path)
 
-    return _start(spark.readStream.schema(schema).parquet(source), checkpoint, merge)
+    return _start(_source(spark, source, schema, files), checkpoint, merge)
 
 
-def stream_facts(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> StreamingQuery:
+def stream_facts(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
     """Facts from new Parquet files; of equal fact_ids the earliest availability stays."""
+    return _start(_source(spark, source, schema, files), checkpoint, lambda batch, number: append_facts(batch, number, path))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64("fact_id"), F.lit(FACT_BUCKETS)).cast("string")
-        _merge(batch, number, path, bucket, lambda old, new: first_known(old.unionByName(new)))
 
-    return _start(spark.readStream.schema(schema).parquet(source), checkpoint, merge)
+def _source(spark: SparkSession, source: str, schema: str, files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(source)

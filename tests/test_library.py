@@ -162,11 +162,50 @@ def test_mapping_rules(spark):
     schema = "mapping_id string, instrument_id string, provider string, provider_symbol string, valid_from date, valid_to date, is_primary boolean"
     rows = [("m1", "i1", "p", "S", None, d("2019-12-31"), True), ("m2", "i1", "p", "S", d("2020-01-05"), None, True), ("m3", "i2", "p", "S", d("2021-01-01"), None, True), ("m4", "i3", "p", "T", d("2020-02-01"), d("2020-01-01"), True)]
     maps = spark.createDataFrame(rows, schema)
-    assert {(r.mapping_id, r.violation) for r in quality.mapping_violations(maps).collect()} == {("m3", "symbol_reused"), ("m4", "validity_reversed")}
+    assert {(r.mapping_id, r.violation) for r in quality.mapping_violations(maps).collect()} == {("m2", "symbol_reused"), ("m3", "symbol_reused"), ("m4", "validity_reversed")}
+    own = spark.createDataFrame([("a", "i1", "p", "S", d("2020-01-01"), d("2020-06-01"), False), ("b", "i1", "p", "S", d("2020-03-01"), None, False), ("c", "i2", "p", "S", None, d("2019-12-31"), False)], schema)
+    assert quality.mapping_violations(own).isEmpty()  # own intervals may overlap, others touch no day
+    stored = spark.createDataFrame([("old", "i2", "p", "S", d("2020-01-01"), None, True)], schema)
+    new = spark.createDataFrame([("new", "i1", "p", "S", d("2019-01-01"), None, True), ("fine", "i1", "p", "S", d("2018-01-01"), d("2018-12-31"), True), ("late", "i2", "p", "S", d("2020-06-01"), None, True)], schema)
+    kept, bad = sinks.upsert_mappings(stored, new)
+    assert {r.mapping_id for r in kept.collect()} == {"old", "fine"}
+    assert {(r.mapping_id, r.violation) for r in bad.collect()} == {("new", "symbol_reused"), ("late", "two_primaries"), ("late", "symbol_reused")}
     asked = spark.createDataFrame([("i1", "p", d("2019-01-01"), d("2019-06-01")), ("i1", "p", d("2019-12-01"), d("2020-02-01")), ("i9", "p", d("2019-12-01"), d("2020-02-01"))], "instrument_id string, provider string, start_date date, end_date date")
     assert sorted((r.instrument_id, r.provider_symbol or r.reason) for r in quality.mapping_coverage(asked, maps).collect()) == [("i1", "S"), ("i1", "coverage_gap"), ("i9", "no_mapping")]
 
 
+def test_overlaps_equal_the_theta_join(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        start = d("2020-01-01") + dt.timedelta(rng.randrange(400))
+        rows.append((f"m{i}", f"i{rng.randrange(4)}", "p", f"S{rng.randrange(5)}", rng.choice([start, start, start, None]), rng.choice([start + dt.timedelta(rng.randrange(-1, 9)), start, None if i % 40 == 0 else start]), True))
+    maps = spark.createDataFrame(rows, "mapping_id string, instrument_id string, provider string, provider_symbol string, valid_from date, valid_to date, is_primary boolean")
+    span = [(m, i, s, a or d("0001-01-01"), b or d("9999-12-31")) for m, i, _, s, a, b, _ in rows]
+    want = {}
+    for m, i, s, a, b in span:
+        days = [max(a, c) for _, j, t, c, e in span if j != i and t == s and a <= e and c <= b and c <= e]
+        if days and a <= b:
+            want[m] = min(days)
+    assert {r.mapping_id: r.shared_from for r in pit.overlapping_mappings(maps).collect()} == want and 20 < len(want) < 300
+
+
+def test_factor_store_forgets_invalid_values(spark, tmp_path):
+    schema = "cik string, factor string, fiscal_year int, fiscal_period string, as_of timestamp, value double, valid boolean, reason string"
+    at = dt.datetime(2024, 1, 1)
+    run = lambda value: spark.createDataFrame([("1", "roa", 2020, "FY", at, value, value is not None, None)], schema)
+    asked = run(1.0).select(*sinks.FACTOR_VALUE_KEY)
+    found = lambda: [r.value for r in sinks.lookup_factor_values(sinks.read_factor_values(spark, str(tmp_path)), asked).collect()]
+    for n, (value, want) in enumerate([(0.1, [0.1]), (None, []), (0.3, [0.3])]):
+        sinks.append_factor_results(str(tmp_path), run(value), f"r{n}", f"2024-02-0{n + 1} 00:00:00")
+        assert found() == want
+    sinks.append_factor_results(str(tmp_path), run(None), "r2", "2024-02-03 00:00:00")  # the run again, otherwise
+    assert found() == [] and sorted((r.run_id, r.status) for r in sinks.read_factor_runs(spark, str(tmp_path)).collect()) == [("r0", "success"), ("r1", "unavailable"), ("r2", "unavailable")]
+    sinks.compact_factor_values(spark, str(tmp_path), f"{tmp_path}-compact")
+    assert spark.read.parquet(f"{tmp_path}-compact/values").count() == 1
+
+
 def test_long_only_minimum():
     import numpy as np
 
@@ -243,15 +282,18 @@ def test_streams_are_idempotent(spark, tmp_path):
     for k, rows in enumerate(([row("2020-01-01", 1.0), row("2020-01-02", -1.0)], [row("2020-01-01", 2.0), row("2020-01-03", 3.0)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.stream_bars(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    stored = ingest.read_store(spark, f"{tmp_path}/out")
+    stored = ingest.read_bars(spark, f"{tmp_path}/out")
     assert sorted((str(r.trading_date), r.close) for r in stored.collect()) == [("2020-01-01", 2.0), ("2020-01-03", 3.0)]
-    assert [(str(r.trading_date), r.close) for r in ingest.read_store(spark, f"{tmp_path}/out", 1).collect()] == [("2020-01-01", 1.0)]
+    assert ingest.manifest(spark, f"{tmp_path}/out", 1)["live"] == {"2020-01": 0}
+    ingest.merge_bars(stored.limit(0), 1, f"{tmp_path}/out")  # a replay without rows: what the batch before left
+    assert [(str(r.trading_date), r.close) for r in ingest.read_bars(spark, f"{tmp_path}/out").collect()] == [("2020-01-01", 1.0)]
+    ingest.merge_bars(spark.createDataFrame([row("2020-01-01", 2.0), row("2020-01-03", 3.0)], schema), 1, f"{tmp_path}/out")
     for k in range(3):  # only the months that a batch touches are rewritten, and what they replace goes
         spark.createDataFrame([row(f"2020-0{2 + k % 2}-01", 5.0 + k)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.stream_bars(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     held = sorted(f"{b}/{p}" for b in os.listdir(f"{tmp_path}/out/rows") if b.startswith("batch") for p in os.listdir(f"{tmp_path}/out/rows/{b}") if p.startswith("part="))
-    assert held == ["batch=1/part=2020-01", "batch=2/part=2020-02", "batch=3/part=2020-03", "batch=4/part=2020-02"] or held == ["batch=1/part=2020-01", "batch=3/part=2020-03", "batch=4/part=2020-02"]
-    got = {(str(r.trading_date), r.close) for r in ingest.read_store(spark, f"{tmp_path}/out").collect()}
+    assert held == ["batch=1/part=2020-01", "batch=2/part=2020-02", "batch=3/part=2020-03", "batch=4/part=2020-02"]
+    got = {(str(r.trading_date), r.close) for r in ingest.read_bars(spark, f"{tmp_path}/out").collect()}
     assert got == {("2020-01-01", 2.0), ("2020-01-03", 3.0), ("2020-02-01", 7.0), ("2020-03-01", 6.0)}
 
 
@@ -263,7 +305,26 @@ def test_fact_stream_keeps_the_earliest(spark, tmp_path):
     for some in rows:
         spark.createDataFrame(some, FACT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.stream_facts(spark, f"{tmp_path}/in", FACT, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert {r.fact_id: r.filing_date for r in ingest.read_store(spark, f"{tmp_path}/out").collect()} == {"x": d("2021-02-01"), "y": d("2021-02-01")}
+    assert {r.fact_id: r.filing_date for r in ingest.read_facts(spark, f"{tmp_path}/out").collect()} == {"x": d("2021-02-01"), "y": d("2021-02-01")}
+
+
+def test_fifty_fact_batches(spark, tmp_path):
+    from knowntime.streaming import ingest
+
+    def rows(n):
+        return spark.createDataFrame([fact("Assets", n, "2020-12-31", "2021-02-01")[:-1] + (f"own{n}",), fact("Assets", n, "2020-12-31", f"20{70 - n}-02-01")[:-1] + ("same",)], FACT).coalesce(1)
+
+    for n in range(50):
+        ingest.append_facts(rows(n), n, str(tmp_path))
+        live = ingest.manifest(spark, str(tmp_path))["live"]
+        assert len(live) <= 2 * ingest.FAN and len(os.listdir(f"{tmp_path}/_manifests")) <= 4  # two, and their checksums
+        files = len(os.listdir(f"{tmp_path}/rows"))
+        assert files <= 4 * ingest.FAN  # what is live, and what the last batch gave up
+    found = ingest.read_facts(spark, str(tmp_path))
+    assert found.count() == 51 and found.where("fact_id = 'same'").first().filing_date == d("2021-02-01")
+    for n in (49, 49):  # replayed: the same again
+        ingest.append_facts(rows(n), n, str(tmp_path))
+    assert sorted(tuple(r) for r in ingest.read_facts(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in found.collect())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
