@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions import dims
-from knowntime.operators.pit import latest_on_or_before, primary_securities
+from knowntime.operators.pit import dominated_maxima, latest_on_or_before, primary_securities
 
 CLOSES, LOOKBACK_DAYS, SKIP, PER_YEAR = 253, 550, 21, 252
 STALE_PRICE_DAYS, STALE_SHARES_DAYS = 7, 120
@@ -144,12 +144,14 @@ def shares_outstanding(requests: DataFrame, facts: DataFrame) -> DataFrame:
         "cik", F.col("value").cast("decimal(38,6)").alias("shares"), F.col("end_date").alias("shares_date"), F.col("available_at").alias("shares_at"), "accession_number", "form", "concept", F.element_at(tags, F.col("concept")).alias("priority")
     )
     asked = ["cik", "market_date", "knowledge_time"]
-    hits = requests.select(*asked).distinct().join(counts, "cik").where((F.col("shares_date") <= F.col("market_date")) & (F.col("shares_at") <= F.col("knowledge_time")))
     level = F.struct("shares_date", (-F.col("priority")).alias("p"))
     order = F.struct("shares_date", (-F.col("priority")).alias("p"), "shares_at", F.coalesce("accession_number", F.lit("")).alias("a"), "shares")
-    best = hits.groupBy(*asked).agg(
-        F.max_by(F.struct("shares", "shares_date", "shares_at", "accession_number", "form", "concept"), order).alias("s"), F.max(F.struct(level.alias("l"), F.col("shares").alias("v"))).alias("hi"), F.max(F.struct(level.alias("l"), (-F.col("shares")).alias("v"))).alias("lo")
-    )
+    maxima = {
+        "top": F.struct(order.alias("o"), F.struct("shares", "shares_date", "shares_at", "accession_number", "form", "concept").alias("s")),
+        "hi": F.struct(level.alias("l"), F.col("shares").alias("v")), "lo": F.struct(level.alias("l"), (-F.col("shares")).alias("v")),
+    }
+    best = dominated_maxima(requests.select(*asked).distinct(), counts, ["cik"], "market_date", "knowledge_time", "shares_date", maxima, "shares_at")
+    best = best.select(*asked, F.col("top.s").alias("s"), "hi", "lo")
     age = F.datediff("market_date", "s.shares_date")
     warnings = F.array_compact(
         F.array(

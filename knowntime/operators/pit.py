@@ -36,21 +36,15 @@ def latest_on_or_before(
 
     Requests and rows are merged on one time axis and the last row seen is carried
     forward, so the cost is one sort per key, whatever the number of requests.
-    With ``known_at`` (a request column) rows must also be available by then; such
-    bitemporal requests use an arg-max over the equi join instead. ``ties`` order
-    rows of equal time. Requests without a match keep nulls.
+    With ``known_at`` (a request column) rows must also be available by then
+    (:func:`dominated_maxima`). ``ties`` order rows of equal time. Requests without a match
+    keep nulls.
     """
     out = [F.col(f"__r.{c}").alias(f"{prefix}{c}") for c in payload]
     if known_at is not None:
-        numbered = requests.withColumn("__id", F.monotonically_increasing_id())
-        right = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*rows.columns).alias("__row"))
-        same = F.lit(True)
-        for i, k in enumerate(keys):
-            same = same & (F.col(k) == F.col(f"__k{i}"))
-        hit = same & (F.col(f"__row.{time}") <= F.col(at)) & (F.col("__row.available_at") <= F.col(known_at))
-        order = F.struct(F.col(f"__row.{time}"), *[F.col(f"__row.{t}") for t in ties])
-        picked = numbered.join(right, hit, "left").groupBy("__id", *requests.columns).agg(F.max_by("__row", order).alias("__r"))
-        return picked.select(*requests.columns, *out)
+        best = F.struct(F.struct(F.col(time), *[F.col(t) for t in ties]).alias("o"), F.struct(*payload).alias("p"))
+        found = dominated_maxima(requests, rows, keys, at, known_at, time, {"__r": best})
+        return found.select(*requests.columns, *[F.col(f"__r.p.{c}").alias(f"{prefix}{c}") for c in payload])
     left = requests.select(*[F.col(k) for k in keys], F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*requests.columns).alias("__q"), F.lit(None).alias("__row"), F.lit(None).alias("__tie"))
     tie = F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)]) if ties else F.lit(None).cast("int")
     right = rows.select(*[F.col(k) for k in keys], F.col(time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__q"), F.struct(*rows.columns).alias("__row"), tie.alias("__tie"))
@@ -59,6 +53,51 @@ def latest_on_or_before(
     return merged.select("__q.*", "__r").select(*requests.columns, *out)
 
 
+def dominated_maxima(requests: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, known_at: str, time: str, maxima: dict[str, Column], available: str = "available_at") -> DataFrame:
+    """Requests with the maximum of each expression over the rows of their keys that have
+    ``time`` <= the request's ``at`` and ``available`` <= its ``known_at``; null without any.
+
+    Rows are numbered by availability within their keys; what a request knows is the first r
+    of them, and r in octal cuts that prefix into at most seven runs of each power of eight. A
+    row enters one run for each power below its key's count, and within a run ``at`` decides
+    alone: one sweep on ``time`` with running maxima. So rows and requests are copied a
+    logarithmic number of times, and never paired.
+    """
+    named = {f"__m{i}": k for i, k in enumerate(maxima)}
+    good = rows.where(F.col(time).isNotNull() & F.col(available).isNotNull())
+    for k in keys:
+        good = good.where(F.col(k).isNotNull())
+    right = good.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(available).alias("__at"), F.lit(0).alias("__side"), F.lit(None).alias("__q"), F.col(time).alias("__t"), *[c.alias(n) for n, c in zip(named, maxima.values())])
+    nothing = [F.lit(None).cast(right.schema[n].dataType).alias(n) for n in named]
+    left = requests.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(known_at).alias("__at"), F.lit(1).alias("__side"), F.struct(F.monotonically_increasing_id().alias("id"), F.struct(*requests.columns).alias("row")).alias("__q"), F.col(at).cast(right.schema["__t"].dataType).alias("__t"), *nothing)
+    by = [f"__k{i}" for i in range(len(keys))]
+    w = Window.partitionBy(*by)
+    number = F.count(F.when(F.col("__side") == 0, 1))
+    ranked = right.unionByName(left).withColumns({"__r": number.over(w.orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)), "__n": number.over(w)})
+    powers = "sequence(0, length(conv(cast(__n as string), 10, 8)) - 1)"
+    runs = f"flatten(transform({powers}, l -> transform(filter(sequence(0L, 6L), i -> i < shiftright(__r, cast(3 * l as int)) % 8), i -> struct(l as l, shiftright(__r, cast(3 * l + 3 as int)) * 8 + i as b))))"
+    none = "array(struct(-1 as l, 0L as b))"  # keeps requests that know nothing
+    placed = ranked.withColumn("__p", F.explode(F.expr(f"if(__side = 0, transform({powers}, l -> struct(l as l, shiftright(__r - 1, cast(3 * l as int)) as b)), concat({none}, {runs}))")))
+    placed = placed.select(*by, F.col("__p.l").alias("__l"), F.col("__p.b").alias("__b"), "__t", "__side", "__q", *named)
+    sweep = Window.partitionBy(*by, "__l", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = placed.withColumns({n: F.max(n).over(sweep) for n in named}).where("__side = 1")
+    best = swept.groupBy(F.col("__q.id").alias("__id")).agg(F.first("__q.row").alias("__q"), *[F.max(n).alias(n) for n in named])
+    return best.select(*[F.col(f"__q.{c}").alias(c) for c in requests.columns], *[F.col(n).alias(k) for n, k in named.items()])
+
+
+def in_bands(bands: DataFrame, points: DataFrame, by: Sequence[str], start: str, end: str, point: str, days: int) -> DataFrame:
+    """Bands (start and end dates) joined with the points of their keys that lie within them.
+
+    Both sides meet in buckets of ``days``: a band enters each bucket that it touches, a point
+    its own, so a point meets only the bands of its bucket. Bands far longer than ``days`` cost
+    their buckets; choose ``days`` near the usual length.
+    """
+    origin = F.lit("1970-01-01").cast("date")
+    bucket = lambda c: F.floor(F.datediff(F.col(c), origin) / F.lit(days))
+    left = bands.where(F.col(start) <= F.col(end)).withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    return left.join(points.withColumn("__bucket", bucket(point)), [*by, "__bucket"]).where(F.col(point).between(F.col(start), F.col(end))).drop("__bucket")
+
+
 def valid_on(requests: DataFrame, mappings: DataFrame, day: str = "day") -> DataFrame:
     """Symbol mappings in force on each request's day; open ends count as unbounded.
     The latest ``valid_from``, then mapping_id, wins per request."""

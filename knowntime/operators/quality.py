@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import ohlcv_faults
-from knowntime.operators.pit import first_shared_days, overlapping_mappings
+from knowntime.operators.pit import first_shared_days, in_bands, overlapping_mappings
 
 BAR_VALUES = ("open", "high", "low", "close", "volume", "currency", "exchange_timezone")
 BAR_KEY = ("instrument_id", "provider", "trading_date", "adjustment_mode")
@@ -46,10 +46,12 @@ def date_windows(requests: DataFrame, days: int = WINDOW_DAYS, overlap: int = OV
     return rows.withColumn("window_end", F.least(F.date_add("window_start", days - 1), F.col("end_date")))
 
 
-def window_gaps(windows: DataFrame, bars: DataFrame, series: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Windows with bar counts and ``gap``: interior (empty between filled ones), leading, or null."""
-    inside = (F.col("trading_date") >= F.col("window_start")) & (F.col("trading_date") <= F.col("window_end"))
-    counted = windows.join(bars.select(*series, "trading_date"), list(series), "left").groupBy(*series, "window_start", "window_end").agg(F.count_if(inside).alias("bars"))
+def window_gaps(windows: DataFrame, bars: DataFrame, series: Sequence[str] = ("symbol",), days: int = 32) -> DataFrame:
+    """Windows with bar counts and ``gap``: interior (empty between filled ones), leading, or null.
+    A bar meets the windows of its bucket of ``days`` only."""
+    key = [*series, "window_start", "window_end"]
+    held = in_bands(windows.select(*key).distinct(), bars.select(*series, "trading_date"), series, "window_start", "window_end", "trading_date", days).groupBy(*key).agg(F.count("*").alias("bars"))
+    counted = windows.select(*key).distinct().join(held, key, "left").withColumn("bars", F.coalesce("bars", F.lit(0)))
     w = Window.partitionBy(*series).orderBy("window_start")
     before = F.max("bars").over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.max("bars").over(w.rowsBetween(1, Window.unboundedFollowing))

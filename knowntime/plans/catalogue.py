@@ -122,6 +122,26 @@ def snapshot_summaries(spark, sf_dir):
     return rows.select("cik", _long("fiscal_year").alias("fiscal_year"), _day("as_of").alias("as_of"), F.size("missing").cast("long").alias("n_missing"), F.array_join("source_accessions", ",").alias("accessions"), _day("evidence_at").alias("evidence_at"))
 
 
+#: 240 decision times, a fortnight apart.
+_OFTEN = ("1992-12-31", 240, 14)
+_OFTEN_SQL = "as_ofs AS (SELECT DATE '1992-12-31' + CAST(14 * i AS INTEGER) AS day FROM range(240) t(i))"
+
+
+@query(
+    _with(A.FACTS_SQL, _OFTEN_SQL, _REQ_SQL, _BEST_SQL, _PIVOT_SQL)
+    + """, seen AS (SELECT cik, fiscal_year, day, count(*) AS present, max(available_on) AS evidence FROM best GROUP BY 1, 2, 3)
+SELECT p.cik, p.fiscal_year, CAST(p.day AS VARCHAR) AS as_of, 43 - coalesce(s.present, 0) - CASE WHEN p.ocf IS NOT NULL AND p.capex IS NOT NULL THEN 1 ELSE 0 END AS n_missing, CAST(s.evidence AS VARCHAR) AS evidence_at
+FROM pairs p LEFT JOIN seen s USING (cik, fiscal_year, day)"""
+)
+def snapshots_every_fortnight(spark, sf_dir):
+    """The snapshot of every issuer and year at 240 decision times."""
+    first, times, step = _OFTEN
+    day = F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: F.date_add(F.lit(first).cast("date"), i * step)))
+    asked = A.issuer_requests(spark, sf_dir, [AS_OFS[0]]).drop("as_of").withColumn("day", day).select("cik", "fiscal_year", "fiscal_period", (F.col("day").cast("timestamp") + F.expr("interval 12 hours")).alias("as_of"))
+    rows = statements.snapshot_summary(A.facts(spark, sf_dir), asked)
+    return rows.select("cik", _long("fiscal_year").alias("fiscal_year"), _day("as_of").alias("as_of"), F.size("missing").cast("long").alias("n_missing"), _day("evidence_at").alias("evidence_at"))
+
+
 _INTERVALS_SQL = """ranked AS (
     SELECT *, row_number() OVER (PARTITION BY cik, canonical, fiscal_year ORDER BY form_score, available_on, amended, accession_number) AS rk FROM facts),
 top AS (SELECT cik, canonical, fiscal_year, available_on, max(rk) AS rk FROM ranked GROUP BY 1, 2, 3, 4),
@@ -350,6 +370,31 @@ def market_cap_quarterly_series(spark, sf_dir):
     return _caps(market.market_cap_series(A.nation_bars(spark, sf_dir), A.share_facts(spark, sf_dir), A.securities(spark, sf_dir), A.instruments(spark, sf_dir), "quarter_end"))
 
 
+@query(
+    _with(A.FACTS_SQL, A.SHARES_SQL, A.NATION_BARS_SQL, "asked AS (SELECT symbol AS ticker, cik, trading_date AS market_date FROM nation_bars)")
+    + ", " + _CAPS_SQL.split("SELECT ticker, CAST(market_date")[0]
+    + "SELECT ticker, CAST(market_date AS VARCHAR) AS market_date, CASE WHEN reason IS NULL THEN CAST(close * CAST(shares AS BIGINT) AS VARCHAR) END AS market_cap, reason FROM told"
+)
+def market_cap_daily_series(spark, sf_dir):
+    """A row for every session of every issuer, exact: its price met with the share count known then."""
+    rows = market.market_cap_series(A.nation_bars(spark, sf_dir), A.share_facts(spark, sf_dir), A.securities(spark, sf_dir), A.instruments(spark, sf_dir), "daily")
+    return rows.select("ticker", F.col("market_date").cast("string").alias("market_date"), F.col("market_cap").cast("string").alias("market_cap"), "reason")
+
+
+@query(
+    _with(A.FACTS_SQL, A.SHARES_SQL, A.NATION_BARS_SQL, "asked AS (SELECT symbol AS ticker, cik, trading_date AS market_date FROM nation_bars)")
+    + """, priced AS (SELECT q.ticker, q.cik, q.market_date, max(b.trading_date) AS price_date FROM asked q LEFT JOIN nation_bars b ON b.symbol = q.ticker AND b.trading_date <= q.market_date AND b.trading_date < q.market_date - 3 GROUP BY ALL),
+capped AS (SELECT p.*, max(s.end_date) AS shares_date FROM priced p LEFT JOIN share_facts s ON s.cik = p.cik AND s.end_date <= p.price_date AND s.available_on <= p.market_date - 3 GROUP BY ALL)
+SELECT ticker, CAST(market_date AS VARCHAR) AS market_date, CAST(price_date AS VARCHAR) AS price_date, CAST(shares_date AS VARCHAR) AS shares_date FROM capped"""
+)
+def market_cap_evidence_daily(spark, sf_dir):
+    """Every session's cap as it was known three days earlier at midnight UTC: both times bound it."""
+    days = A.nation_bars(spark, sf_dir).select(F.col("symbol").alias("ticker"), F.col("trading_date").alias("market_date"))
+    asked = days.withColumn("as_of", F.date_sub("market_date", 3).cast("timestamp"))
+    rows = market.market_caps(asked, A.nation_bars(spark, sf_dir), A.share_facts(spark, sf_dir), A.securities(spark, sf_dir), A.instruments(spark, sf_dir))
+    return rows.select("ticker", F.col("market_date").cast("string").alias("market_date"), F.col("price_date").cast("string").alias("price_date"), F.col("shares_date").cast("string").alias("shares_date"))
+
+
 @query("SELECT lpad(CAST(c_nationkey AS VARCHAR), 10, '0') AS cik, count(DISTINCT upper(c_name)) AS classes FROM customer GROUP BY 1")
 def share_classes(spark, sf_dir):
     return market.share_classes(A.securities(spark, sf_dir, many=True))
