@@ -7,8 +7,9 @@ shard that does not report a phrase holds it at most its local support less one
 phrase whose counts and these allowances stay below the support is no candidate. The
 candidates' phrases are then counted exactly, as text, over all shards.
 
-Texts are read three times: for the words (a phrase with an infrequent word is not frequent,
-so shards needn't mine it), for mining, and for the exact count. What passes from one reading
+Texts are read four times: for the words and for the pairs of frequent words (a phrase with an
+infrequent part is not frequent, so shards needn't mine it), for the longer phrases, and for
+the exact count. What passes from one reading
 to the next is a Bloom filter of at most ``FILTER`` bytes, made block by block in tasks: a
 false positive costs a row, never a count, and more candidates than it can tell apart make the
 last count larger, not wrong. Reports are packed arrays by range of hash, so neither a common
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from knowntime.llm._shared import release, small_batches, stash
 from knowntime.llm.lm import mix, word_key
 
 LONGEST = 4
-SHARD_WORDS, SHARD_DISTINCT = 3_000_000, 500_000  # a shard ends beyond either
+SHARD_WORDS, SHARD_DISTINCT = 500_000, 200_000  # a shard ends beyond either
 RANGES = 64  # blocks of a filter
 FILTER = 1 << 25  # bytes of a filter at most
 MERGED = 1 << 21  # reported hashes that a task merges at a time, at most about
@@ -104,28 +106,23 @@ def shards(batches: Iterator[pd.DataFrame], most: tuple[int, int]) -> Iterator[S
 
 
 class Sieve:
-    """A Bloom filter of hashes in ``RANGES`` blocks by their highest bits; one 64-bit cell a hash."""
+    """A Bloom filter of hashes in ``RANGES`` blocks by their highest bits; one 64-bit cell a hash.
+    It reads the first 32 + ``bits`` bits of a hash, which is what shards report."""
 
-    def __init__(self, cells: np.ndarray):
-        self.cells, self.size = cells, len(cells) // RANGES
+    def __init__(self, cells: np.ndarray, bits: int):
+        self.cells, self.bits, self.size = cells, bits, len(cells) // RANGES
 
-    @staticmethod
-    def bits(key: np.ndarray) -> np.ndarray:
-        one, low = np.uint64(1), np.uint64(63)
-        return (one << (key & low)) | (one << ((key >> np.uint64(6)) & low)) | (one << ((key >> np.uint64(12)) & low))
-
-    def places(self, key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(58)) * np.uint64(self.size) + ((key >> np.uint64(20)) & np.uint64(self.size - 1))
-
-    def __contains__(self, key) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
+    def places(self, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, its bits) of each hash's first bits."""
+        h, one, low = mix(short), np.uint64(1), np.uint64(63)
+        cell = (short >> np.uint64(26 + self.bits)) * np.uint64(self.size) + ((h >> np.uint64(20)) & np.uint64(self.size - 1))
+        return cell, (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
 
     def has(self, key: np.ndarray) -> np.ndarray:
         out = np.empty(len(key), bool)
         for at in range(0, len(key), 1 << 18):
-            part = key[at : at + (1 << 18)]
-            bits = self.bits(part)
-            out[at : at + (1 << 18)] = self.cells[self.places(part)] & bits == bits
+            cell, bits = self.places(key[at : at + (1 << 18)] >> np.uint64(32 - self.bits))
+            out[at : at + (1 << 18)] = self.cells[cell] & bits == bits
         return out
 
 
@@ -153,47 +150,62 @@ def longer(key: np.ndarray, alive: np.ndarray, one: np.ndarray, words: np.ndarra
     return mix(key * _MORE + one[alive + (size - 1)]), alive
 
 
-def mine(one: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of all phrases of 2 to ``LONGEST`` words that a shard holds
-    ``least`` times or more; ``words`` tells the places that a phrase may hold."""
+def mine(one: np.ndarray, words: np.ndarray, least: int, sizes: tuple[int, ...] = (2, 3, 4), pairs: Sieve | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of all phrases of ``sizes`` words that a shard holds ``least``
+    times or more; ``words`` tells the places that a phrase may hold, ``pairs`` knows those of two."""
     alive = np.flatnonzero(words)
-    key, keys, counts = one[alive], [], []
-    for size in range(2, LONGEST + 1):
+    key, keys, counts, paired = one[alive], [], [], None
+    for size in range(2, max(sizes) + 1):
         key, alive = longer(key, alive, one, words, size)
+        if pairs is not None:
+            good = pairs.has(key) if size == 2 else paired[alive + (size - 2)]
+            key, alive = key[good], alive[good]
+            if size == 2:
+                paired = np.zeros(len(words), bool)
+                paired[alive] = True
+        if size not in sizes:
+            continue
         found, n = _counted(key)
         found, n = found[n >= least], n[n >= least]
         keys.append(found)
         counts.append(n)
-        if least > 1 and len(key):  # a part of a frequent phrase is frequent
+        if least > 1 and size < max(sizes) and len(key):  # a part of a frequent phrase is frequent
             there = np.zeros(len(key), bool)
             if len(found):
                 at = np.minimum(np.searchsorted(found, key), len(found) - 1)
                 there = found[at] == key
             key, alive = key[there], alive[there]
-    return _counted(np.concatenate(keys), np.concatenate(counts))
+    return (keys[0], counts[0]) if len(keys) == 1 else _counted(np.concatenate(keys), np.concatenate(counts))
 
 
-def _report(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pd.DataFrame:
-    """Hashes in order with counts -> a row for each range of hashes."""
-    place = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+def _report(keys: np.ndarray, counts: np.ndarray, bits: int, enough: int) -> pd.DataFrame:
+    """Hashes in order with counts -> a row for each of 2 ** ``bits`` ranges of hashes: the 32 bits
+    after the range's, and counts up to ``enough``, beyond which they tell nothing more."""
+    short = keys >> np.uint64(32 - bits)
+    place = short >> np.uint64(32)
     cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(keys) else []
     ends = [*cuts[1:], len(keys)]
+    low, few = short.astype("<u4"), np.minimum(counts, enough).astype(_count_type(enough))
     return pd.DataFrame({
         "range": place[cuts].astype(np.int64) if len(keys) else np.zeros(0, np.int64),
-        "keys": [keys[a:b].tobytes() for a, b in zip(cuts, ends)],
-        "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends)],
+        "keys": [low[a:b].tobytes() for a, b in zip(cuts, ends)],
+        "counts": [few[a:b].tobytes() for a, b in zip(cuts, ends)],
     })
 
 
+def _count_type(enough: int) -> str:
+    return "<u1" if enough < 1 << 8 else "<u8"
+
+
 _REPORT = "range long, keys binary, counts binary, lang string, n long"
 
 
-def _ranges(entries: int) -> int:
-    """Ranges, a power of two times ``RANGES``, of ``MERGED`` entries at most on average."""
-    return RANGES << max(0, math.ceil(math.log2(max(1, entries) / (MERGED * RANGES))))
+def _bits(entries: int) -> int:
+    """Ranges, as a power of two from ``RANGES`` on, of ``MERGED`` entries at most on average."""
+    return RANGES.bit_length() - 1 + max(0, math.ceil(math.log2(max(1, entries) / (MERGED * RANGES))))
 
 
-def _sieve(reports: DataFrame, ranges: int, least: int) -> Sieve:
+def _sieve(reports: DataFrame, bits: int, least: int, enough: int) -> Sieve:
     """The hashes whose reported counts reach ``least`` in all shards, as a filter."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,8 +213,8 @@ def _sieve(reports: DataFrame, ranges: int, least: int) -> Sieve:
 
         def close() -> pd.DataFrame:
             key, n = _counted(np.concatenate(keys), np.concatenate(counts))
-            key = key[n >= least]
-            return pd.DataFrame({"block": [at * RANGES // ranges], "n": [len(key)], "keys": [key.tobytes()]})
+            key = (np.uint64(at) << np.uint64(32)) | key[n >= least].astype(np.uint64)
+            return pd.DataFrame({"block": [at >> (bits - RANGES.bit_length() + 1)], "n": [len(key)], "keys": [key.tobytes()]})
 
         for batch in batches:
             for place, k, c in zip(batch["range"].tolist(), batch["keys"], batch["counts"]):
@@ -210,8 +222,8 @@ def _sieve(reports: DataFrame, ranges: int, least: int) -> Sieve:
                     yield close()
                     keys, counts = [], []
                 at = place
-                keys.append(np.frombuffer(k, np.uint64))
-                counts.append(np.frombuffer(c, "<u4").astype(np.int64))
+                keys.append(np.frombuffer(k, "<u4"))
+                counts.append(np.frombuffer(c, _count_type(enough)).astype(np.int32 if enough < 1 << 8 else np.int64))
         if at is not None:
             yield close()
 
@@ -227,9 +239,9 @@ def _sieve(reports: DataFrame, ranges: int, least: int) -> Sieve:
                 if block != at:
                     if at is not None:
                         yield pd.DataFrame({"block": [at], "cells": [sieve.cells[at * size : (at + 1) * size].tobytes()]})
-                    at, sieve = block, Sieve(np.zeros(RANGES * size, np.uint64))
+                    at, sieve = block, Sieve(np.zeros(RANGES * size, np.uint64), bits)
                 key = np.frombuffer(keys, np.uint64)
-                np.bitwise_or.at(sieve.cells, sieve.places(key), sieve.bits(key))
+                np.bitwise_or.at(sieve.cells, *sieve.places(key))
         if at is not None:
             yield pd.DataFrame({"block": [at], "cells": [sieve.cells[at * size : (at + 1) * size].tobytes()]})
 
@@ -238,17 +250,17 @@ def _sieve(reports: DataFrame, ranges: int, least: int) -> Sieve:
     for row in filled.toLocalIterator():  # FILTER bytes in all
         cells[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["cells"], np.uint64)
     release(merged)
-    return Sieve(cells)
+    return Sieve(cells, bits)
 
 
-def _exact_counts(shard: Shard, one: np.ndarray, words: np.ndarray, phrases: Sieve) -> Iterator[pd.DataFrame]:
-    """(lang, phrase, n) of the words and of the phrases that the filter lets pass, by their numbers."""
+def _exact_counts(shard: Shard, one: np.ndarray, words: np.ndarray, pairs: Sieve, phrases: Sieve) -> Iterator[pd.DataFrame]:
+    """(lang, phrase, n) of the words and of the phrases that the filters let pass, by their numbers."""
     alive = np.flatnonzero(words)
     key, same = one[alive], np.zeros(0)
     for size in range(1, LONGEST + 1):
         if size > 1:
             key, alive = longer(key, alive, one, words, size)
-            good = phrases.has(key)
+            good = (pairs if size == 2 else phrases).has(key)
             key, alive = key[good], alive[good]
         if not len(alive):
             return
@@ -273,37 +285,46 @@ def frequent_phrases(docs: DataFrame, support: int = 30, most: tuple[int, int] =
     sc = docs.sparkSession.sparkContext
     texts = small_batches(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
 
+    start = _bits(0)
+
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in shards(batches, most):
-            yield _report(*_counted(shard.keys()[shard.word]), RANGES).assign(lang=None, n=0)
+            yield _report(*_counted(shard.keys()[shard.word]), start, support).assign(lang=None, n=0)
             n = np.bincount(shard.lang[shard.word], minlength=len(shard.langs.met))
             yield pd.DataFrame({"range": -1, "keys": None, "counts": None, "lang": shard.langs.met, "n": n})
 
     first = stash(texts.mapInPandas(count_words, _REPORT))
     totals = stash(first.where("range = -1").groupBy("lang").agg(F.sum("n").alias("n")))
     total = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
-    sent_words = sc.broadcast(_sieve(first, RANGES, support).cells)
+    sent_words = sc.broadcast(_sieve(first, start, support, support))
     release(first)
-    ranges = _ranges((LONGEST - 1) * total)
 
-    def mine_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Sieve(sent_words.value)
-        for shard in shards(batches, most):
-            one, least = shard.keys(), max(1, -(-support * shard.words // max(1, total)))
-            keys, counts = mine(one, shard.word & known.has(one), least)
-            yield _report(keys, counts - (least - 1), ranges).assign(lang=None, n=0)
-            yield pd.DataFrame({"range": [-1], "keys": None, "counts": None, "lang": None, "n": [least - 1]})
+    def mined(sizes: tuple[int, ...], known_pairs: Broadcast | None) -> Broadcast:
+        """The filter of one round's candidates."""
+        bits = _bits(len(sizes) * total)
+
+        def mine_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, pairs = sent_words.value, None if known_pairs is None else known_pairs.value
+            for shard in shards(batches, most):
+                one, least = shard.keys(), max(1, -(-support * shard.words // max(1, total)))
+                keys, counts = mine(one, shard.word & known.has(one), least, sizes, pairs)
+                yield _report(keys, counts - (least - 1), bits, support).assign(lang=None, n=0)
+                yield pd.DataFrame({"range": [-1], "keys": None, "counts": None, "lang": None, "n": [least - 1]})
+
+        reports = stash(texts.mapInPandas(mine_shards, _REPORT))
+        allowance = reports.where("range = -1").agg(F.sum("n").alias("n")).first()["n"] or 0
+        sent = sc.broadcast(_sieve(reports, bits, support - allowance, support))
+        release(reports)
+        return sent
 
-    mined = stash(texts.mapInPandas(mine_shards, _REPORT))
-    allowance = mined.where("range = -1").agg(F.sum("n").alias("n")).first()["n"] or 0
-    sent_phrases = sc.broadcast(_sieve(mined, ranges, support - allowance).cells)
-    release(mined)
+    sent_pairs = mined((2,), None)
+    sent_phrases = mined(tuple(range(3, LONGEST + 1)), sent_pairs)
 
     def count_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, phrases = Sieve(sent_words.value), Sieve(sent_phrases.value)
+        known, pairs, phrases = sent_words.value, sent_pairs.value, sent_phrases.value
         for shard in shards(batches, most):
             one = shard.keys()
-            yield from _exact_counts(shard, one, shard.word & known.has(one), phrases)
+            yield from _exact_counts(shard, one, shard.word & known.has(one), pairs, phrases)
 
     counted = texts.mapInPandas(count_phrases, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     words = F.size(F.split("phrase", " ")).alias("words")
