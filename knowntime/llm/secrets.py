@@ -5,7 +5,8 @@ mixed; a window slides over each candidate while counts per character, and with
 them the sum behind Shannon's entropy, are updated for the one character that
 enters and the one that leaves. A candidate with a window over its class's
 threshold is a secret unless the allow-list explains it (plain words, numbers,
-paths, identifiers, placeholders, UUIDs) or a fixed pattern covers it already.
+paths, identifiers, placeholders, UUIDs). Of a candidate that the fixed patterns' spans
+touch, each part that they leave free is judged by itself, if it fills a window.
 
 Positions are code points, end exclusive. Null texts are scanned as empty ones.
 """
@@ -118,14 +119,30 @@ def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(value) > 0, found).otherwise(F.lit(0.0))
 
 
-def _suspicious(span: Column, base: Column) -> Column:
+def _free(span: Column, base: Column) -> Column:
+    """The parts of ``span``, of ``WINDOW`` characters at least, that no span of ``base`` covers."""
+
+    def part(start: Column, end: Column) -> Column:
+        value = F.substring(span["value"], start - span["start"] + 1, end - start)
+        return F.array(F.struct(start.alias("start"), span["rank"].alias("rank"), end.alias("end"), span["kind"].alias("kind"), value.alias("value")))
+
+    def grown(s: Column, end: Column) -> Column:
+        return F.when(end - s["at"] >= WINDOW, F.concat(s["out"], part(s["at"], end))).otherwise(s["out"])
+
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    hits = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    init = F.struct(span["start"].alias("at"), none.alias("out"))
+    parts = F.aggregate(hits, init, lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), grown(s, b["start"]).alias("out")), lambda s: grown(s, span["end"]))
+    return F.when(F.size(base) == 0, F.array(span)).otherwise(parts)
+
+
+def _suspicious(span: Column) -> Column:
     value = span["value"]
     explained = value.rlike(JOINED) & ~value.rlike(NOT_JOINED)
     for pattern in ALLOWED:
         explained = explained | value.rlike(pattern)
     least = F.when(value.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
-    covered = F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    return F.when(explained | covered, F.lit(False)).otherwise(max_window_entropy(value) >= least)
+    return F.when(explained, F.lit(False)).otherwise(max_window_entropy(value) >= least)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -142,11 +159,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         F.array_sort(F.concat(*[_spans(text, kind, i, p, g, n) for i, (kind, p, g, n) in enumerate(BASE_KINDS)])).alias("base"),
         _spans(text, "entropy", len(BASE_KINDS), CANDIDATE, 0, WINDOW).alias("candidates"),
     )
+    found = found.withColumn("free", F.flatten(F.transform("candidates", lambda c: _free(c, F.col("base")))))
     return found.select(
         "doc_id",
         "text",
         "base",
-        F.array_sort(F.concat("base", F.filter("candidates", lambda c: _suspicious(c, F.col("base"))))).alias("spans"),
+        F.array_sort(F.concat("base", F.filter("free", _suspicious))).alias("spans"),
     )
 
 

@@ -175,6 +175,46 @@ def slow_base(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
 
 
+def slow_spans(text):
+    """Base spans and, of each candidate's free parts, those that entropy tells and nothing explains."""
+    text = text or ""
+    base = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.BASE_KINDS):
+        base += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text, re.A) if len(m.group(group)) >= least]
+    held = {i for s, _, e, _ in base for i in range(s, e)}
+    found = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        part = []
+        for i in [*range(*m.span()), None]:
+            if i is not None and i not in held:
+                part.append(i)
+                continue
+            value = "".join(text[k] for k in part)
+            if len(value) >= 20 and not any(re.search(p, value) for p in secrets.ALLOWED) and not (re.search(secrets.JOINED, value) and not re.search(secrets.NOT_JOINED, value)):
+                counts = [Counter(value[k : k + 20]).values() for k in range(len(value) - 19)]
+                best = max(-sum(c / 20 * math.log2(c / 20) for c in window) for window in counts)
+                if best >= (3.0 if re.fullmatch("[0-9a-fA-F]+", value) else 3.6) - 1e-9:
+                    found.append((part[0], 3, part[-1] + 1, "entropy"))
+            part = []
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + found))
+
+
+def test_all_spans_equal_a_slow_scan(spark):
+    rng = random.Random(12)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = lambda n: "".join(rng.choice(base64) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    tail = noise(60)
+    texts = [hexes(32) + "G" + tail, "path/to/" + tail + "/" + hexes(40), tail + "G" + hexes(33) + "Z" + noise(30) + hexes(32), "AKIA" + "Q7" * 10 + "_" + tail, f"token={hexes(40)} {tail}", "G" + noise(12) + hexes(32) + "G" + noise(12)]
+    pieces = [lambda: noise(rng.randrange(10, 50)), lambda: hexes(rng.randrange(20, 45)), lambda: "secret=" + noise(rng.randrange(4, 20)), lambda: "AKIA" + noise(14).upper(), lambda: "plain words here", lambda: "some/path_to/file-12", lambda: "a" * 30]
+    texts += ["".join(rng.choice(pieces)() + rng.choice(["", "", " ", "\n", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    scanned = secrets.scan_secrets(docs).select("doc_id", secrets.listing(F.col("spans")).alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("clean"))
+    got = {r.doc_id: r for r in scanned.collect()}
+    assert [got[i].s for i in range(len(texts))] == [slow_spans(t) for t in texts]
+    assert all(tail not in got[i].clean for i in range(5)) and "hex:0:32,entropy:32:93" == got[0].s
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     hexes = hashlib.sha1(b"x").hexdigest()
