@@ -1,4 +1,4 @@
-"""Intermediate tables in the cluster's shared folder."""
+"""Intermediate tables in the cluster's shared folder, and small files beside tables."""
 
 from __future__ import annotations
 
@@ -34,3 +34,38 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """Files of one folder through Hadoop's file system, local or not."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._type = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._type(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self._type(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
+
+    def names(self, name: str) -> list[str]:
+        there = self.at(name)
+        return [f.getPath().getName() for f in self._fs.listStatus(there)] if self._fs.exists(there) else []
+
+    def put(self, name: str, text: str) -> None:
+        """Write ``text`` beside its place and move it there."""
+        hidden = self.at(name + ".new")
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.delete(self.at(name), False)
+        self._fs.rename(hidden, self.at(name))
+
+    def get(self, name: str) -> str:
+        stream = self._fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()

@@ -205,8 +205,8 @@ def paired_snapshots(facts: DataFrame, requests: DataFrame, concepts: Sequence[s
 
 
 def factor_results(facts: DataFrame, requests: DataFrame, caps: DataFrame | None = None, factors: list[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """KEYS, RESULT fields and evidence_at (latest availability of the values read): a row per
-    request and factor. Facts of concepts that no factor asked for reads are left in the scan.
+    """KEYS, RESULT fields and evidence_at (latest availability of the values read, those of the
+    year before included): a row per request and factor. Facts of concepts that no factor asked for reads are left in the scan.
 
     ``caps`` is (cik, as_of, market_cap double, currency, cap_reason, cap_warnings,
     manual boolean): a manual cap is labelled and used as given; a stored one in
@@ -225,7 +225,7 @@ def factor_results(facts: DataFrame, requests: DataFrame, caps: DataFrame | None
             F.array_compact(F.concat(F.coalesce("cap_warnings", F.array().cast("array<string>")), F.array(F.when(F.col("manual"), F.lit("manual_market_cap")), F.when(foreign, F.lit("currency_mismatch"))))).alias("cap_warnings"),
         )
         pairs = pairs.join(usable, ["cik", "as_of"], "left").withColumn("cap_warnings", F.coalesce("cap_warnings", F.array().cast("array<string>")))
-    evidence = F.array_max(F.array(*[cur(n, "available_at") for n in concepts]))
+    evidence = F.array_max(F.array(*[side(n, "available_at") for side in (cur, pri) for n in concepts]))
     parts = set(weights) if "basic_quality_score" in wanted else set()
     rows = pairs.select(*KEYS, evidence.alias("evidence_at"), F.struct(*[make().alias(name) for name, make in REGISTRY.items() if name in parts or name in wanted]).alias("f"))
     rows = rows.withColumn("q", _quality(weights)) if parts else rows

@@ -23,7 +23,7 @@ from knowntime.functions.scalars import canonical_symbol, canonical_universe, pe
 from knowntime.functions.scratch import stored
 from knowntime.operators.factors import factor_results
 from knowntime.operators.market import CLOSES, LOOKBACK_DAYS, PER_YEAR
-from knowntime.operators.pit import issuers_of_symbols, latest_annual
+from knowntime.operators.pit import in_bands, issuers_of_symbols, latest_annual
 from knowntime.operators.ranking import exact_top_n
 
 TOLERANCE = 1e-8
@@ -68,8 +68,9 @@ def aligned_returns(selected: DataFrame, bars: DataFrame, closes: int = CLOSES,
     with a doubled date or a close that is not positive; ``dates`` counts common ones.
     """
     key = ["run_id", "decision_date"]
-    known = selected.select(*key, "decision_at", "symbol").join(bars.select("symbol", F.col("trading_date").alias("d"), F.col("close").cast("double").alias("close"), "available_at"), "symbol")
-    known = known.where((F.col("available_at") <= F.col("decision_at")) & (F.col("d") <= F.col("decision_date")) & (F.col("d") >= F.date_sub("decision_date", lookback)))
+    asked = selected.select(*key, "decision_at", "symbol", F.date_sub("decision_date", lookback).alias("__first"))
+    closed = bars.select("symbol", F.col("trading_date").alias("d"), F.col("close").cast("double").alias("close"), "available_at")
+    known = in_bands(asked, closed, ["symbol"], "__first", "decision_date", "d", max(1, lookback // 2)).where(F.col("available_at") <= F.col("decision_at")).drop("__first")
     names = selected.groupBy(*key).agg(F.count("*").alias("names"))
     dates = known.groupBy(*key, "d").agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("have"), F.bool_and(F.col("close") > 0).alias("fine"))
     dates = dates.join(names, key).withColumn("all", F.col("have") == F.col("names"))

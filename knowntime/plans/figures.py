@@ -361,15 +361,20 @@ def backtest_outcomes(spark, sf_dir):
 
 @query(
     _BACKTEST_SQL
-    + """ SELECT run_id, (SELECT count(*) FROM decs WHERE decs.schedule = runs.schedule) AS rebalances, (SELECT count(*) FROM moves WHERE moves.run_id = runs.run_id) AS transitions, (SELECT count(*) FROM inside) AS equity,
-       (SELECT CAST(min(d) AS VARCHAR) FROM inside) AS first_day, CAST(top_n AS VARCHAR) AS top_n, schedule, 64 AS fingerprint_length FROM runs"""
+    + """, said AS (SELECT *, '{"baseline":"' || baseline || '","benchmark_symbol":"MARKET","calendar_symbol":"market","cost_bps":' || CASE top_n WHEN 3 THEN '0.0' ELSE '25.0' END || ',"end_date":"2000-12-31","factor":"roa","initial_nav":1000000.0,"schedule":"' || schedule
+              || '","start_date":"1998-01-01","tickers":["' || (SELECT string_agg(upper(n_name), '","' ORDER BY upper(n_name)) FROM nation) || '"],"top_n":' || top_n || '}' AS request FROM runs)
+SELECT run_id, (SELECT count(*) FROM decs WHERE decs.schedule = said.schedule) AS rebalances, (SELECT count(*) FROM moves WHERE moves.run_id = said.run_id) AS transitions, (SELECT count(*) FROM inside) AS equity,
+       (SELECT CAST(min(d) AS VARCHAR) FROM inside) AS first_day, (SELECT CAST(max(d) AS VARCHAR) FROM decs WHERE decs.schedule = said.schedule) AS last_decision, CAST(top_n AS VARCHAR) AS top_n, schedule, sha256(request) AS fingerprint FROM said"""
 )
 def stored_backtests(spark, sf_dir):
-    """Runs written twice and read back once each, and their documents."""
+    """Runs written twice, a third write cut short, and read back once each with their documents."""
     out, path, asked = _factor_backtests(spark, sf_dir), scratch_path(spark), _runs(spark, sf_dir)
     for _ in range(2):
         sinks.write_backtest(out, path)
+    out["equity"].limit(1).write.parquet(f"{path}/equity/generation=0000000002")  # never committed
+    sinks.vacuum_backtests(spark, path)
     back = sinks.read_backtest(spark, path)
-    told = sinks.backtest_documents(back, asked).select("run_id", *[F.get_json_object("document", f"$.{p}").alias(n) for n, p in (("top_n", "request.top_n"), ("schedule", "request.schedule"), ("fingerprint", "fingerprint"), ("first_day", "equity[0].trading_date"))])
-    sizes = back.select("run_id", *[F.size(c).cast("long").alias(c) for c in ("rebalances", "transitions", "equity")])
-    return sizes.join(told, "run_id").select("run_id", "rebalances", "transitions", "equity", "first_day", "top_n", "schedule", F.length("fingerprint").alias("fingerprint_length"))
+    paths = {"top_n": "request.top_n", "schedule": "request.schedule", "fingerprint": "fingerprint", "first_day": "equity[0].trading_date"}
+    told = sinks.backtest_documents(back, asked).select("run_id", *[F.get_json_object("document", f"$.{p}").alias(n) for n, p in paths.items()])
+    sizes = back.select("run_id", *[F.size(c).cast("long").alias(c) for c in ("rebalances", "transitions", "equity")], F.element_at("rebalances", -1)["decision_date"].cast("string").alias("last_decision"))
+    return sizes.join(told, "run_id").select("run_id", "rebalances", "transitions", "equity", "first_day", "last_decision", "top_n", "schedule", "fingerprint")

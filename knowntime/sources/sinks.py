@@ -1,7 +1,7 @@
 """Sinks: replacement and upsert by key, change classes, run logs, results, exports.
 
-A Parquet path cannot be overwritten while it is read, so merges return frames;
-:func:`write_version` stores one under a new version and moves the pointer last.
+A Parquet path cannot be overwritten while it is read, so merges return frames. Stores of
+several tables are written under a new generation, which one small file commits.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import request_fingerprint
+from knowntime.functions.scratch import Folder
 from knowntime.operators.quality import BAR_KEY, mapping_violations
 
 
@@ -143,37 +144,63 @@ def latest_success(runs: DataFrame, by: Sequence[str] = ("ticker",)) -> DataFram
     return runs.where("status = 'success'").groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("finished_at", "run_id")).alias("r")).select(*by, "r.*")
 
 
-def write_version(df: DataFrame, path: str, version: str) -> None:
-    """``df`` under ``path/v=version``, then a pointer row; readers use :func:`read_version`."""
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{path}/_pointer")
+CHILDREN = ("equity", "transitions", "rebalances")
 
 
-def read_version(spark: SparkSession, path: str, before: str | None = None) -> DataFrame | None:
-    """The stored version with the greatest name (below ``before``); None without one."""
-    versions = spark.read.schema("version string").parquet(f"{path}/_pointer")
-    versions = versions if before is None else versions.where(F.col("version") < before)
-    last = versions.agg(F.max("version").alias("v")).first()["v"]
-    return None if last is None else spark.read.parquet(f"{path}/v={last}")
+def _generations(spark: SparkSession, path: str) -> list[str]:
+    return sorted(n for n in Folder(spark, path).names("_commits") if n.isdigit())
 
 
-def write_backtest(result: dict[str, DataFrame], path: str) -> None:
-    """Children first, run rows last: a run counts as stored once its row is there. A run
-    written again replaces what it left before."""
-    for name in ("equity", "transitions", "rebalances", "runs"):
-        result[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+def write_backtest(result: dict[str, DataFrame], path: str) -> str:
+    """All frames of the runs under a new generation, then its commit; returns the generation.
+
+    The commit is one small file moved into place, so a write that fails on the way leaves
+    nothing that a reader sees, and a run written again is replaced whole. One writer at a time.
+    """
+    spark = result["runs"].sparkSession
+    folder, done = Folder(spark, path), _generations(spark, path)
+    number = f"{int(done[-1]) + 1 if done else 0:010d}"
+    for name in (*CHILDREN, "runs"):
+        result[name].write.mode("overwrite").parquet(f"{path}/{name}/generation={number}")
+    folder.put(f"_commits/{number}", "")
+    return number
+
+
+def _committed(spark: SparkSession, path: str, name: str, generations: list[str]) -> DataFrame:
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/generation={g}" for g in generations])
+    return rows.withColumn("generation", F.lpad(F.col("generation").cast("string"), 10, "0"))
 
 
 def read_backtest(spark: SparkSession, path: str, run_ids: Sequence[str] | None = None) -> DataFrame:
-    """One row per stored run with its ordered children as arrays."""
-    keep = (lambda d: d if run_ids is None else d.where(F.col("run_id").isin(*run_ids)))
-    runs = keep(spark.read.parquet(f"{path}/runs"))
-    for name in ("rebalances", "transitions", "equity"):
-        rows = keep(spark.read.parquet(f"{path}/{name}"))
-        cols = [c for c in rows.columns if c != "run_id"]
+    """One row per stored run, of its last committed generation, with its ordered children as arrays."""
+    generations = _generations(spark, path)
+    if not generations:
+        raise FileNotFoundError(f"no run was committed to {path}")
+    runs = _committed(spark, path, "runs", generations)
+    runs = runs if run_ids is None else runs.where(F.col("run_id").isin(*run_ids))
+    last = runs.groupBy("run_id").agg(F.max("generation").alias("generation"))
+    runs = runs.join(last, ["run_id", "generation"], "left_semi")
+    for name in reversed(CHILDREN):
+        rows = _committed(spark, path, name, generations).join(last, ["run_id", "generation"], "left_semi")
+        cols = [c for c in rows.columns if c not in ("run_id", "generation")]
         first = [c for c in ("decision_date", "symbol", "trading_date") if c in cols]
         runs = runs.join(rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*first, *[c for c in cols if c not in first]))).alias(name)), "run_id", "left")
-    return runs
+    return runs.drop("generation")
+
+
+def vacuum_backtests(spark: SparkSession, path: str) -> None:
+    """Delete generations that no run needs any more, and what failed writes have left."""
+    generations, folder = _generations(spark, path), Folder(spark, path)
+    if not generations:
+        return
+    runs = _committed(spark, path, "runs", generations).groupBy("run_id").agg(F.max("generation").alias("generation"))
+    needed = {r["generation"] for r in runs.select("generation").distinct().collect()}  # generations, not runs
+    for number in set(generations) - needed:
+        folder.delete(f"_commits/{number}")
+    for name in (*CHILDREN, "runs"):
+        for entry in folder.names(name):
+            if entry.startswith("generation=") and entry.split("=")[1] not in needed:
+                folder.delete(f"{name}/{entry}")
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -196,10 +223,6 @@ def backtest_documents(stored: DataFrame, requests: DataFrame) -> DataFrame:
     return both.select("run_id", F.to_json(F.struct(*sorted(both.columns))).alias("document"))
 
 
-def run_log(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").parquet(path)
-
-
 def evenly_spaced(points: DataFrame, by: Sequence[str], order: str, limit: int = 2000) -> DataFrame:
     """At most ``limit`` points of each series, both ends kept, spaced evenly by position."""
     w = Window.partitionBy(*by)
