@@ -12,6 +12,7 @@ and its cost apply.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,11 +96,26 @@ def inverse_volatility_weights(returns: DataFrame) -> DataFrame:
     return sd.select("run_id", "decision_date", "symbol", F.when(ok, inverse / F.sum(inverse).over(w)).alias("weight"))
 
 
-def covariances(returns: DataFrame) -> DataFrame:
-    """(run_id, decision_date, a, b, cov) for every pair of a group's names, a <= b."""
-    left = returns.select("run_id", "decision_date", "d", F.col("symbol").alias("a"), F.col("ret").alias("ra"))
-    right = returns.select("run_id", "decision_date", "d", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
-    return left.join(right, ["run_id", "decision_date", "d"]).where("a <= b").groupBy("run_id", "decision_date", "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+def shared_windows(selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(run_id, decision_date, decision_at, symbol) -> (groups, members): decisions of the same names at
+    the same time are one group, whatever runs they belong to.
+
+    groups are rows like ``selected`` with the group's digest as run_id; members (run_id,
+    decision_date, group) lead back. The names of a decision meet in one row, top_n of them.
+    """
+    key = ["run_id", "decision_date", "decision_at"]
+    sets = selected.groupBy(*key).agg(F.array_sort(F.collect_set("symbol")).alias("names"))
+    sets = sets.withColumn("group", F.sha2(F.to_json(F.struct("decision_date", "decision_at", "names")), 256))
+    groups = sets.groupBy("group").agg(F.first(F.struct("decision_date", "decision_at", "names")).alias("s"))
+    return groups.select(F.col("group").alias("run_id"), "s.decision_date", "s.decision_at", F.explode("s.names").alias("symbol")), sets.select("run_id", "decision_date", "group")
+
+
+def packed_returns(returns: DataFrame) -> DataFrame:
+    """(run_id, decision_date, names, rets): a group's returns as one array of doubles for each common
+    date, in the order of ``names``: closes x names numbers, in place of names x names rows."""
+    key = ["run_id", "decision_date"]
+    days = returns.groupBy(*key, "d").agg(F.array_sort(F.collect_list(F.struct("symbol", "ret"))).alias("cells"))
+    return days.groupBy(*key).agg(F.max(F.transform("cells", lambda c: c["symbol"])).alias("names"), F.collect_list(F.transform("cells", lambda c: c["ret"])).alias("rets"))
 
 
 def long_only_minimum(cov: np.ndarray) -> np.ndarray | None:
@@ -128,19 +144,20 @@ def long_only_minimum(cov: np.ndarray) -> np.ndarray | None:
     return None
 
 
-def minimum_variance_weights(covs: DataFrame) -> DataFrame:
-    """One small quadratic programme per (run_id, decision_date); names are in the hundreds at most."""
+def minimum_variance_weights(returns: DataFrame) -> DataFrame:
+    """(run_id, decision_date, symbol, weight): one small quadratic programme per group, on the Gram
+    matrix of its packed returns; names are in the hundreds at most."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {n: i for i, n in enumerate(names)}
-        cov = np.zeros((len(names), len(names)))
-        for a, b, c in zip(pdf["a"], pdf["b"], pdf["cov"]):
-            cov[at[a], at[b]] = cov[at[b], at[a]] = c
-        w = long_only_minimum(cov) if np.isfinite(cov).all() else None
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "decision_date": pdf["decision_date"].iloc[0], "symbol": names, "weight": [None] * len(names) if w is None else w})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for run, day, names, rets in zip(batch["run_id"], batch["decision_date"], batch["names"], batch["rets"]):
+                x = np.array([np.asarray(r, np.float64) for r in rets])
+                x = x - x.mean(0)
+                cov = x.T @ x / (len(x) - 1) if len(x) > 1 else np.full((len(names),) * 2, np.nan)
+                w = long_only_minimum(cov) if np.isfinite(cov).all() else None
+                yield pd.DataFrame({"run_id": run, "decision_date": day, "symbol": list(names), "weight": [None] * len(names) if w is None else w})
 
-    return sanitized(covs.groupBy("run_id", "decision_date").applyInPandas(solve, "run_id string, decision_date date, symbol string, weight double"))
+    return sanitized(packed_returns(returns).mapInPandas(solve, "run_id string, decision_date date, symbol string, weight double"))
 
 
 def sanitized(weights: DataFrame) -> DataFrame:
@@ -174,12 +191,19 @@ def form_targets(requests: DataFrame, pairs: DataFrame, universe: DataFrame, fac
     chosen = exact_top_n(_signals(requests, pairs, universe, facts, caps), key, F.col("top_n"), name="symbol")
     chosen = stored(chosen.select(*key, "decision_at", "symbol", "value", "rank", period_label(F.col("fiscal_year"), F.col("fiscal_period")).alias("signal_period"), "evidence_at", "mixed_fiscal_periods").join(requests.select("run_id", "baseline"), "run_id"))
     equal = equal_weights(chosen.where("baseline = 'equal_weight'")).select(*key, "symbol", "weight")
-    returns = stored(aligned_returns(chosen.where("baseline <> 'equal_weight'").select(*key, "decision_at", "symbol"), bars, closes))
-    usable = returns.where((F.col("dates") >= closes) & F.col("usable")).join(requests.select("run_id", "baseline"), "run_id")
-    inverse = inverse_volatility_weights(usable.where("baseline = 'inverse_volatility'"))
-    least = minimum_variance_weights(covariances(usable.where("baseline = 'minimum_variance'")))
-    weights = equal.unionByName(inverse).unionByName(least)
-    evidence = returns.groupBy(*key).agg(F.max("available_at").alias("price_evidence_at"))
+    groups, members = shared_windows(chosen.where("baseline <> 'equal_weight'").select(*key, "decision_at", "symbol"))
+    members = stored(members.join(requests.select("run_id", "baseline"), "run_id"))
+    returns = stored(aligned_returns(groups, bars, closes))
+    usable = returns.where((F.col("dates") >= closes) & F.col("usable"))
+
+    def of(baseline: str) -> DataFrame:
+        return usable.join(members.where(F.col("baseline") == baseline).select(F.col("group").alias("run_id")).distinct(), "run_id", "left_semi")
+
+    solved = inverse_volatility_weights(of("inverse_volatility")).withColumn("baseline", F.lit("inverse_volatility"))
+    solved = solved.unionByName(minimum_variance_weights(of("minimum_variance")).withColumn("baseline", F.lit("minimum_variance")))
+    solved = solved.select(F.col("run_id").alias("group"), "baseline", "symbol", "weight").join(members, ["group", "baseline"]).select(*key, "symbol", "weight")
+    weights = equal.unionByName(solved)
+    evidence = returns.groupBy(F.col("run_id").alias("group")).agg(F.max("available_at").alias("price_evidence_at")).join(members, "group").select(*key, "price_evidence_at")
     targets = stored(chosen.join(weights, [*key, "symbol"], "left").join(evidence, key, "left"))
     on_day = bars.select("symbol", F.col("trading_date").alias("effective_date"), "available_at")
     known = pairs.where("reason is null").select(*key, "effective_date", "effective_at")

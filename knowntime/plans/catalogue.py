@@ -498,7 +498,20 @@ w AS (SELECT least(greatest((vb - ab) / (va + vb - 2 * ab), 0.0), 1.0) AS a FROM
 )
 def minimum_variance(spark, sf_dir):
     """The two line statuses share all items, so SQL has a closed form; tests hold more names to brute force."""
-    return portfolio.minimum_variance_weights(portfolio.covariances(_common_returns(spark, sf_dir, "l_linestatus"))).select("symbol", _r("weight").alias("weight"))
+    return portfolio.minimum_variance_weights(_common_returns(spark, sf_dir, "l_linestatus")).select("symbol", _r("weight").alias("weight"))
+
+
+@query()
+def minimum_variance_nations(spark, sf_dir):
+    """All nations as one group; tests hold the weights to the optimality conditions."""
+    return portfolio.minimum_variance_weights(nation_returns(spark, sf_dir)).select("symbol", _r("weight", 9).alias("weight"))
+
+
+def nation_returns(spark, sf_dir):
+    bars = dense_nation_bars(spark, sf_dir).where("symbol <> 'MARKET'")
+    day = F.lit("2000-12-29")
+    group = bars.select("symbol").distinct().select(F.lit("all").alias("run_id"), day.cast("date").alias("decision_date"), F.lit("2000-12-30 00:00:00").cast("timestamp").alias("decision_at"), "symbol")
+    return portfolio.aligned_returns(group, bars, 120)
 
 
 # Data quality, sinks and sources ------------------------------------------------------------

@@ -242,6 +242,56 @@ def test_long_only_minimum():
         assert w @ cov @ w <= (tries @ cov * tries).sum(1).min() + 1e-12
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+def test_minimum_variance_of_all_nations_is_optimal(spark):
+    import numpy as np
+
+    rows = catalogue.nation_returns(spark, SF).toPandas()
+    x = rows.pivot(index="d", columns="symbol", values="ret")
+    weights = {r.symbol: r.weight for r in portfolio.minimum_variance_weights(spark.createDataFrame(rows)).collect()}
+    cov, w = np.cov(x.to_numpy().T), np.array([weights[s] for s in x.columns])
+    slope = cov @ w
+    assert len(w) == 25 and abs(w.sum() - 1) < 1e-9 and (w >= 0).all() and len(x) == 119
+    assert (slope >= w @ slope * (1 - 1e-7)).all() and np.allclose(slope[w > 1e-9], w @ slope, rtol=1e-7)
+
+
+def test_runs_share_windows(spark):
+    rows = [(run, d("2020-01-31"), dt.datetime(2020, 1, 31, 21), s) for run, names in (("a", "XY"), ("b", "YX"), ("c", "XZ")) for s in names]
+    groups, members = portfolio.shared_windows(spark.createDataFrame(rows, "run_id string, decision_date date, decision_at timestamp, symbol string"))
+    assert groups.count() == 4 and {r.run_id: r.group for r in members.collect()}["a"] == {r.run_id: r.group for r in members.collect()}["b"]
+
+
+def test_backtests_are_stored_whole_or_not_at_all(spark, tmp_path):
+    def result(nav, runs):
+        child = lambda schema, *values: spark.createDataFrame([(r, *values) for r in runs], schema)
+        return {
+            "runs": child("run_id string, nav double", nav), "equity": child("run_id string, trading_date date, nav double", d("2020-01-01"), nav),
+            "transitions": child("run_id string, decision_date date, symbol string, nav double", d("2020-01-01"), "A", nav), "rebalances": child("run_id string, decision_date date, nav double", d("2020-01-01"), nav),
+        }
+
+    path = str(tmp_path / "store")
+    found = lambda: {r.run_id: (r.nav, r.equity[0].nav, r.transitions[0].nav, r.rebalances[0].nav) for r in sinks.read_backtest(spark, path).collect()}
+    sinks.write_backtest(result(1.0, ["a", "b"]), path)
+    broken = result(2.0, ["a"])
+    broken["rebalances"] = broken["rebalances"].select("run_id", F.expr("raise_error('disk full')").alias("nav"))
+    with pytest.raises(Exception, match="disk full"):
+        sinks.write_backtest(broken, path)
+    assert found() == {"a": (1.0,) * 4, "b": (1.0,) * 4}
+    sinks.write_backtest(result(3.0, ["a"]), path)
+    assert found() == {"a": (3.0,) * 4, "b": (1.0,) * 4}
+    sinks.write_backtest(result(4.0, ["a"]), path)
+    sinks.vacuum_backtests(spark, path)
+    assert found() == {"a": (4.0,) * 4, "b": (1.0,) * 4} and len(os.listdir(f"{path}/equity")) == 2
+
+
+def test_exports_are_deterministic(spark, tmp_path):
+    rows = spark.range(50).selectExpr("(id * 7) % 50 AS k", "CAST(id AS DOUBLE) / 3 AS b", "IF(id % 2 = 0, NULL, 'x') AS a")
+    for n in range(2):
+        sinks.export_json(rows.repartition(5 - n), str(tmp_path / str(n)), ["k"])
+    lines = [[x for f in sorted(os.listdir(tmp_path / str(n))) if f.startswith("part") for x in open(tmp_path / str(n) / f).read().splitlines()] for n in range(2)]
+    assert lines[0] == lines[1] and [json.loads(x)["k"] for x in lines[0]] == list(range(50)) and list(json.loads(lines[0][7])) == ["a", "b", "k"]
+
+
 def test_backtest_equals_a_session_loop(spark):
     days = [d("2021-01-01") + dt.timedelta(days=i) for i in range(150)]
     price = {s: [50.0 + k * 3 + ((i * (k + 3)) % 17) for i in range(150)] for k, s in enumerate("ABCM")}
