@@ -10,22 +10,24 @@ the rest are compared exactly, in double precision.
 Lists are cut into blocks of bounded size, so a crowded region spreads over
 tasks. Tasks emit counts and a spanning star per local component, never pairs,
 and each pair is counted in one place only. Centroids and codebooks are fitted on
-a bounded sample; every vector is indexed.
+a bounded sample, for each dimension by itself; every vector is indexed. Equal vectors
+are one class, told by a digest of their bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm._shared import connected_components, stash
+from knowntime.llm._shared import connected_components, release, stash
+from knowntime.llm.neighbours import comparable, matrix, pack
 from knowntime.llm.simhash import _settle
 
-SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on, at most about
+SAMPLE, SAMPLE_BYTES = 20_000, 1 << 27  # vectors that centroids and codebooks are fitted on, at most about
 MOST_LISTS = 4096
 PER_LIST = 256
 SUBSPACES = 8
@@ -46,9 +48,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray
     return c
 
 
-def _scaled(vectors: Iterable[np.ndarray]) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> np.ndarray:
     """Rows times powers of two, which loses nothing, so that no square leaves the range of doubles."""
-    raw = np.stack(list(vectors)).astype(np.float64)
+    raw = np.asarray(vectors, np.float64)
     return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])
 
 
@@ -127,57 +129,56 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
     """
     sc = vectors.sparkSession.sparkContext
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    good = rows.where(fine)
-    widest = good.agg(F.max(F.size("v")).alias("d")).first()["d"]
-    if not widest:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    padded = F.concat("v", F.array_repeat(F.lit(0.0), widest - F.size("v")))
-    classes = good.groupBy(padded.alias("v"), F.size("v").alias("dim")).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
+    packed = stash(pack(rows.where(comparable(F.col("v"))).withColumns({"row": F.monotonically_increasing_id(), "asked": F.lit(False)})))
+    same = ["dim", "hi", "lo"]
+    classes = packed.groupBy(*same).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"), F.first("raw").alias("raw"))
     classes = stash(classes.withColumn("id", F.monotonically_increasing_id()))
-    total = classes.count()
-    share = min(1.0, SAMPLE / total)
-    sample = classes.where(F.pmod(F.xxhash64("v", F.lit("fit")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").toPandas()
-    if sample.empty:
-        sample = classes.select("v").limit(1).toPandas()
-    lists = int(np.clip(total // PER_LIST, 1, MOST_LISTS))
-    codec = Codec.fit(_unit(_scaled(sample["v"])), lists)
-    block = int(np.clip(total // lists // 8, BLOCK, MOST_BLOCK))
-    sent = sc.broadcast((codec.coarse, codec.books))
-    probes = min(probes, len(codec.coarse))
+    counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a number per dimension
+    total = sum(counts.values())
+    room = F.floor(F.lit(SAMPLE_BYTES) / (F.col("dim") * 8))  # of a wide dimension few vectors fit
+    share = F.least(F.lit(1.0), F.lit(SAMPLE / max(1, total)), room / F.lit(max(1, total)))
+    chosen = classes.where(F.pmod(F.xxhash64("hi", "lo", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30)).select("dim", "raw").toPandas()
+    codecs, sizes_of = {}, {}
+    for dim, n in counts.items():
+        some = chosen[chosen["dim"] == dim]["raw"]
+        some = matrix(some, dim) if len(some) else np.eye(1, dim)  # any centroid serves few vectors
+        lists = int(np.clip(n // PER_LIST, 1, MOST_LISTS))
+        codec = Codec.fit(_unit(_scaled(some)), lists)
+        codecs[dim], sizes_of[dim] = (codec.coarse, codec.books), int(np.clip(n // lists // 8, BLOCK, MOST_BLOCK))
+    sent = sc.broadcast(codecs)
+    fields = "id long, n long, dim int, raw binary, own int, probes array<int>"
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(*sent.value)
         for batch in batches:
-            if batch.empty:
-                continue
-            near = codec.probes(_unit(_scaled(batch["v"])), probes)
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "dim": batch["dim"], "v": batch["v"], "own": near[:, 0], "probes": list(near.astype(np.int32))})
+            for dim, part in batch.groupby("dim"):
+                codec = Codec(*sent.value[dim])
+                near = codec.probes(_unit(_scaled(matrix(part["raw"], dim))), min(probes, len(codec.coarse)))
+                yield part[["id", "n", "dim", "raw"]].assign(own=near[:, 0], probes=list(near.astype(np.int32)))
 
-    dealt = stash(classes.select("id", "n", "dim", "v").mapInPandas(deal, "id long, n long, dim int, v array<double>, own int, probes array<int>"))
-    sizes = dealt.groupBy("own").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    blocks = sc.broadcast({r["own"]: r["blocks"] for r in sizes.collect()})  # a number per list
+    dealt = stash(classes.select("id", "n", "dim", "raw").mapInPandas(deal, fields))
+    sizes = dealt.groupBy("dim", "own").agg(F.count("*").alias("n")).collect()  # a number per list
+    blocks = sc.broadcast({(r["dim"], r["own"]): -(-r["n"] // sizes_of[r["dim"]]) for r in sizes})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = blocks.value
         for batch in batches:
             out = []
             mixed = (batch["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for i, (own, near) in enumerate(zip(batch["own"], batch["probes"])):
-                mine = int(mixed[i]) % count[own]
+            for i, (dim, own, near) in enumerate(zip(batch["dim"], batch["own"], batch["probes"])):
+                mine = int(mixed[i]) % count[dim, own]
                 out.append((i, own, mine, 0))
                 out += [(i, own, b, 1) for b in range(mine)]
-                out += [(i, p, b, 1) for p in near if p != own for b in range(count.get(p, 0))]
+                out += [(i, p, b, 1) for p in near if p != own for b in range(count.get((dim, p), 0))]
             i, at, block, kind = map(list, zip(*out)) if out else ([], [], [], [])
             yield batch.iloc[i].assign(at=at, block=block, kind=kind)
 
-    routed = dealt.mapInPandas(route, "id long, n long, dim int, v array<double>, own int, probes array<int>, at int, block int, kind int")
+    routed = dealt.mapInPandas(route, fields + ", at int, block int, kind int")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, key, members, label, count = Codec(*sent.value), None, None, None, None
+        key, members, label, count = None, None, None, None
 
         def prepare(part: pd.DataFrame) -> dict:
-            raw = _scaled(part["v"])
+            raw = _scaled(matrix(part["raw"], part["dim"].iloc[0]))
             return {"id": part["id"].to_numpy(), "dim": part["dim"].to_numpy(), "n": part["n"].to_numpy(), "raw": raw, "norm": np.sqrt((raw * raw).sum(1)), "unit": _unit(raw), "own": part["own"].to_numpy(), "probes": np.stack(part["probes"])}
 
         def close() -> pd.DataFrame:
@@ -186,16 +187,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
             return pd.DataFrame({"a": np.r_[ids, ids[linked]], "b": np.r_[ids, ids[label[linked]]], "n": np.r_[count, np.zeros(linked.sum(), np.int64)]})
 
         for batch in batches:
-            change = batch[["at", "block", "kind"]].to_numpy()
+            change = batch[["dim", "at", "block", "kind"]].to_numpy()
             cuts = np.flatnonzero(np.r_[True, (change[1:] != change[:-1]).any(1)]) if len(batch) else []
             for a, b in zip(cuts, [*cuts[1:], len(batch)]):
-                at, block, kind = (int(x) for x in change[a])
-                part = prepare(batch.iloc[a:b])
+                dim, at, block, kind = (int(x) for x in change[a])
+                codec, part = Codec(*sent.value[dim]), prepare(batch.iloc[a:b])
                 if kind == 0:
-                    if key != (at, block):
+                    if key != (dim, at, block):
                         if members is not None:
                             yield close()
-                        key, members = (at, block), None
+                        key, members = (dim, at, block), None
                     old = members
                     part["codes"], part["lost"] = codec.encode(part["unit"], np.full(len(part["id"]), at))
                     if old is not None:  # the block came in two batches
@@ -215,7 +216,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
                     np.add.at(count, shift + n, part["n"][q])
                     label = _settle(label, shift + q, shift + n)
                     continue
-                if key != (at, block):
+                if key != (dim, at, block):
                     continue
                 step = max(16, (1 << 19) // len(members["id"]))
                 for some in range(0, len(part["id"]), step):
@@ -234,16 +235,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -
             yield close()
 
     found = stash(
-        routed.repartition("at", "block").sortWithinPartitions("at", "block", "kind", "id").mapInPandas(search, "a long, b long, n long")
+        routed.repartition("dim", "at", "block").sortWithinPartitions("dim", "at", "block", "kind", "id").mapInPandas(search, "a long, b long, n long")
     )
+    release(dealt)
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
     comps = connected_components(found.where("a <> b").select("a", "b"))
     placed = stash(
-        classes.join(links, F.col("id") == F.col("a"), "left")
+        classes.drop("raw").join(links, F.col("id") == F.col("a"), "left")
         .join(comps, F.col("id") == F.col("node"), "left")
-        .select(F.col("v").alias("w"), F.col("dim").alias("w_dim"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        .select(*same, "least_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    owner = placed.join(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("w", "w_dim", "n_links", "component_id")
-    out = rows.withColumn("fine", fine).withColumn("padded", F.when(F.col("fine"), padded)).join(owner, (F.col("padded") == F.col("w")) & (F.size("v") == F.col("w_dim")), "left")
+    for frame in (found, classes):
+        release(frame)
+    owner = placed.join(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select(*same, "n_links", "component_id")
+    linked = packed.select("vec_id", *same).join(owner, same).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~comparable(F.col("v"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

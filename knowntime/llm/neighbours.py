@@ -119,11 +119,11 @@ class Heaps:
         return pd.DataFrame(found, columns=["q", "c", "least", "score"]).astype({"q": "int64", "c": "int64", "least": "int64", "score": "float64"})
 
 
-def _matrix(packed: pd.Series, dim: int) -> np.ndarray:
+def matrix(packed: pd.Series, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * dim else np.float64) for x in packed]).astype(np.float64)
 
 
-def _pack(rows: DataFrame) -> DataFrame:
+def pack(rows: DataFrame) -> DataFrame:
     """(row, vec_id, asked, v) -> the same with the vector's bytes and a 128-bit digest of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,13 +156,13 @@ def _tiles(sides: DataFrame, k: int) -> DataFrame:
                         yield heaps.rows(ids)
                     at, heaps, parts = (dim, block, stripe), None, []
                 if kind == 0:
-                    parts.append((part["id"].to_numpy(), _matrix(part["raw"], dim)))
+                    parts.append((part["id"].to_numpy(), matrix(part["raw"], dim)))
                     continue
                 if heaps is None and parts:
                     ids = np.concatenate([x for x, _ in parts])
                     heaps, parts = Heaps(np.concatenate([x for _, x in parts]), k), []
                 if heaps is not None:
-                    heaps.meet(_matrix(part["raw"], dim), part["least"].to_numpy(), part["id"].to_numpy())
+                    heaps.meet(matrix(part["raw"], dim), part["least"].to_numpy(), part["id"].to_numpy())
         if heaps is not None:
             yield heaps.rows(ids)
 
@@ -181,7 +181,7 @@ def nearest_vectors(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame
     among ties. A distance beyond the range of doubles is infinite. Other columns are not read.
     """
     picked = vectors.select(F.col("vec_id").cast("long"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col("embedding").cast("array<double>").alias("v"))
-    packed = stash(_pack(picked.where(comparable(F.col("v"))).withColumn("row", F.monotonically_increasing_id())))
+    packed = stash(pack(picked.where(comparable(F.col("v"))).withColumn("row", F.monotonically_increasing_id())))
     order = Window.partitionBy("hi", "lo", "dim").orderBy(F.col("vec_id").asc_nulls_last(), "row")
     members = stash(packed.select("hi", "lo", "dim", "vec_id", "row", "raw").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1))
     classes = stash(members.where("place = 1").select("hi", "lo", "dim", "raw", F.col("row").alias("id"), F.coalesce("vec_id", F.lit(NO_ID)).alias("least")))

@@ -311,6 +311,9 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].n_links <= near[i].sum() - 1 for i in range(400))
     assert np.mean([got[i].component_id == want[i] for i in range(400)]) > 0.97
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad)
+    wide = [(i, [1.0, float(i), 2.0]) for i in range(40)] + [(90, [0.5] * 300_000), (91, [1.0] * 300_000), (92, [7.0])]
+    got_wide = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()}
+    assert got_wide[90] == got_wide[91] == (1, 90) and got_wide[92] == (0, 92) and len(got_wide) == 43
     assert embeddings.near_vectors(spark.createDataFrame(bad[:1], "vec_id long, embedding array<double>")).count() == 1
 
 
