@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions import dims
+from knowntime.functions.scalars import resolve_alias
 from knowntime.operators.pit import dominated_maxima, latest_on_or_before, primary_securities
 
 CLOSES, LOOKBACK_DAYS, SKIP, PER_YEAR = 253, 550, 21, 252
@@ -218,6 +219,25 @@ def stored_ranges(bars: DataFrame) -> DataFrame:
     return bars.groupBy("instrument_id", "provider", "adjustment_mode").agg(F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"), F.count("*").alias("bars"))
 
 
+def named_metrics(bars: DataFrame, requests: DataFrame, closes: int = CLOSES, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """(symbol, benchmark, as_of, name) -> requests with metric, value, valid, reason, higher_is_better; names
+    may be aliases, and an unknown one says so."""
+    asked = requests.withColumn("metric", resolve_alias(F.col("name"), dims.METRIC_ALIASES, dims.METRICS))
+    known = asked.where("metric is not null").select("symbol", "benchmark", "as_of").distinct()
+    found = all_metrics(bars, known, closes, lookback).select("symbol", "as_of", "metric", "value", "valid", "reason", "higher_is_better")
+    out = asked.join(found, ["symbol", "as_of", "metric"], "left")
+    unknown = F.col("metric").isNull()
+    return out.withColumns({"valid": F.coalesce("valid", F.lit(False)), "reason": F.when(unknown, "unknown_metric").otherwise(F.col("reason"))})
+
+
+def database_stats(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
+    """(table, rows, run_id, finished_at): row counts, and a row of their own for the latest successful run of
+    ``runs`` (run_id string, finished_at, status), if there is one."""
+    last = runs.where("status = 'success'").agg(F.max_by(F.struct("run_id", "finished_at"), F.struct("finished_at", "run_id")).alias("r")).where("r is not null")
+    counts = table_stats(tables).select("table", "rows", F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("timestamp").alias("finished_at"))
+    return counts.unionByName(last.select(F.lit("latest_successful_run").alias("table"), F.lit(None).cast("long").alias("rows"), "r.run_id", F.col("r.finished_at").cast("timestamp").alias("finished_at")))
+
+
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rows) for each named frame."""
     out: DataFrame | None = None

@@ -148,6 +148,13 @@ def overlapping_mappings(mappings: DataFrame) -> DataFrame:
     return shared.where("shared_from is not null").select("provider", "provider_symbol", "mapping_id", "instrument_id", "shared_from")
 
 
+def instruments_of_symbols(symbols: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(symbol) -> the instruments of the symbols asked for, trimmed and in capitals, once each;
+    blank and unknown symbols have none."""
+    asked = symbols.select(F.upper(F.trim("symbol")).alias("canonical_symbol")).where("canonical_symbol <> ''").distinct()
+    return asked.join(instruments, "canonical_symbol")
+
+
 def issuers_of_symbols(symbols: DataFrame, instruments: DataFrame, securities: DataFrame) -> DataFrame:
     """(symbol) -> (symbol, cik): the instrument's issuer, else the primary security's."""
     primary = primary_securities(securities)

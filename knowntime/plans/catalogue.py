@@ -249,13 +249,17 @@ def top_five_roa(spark, sf_dir):
 
 @query(
     _with(A.FACTS_SQL, _AS_OF_SQL, _REQ_SQL, _BEST_SQL, _PIVOT_SQL, _FACTOR_SQL)
-    + " SELECT CAST(day AS VARCHAR) AS as_of, fiscal_year, factor, cik FROM vals WHERE value IS NULL"
+    + """ SELECT CAST(day AS VARCHAR) AS as_of, fiscal_year, factor, cik, FALSE AS unresolved FROM vals WHERE value IS NULL UNION ALL
+SELECT DISTINCT CAST(day AS VARCHAR), fiscal_year, factor, 'N' || r_regionkey, TRUE FROM vals JOIN region ON TRUE"""
 )
 def ranking_exclusions(spark, sf_dir):
+    """What a ranking leaves out; regions are asked for among the issuers and can't be resolved."""
     rows = _factor_rows(spark, sf_dir)
     universe = rows.select("as_of", "fiscal_year", "factor", "cik").distinct()
+    regions = F.array(*[F.lit(f"N{k}") for k in range(5)])
+    universe = universe.unionByName(rows.select("as_of", "fiscal_year", "factor").distinct().withColumn("cik", F.explode(regions)))
     out = ranking.exclusions(rows, universe, ["as_of", "fiscal_year", "factor"], name="cik")
-    return out.select(_day("as_of").alias("as_of"), _long("fiscal_year").alias("fiscal_year"), "factor", "cik")
+    return out.select(_day("as_of").alias("as_of"), _long("fiscal_year").alias("fiscal_year"), "factor", "cik", (F.col("reason") == "unresolved").alias("unresolved"))
 
 
 @query(
@@ -592,16 +596,23 @@ def surrogate_keys(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), w AS (SELECT k, d, d - CAST(row_number() OVER (PARTITION BY k ORDER BY d) AS INTEGER) AS x FROM (SELECT DISTINCT k, d FROM g))
-SELECT 'i' || k AS instrument_id, CASE WHEN count(*) = 1 THEN NULL WHEN count(DISTINCT x) >= 1 THEN 'coverage_gap' END AS reason FROM w GROUP BY k HAVING count(*) > 1
-AND max(d) - min(d) + 1 > count(*)"""
+    """WITH m AS (SELECT o_custkey AS k, CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 2 = 0 THEN 'T' ELSE 'S' END AS symbol, CAST(o_orderdate AS DATE) AS f, CAST(o_orderdate AS DATE) + CASE WHEN o_custkey % 5 < 3 THEN 700 ELSE 5 END AS t FROM orders WHERE o_orderkey % 3 > 0),
+asked AS (SELECT c_custkey AS k, DATE '1996-01-01' AS a, DATE '1997-06-30' AS b FROM customer), hit AS (SELECT * FROM asked JOIN m USING (k) WHERE f <= b AND t >= a),
+days AS (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM asked), holes AS (SELECT DISTINCT k FROM days x WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.k = x.k AND x.d BETWEEN h.f AND h.t)),
+told AS (SELECT k, count(h.symbol) AS n, count(DISTINCT h.symbol) AS symbols, min(h.symbol) AS symbol FROM asked LEFT JOIN hit h USING (k) GROUP BY 1),
+said AS (SELECT k, symbol, CASE WHEN n = 0 THEN 'no_mapping' WHEN symbols > 1 THEN 'multiple_symbols' WHEN k IN (SELECT k FROM holes) THEN 'coverage_gap' END AS reason FROM told)
+SELECT 'i' || k AS instrument_id, CASE WHEN reason IS NULL THEN symbol END AS provider_symbol, reason FROM said"""
 )
 def mapping_gaps(spark, sf_dir):
-    """Each order day is a one-day mapping of its customer; the range runs from the first to the last."""
-    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("i"), F.col("o_custkey").cast("string")).alias("instrument_id"), F.to_date("o_orderdate").alias("valid_from")).distinct()
-    mappings = days.select("instrument_id", F.lit("table").alias("provider"), F.lit("S").alias("provider_symbol"), "valid_from", F.col("valid_from").alias("valid_to"), F.lit(True).alias("is_primary"))
-    asked = days.groupBy("instrument_id").agg(F.min("valid_from").alias("start_date"), F.max("valid_from").alias("end_date")).withColumn("provider", F.lit("table"))
-    return quality.mapping_coverage(asked, mappings).where("reason is not null").select("instrument_id", "reason")
+    """Orders map their customer to one symbol or, for some, to two, for a week or for two years; every day of a range must have one."""
+    k, d = F.col("o_custkey"), F.to_date("o_orderdate")
+    name = lambda c: F.concat(F.lit("i"), F.col(c).cast("string")).alias("instrument_id")
+    mappings = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 > 0").select(
+        name("o_custkey"), F.lit("table").alias("provider"), F.when((k % 4 == 0) & (F.col("o_orderkey") % 2 == 0), "T").otherwise("S").alias("provider_symbol"), d.alias("valid_from"), F.date_add(d, F.when(k % 5 < 3, 700).otherwise(5)).alias("valid_to"), F.lit(True).alias("is_primary")
+    )
+    day = lambda t: F.lit(t).cast("date")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(name("c_custkey"), F.lit("table").alias("provider"), day("1996-01-01").alias("start_date"), day("1997-06-30").alias("end_date"))
+    return quality.mapping_coverage(asked, mappings).select("instrument_id", "provider_symbol", "reason")
 
 
 @query("SELECT event_type AS ticker, max_by(event_id, (ts, lpad(CAST(event_id AS VARCHAR), 12, '0'))) AS event_id FROM events WHERE value > 10 GROUP BY 1")

@@ -86,10 +86,80 @@ _PAYLOAD_SQL = """p AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_ship
     CASE WHEN l_suppkey % 7 = 0 THEN 'missing_timezone' END, CASE WHEN l_linenumber = 2 THEN 'malformed_date' END, CASE WHEN l_linenumber IN (3, 4) THEN 'malformed_volume' END], lambda x: x IS NOT NULL) AS faults, l_suppkey % 3 = 0 AS west FROM lineitem)"""
 
 
-@query(_with(_PAYLOAD_SQL) + " SELECT symbol, CAST(d AS VARCHAR) AS trading_date, close, volume, CASE WHEN west THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS exchange_timezone, CASE WHEN west THEN 16 + 4 ELSE 7 END <= 24 AS typed, CASE WHEN west THEN 15 ELSE 15 END AS minute FROM p WHERE len(faults) = 0")
+#: New York's summer time in the years of these tables: first Sunday of April to last Sunday of October.
+_ZONE_SQL = """z AS (SELECT *, d >= make_date(year(d), 4, 1) + CAST((7 - dayofweek(make_date(year(d), 4, 1))) % 7 AS INTEGER) AND d < make_date(year(d), 10, 31) - CAST(dayofweek(make_date(year(d), 10, 31)) AS INTEGER) AS summer FROM p)"""
+
+
+@query(
+    _with(_PAYLOAD_SQL, _ZONE_SQL)
+    + """ SELECT symbol, CAST(d AS VARCHAR) AS trading_date, close, volume, CASE WHEN west THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS exchange_timezone,
+CAST(d AS VARCHAR) || CASE WHEN NOT west THEN ' 07:15:00' WHEN summer THEN ' 20:15:00' ELSE ' 21:15:00' END AS available_at FROM z WHERE len(faults) = 0"""
+)
 def payload_bars(spark, sf_dir):
+    """Bars of vendor payloads, known a quarter after four of their own zone."""
     rows = documents.bar_payloads(_payloads(spark, sf_dir))[0]
-    return rows.select("symbol", _text("trading_date"), F.col("close").cast("double").alias("close"), "volume", "exchange_timezone", F.col("available_at").isNotNull().alias("typed"), F.minute("available_at").alias("minute"))
+    return rows.select("symbol", _text("trading_date"), F.col("close").cast("double").alias("close"), "volume", "exchange_timezone", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
+
+
+def _error_payloads(spark, sf_dir) -> DataFrame:
+    """A payload of each customer that is no list of bars, in the ways a vendor says so; each eighth is empty but fine."""
+    c, k = _table(spark, sf_dir, "customer"), F.col("c_custkey") % 8
+    code = F.when(k == 0, "401").when(k == 1, "400").when(k == 2, "429").when(k == 3, "503").when(k == 4, "404").when(k == 5, "418")
+    message = F.when(k == 1, "Your API key is wrong").when(k == 4, "no such thing").otherwise(F.concat(F.lit("about symbol "), F.col("c_name")))
+    status = F.when(k == 5, "ERROR").when(k == 6, "error").when(k == 7, "ok").otherwise("fail")
+    values = F.when((k == 7) & (F.col("c_custkey") % 16 == 7), F.array())
+    doc = F.struct(F.lit(None).alias("meta"), values.alias("values"), status.alias("status"), code.alias("code"), F.when(k != 5, message).alias("message"))
+    return c.select(F.col("c_custkey").cast("string").alias("symbol"), F.lit("all").alias("adjustment_mode"), doc.cast(documents.PAYLOAD).alias("doc"))
+
+
+_ERROR_SQL = """e AS (SELECT c_custkey AS k, CASE c_custkey % 8 WHEN 0 THEN 'auth' WHEN 1 THEN 'auth' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'upstream' WHEN 4 THEN 'symbol' WHEN 5 THEN 'provider_error' WHEN 6 THEN 'symbol'
+    ELSE CASE WHEN c_custkey % 16 <> 7 THEN 'no_values' END END AS fault FROM customer)"""
+
+
+@query(_with(_ERROR_SQL) + " SELECT CAST(k AS VARCHAR) AS symbol, fault, fault IN ('rate_limit', 'upstream') AS retry, CASE k % 8 WHEN 0 THEN '401' WHEN 1 THEN '400' WHEN 2 THEN '429' WHEN 3 THEN '503' WHEN 4 THEN '404' WHEN 5 THEN '418' END AS code FROM e WHERE fault IS NOT NULL")
+def payload_errors(spark, sf_dir):
+    """Payloads told apart by what went wrong, and whether to ask again."""
+    return documents.payload_errors(_error_payloads(spark, sf_dir)).select("symbol", "fault", "retry", F.col("code").cast("string").alias("code"))
+
+
+@query(_with(_ERROR_SQL) + " SELECT fault, count(*) AS rows FROM e WHERE fault IS NOT NULL GROUP BY 1")
+def payload_error_rejects(spark, sf_dir):
+    """Error payloads are one rejected row each of the scan."""
+    return documents.bar_payloads(_error_payloads(spark, sf_dir))[1].groupBy(F.array_join("faults", ",").alias("fault")).agg(F.count("*").alias("rows"))
+
+
+@query(
+    """SELECT DISTINCT upper(trim(c_mktsegment)) || '-' || (c_nationkey % 7) AS canonical_symbol, 'i' || (c_nationkey % 7) || upper(c_mktsegment) AS instrument_id FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey % 7 <> 6"""
+)
+def instruments_by_symbol(spark, sf_dir):
+    """Symbols in any case and with blanks, some unknown, looked up among the instruments."""
+    c, n = _table(spark, sf_dir, "customer"), (F.col("c_nationkey") % 7).cast("string")
+    symbol = F.concat(F.upper("c_mktsegment"), F.lit("-"), n)
+    listed = c.where("c_nationkey % 7 <> 6").select(symbol.alias("canonical_symbol"), F.concat(F.lit("i"), n, F.upper("c_mktsegment")).alias("instrument_id")).distinct()
+    asked = c.where("c_custkey % 3 = 0").select(F.when(F.col("c_custkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.lower(symbol))).alias("symbol")).unionByName(c.where("c_custkey % 3 = 0").select(symbol.alias("symbol")))
+    return pit.instruments_of_symbols(asked, listed)
+
+
+@query(
+    """WITH r AS (SELECT event_id, ts FROM events WHERE value > 10), l AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS run_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS finished_at FROM r ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 12, '0') DESC LIMIT 1)
+SELECT 'customer' AS name, CAST(count(*) AS VARCHAR) AS rows, CAST(NULL AS VARCHAR) AS run_id, CAST(NULL AS VARCHAR) AS finished_at FROM customer UNION ALL SELECT 'orders', CAST(count(*) AS VARCHAR), NULL, NULL FROM orders UNION ALL SELECT 'latest_successful_run', NULL, run_id, finished_at FROM l"""
+)
+def database_stats(spark, sf_dir):
+    """Row counts with the latest successful run."""
+    runs = _table(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("run_id"), F.col("ts").cast("timestamp").alias("finished_at"), F.when(F.col("value") > 10, "success").otherwise("failed").alias("status"))
+    out = market.database_stats({n: _table(spark, sf_dir, n) for n in ("customer", "orders")}, runs)
+    return out.select(F.col("table").alias("name"), _text("rows"), "run_id", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN 'momentum_12_1' WHEN 1 THEN 'momentum_12_1' WHEN 2 THEN 'volatility_1y' WHEN 3 THEN 'beta_1y' WHEN 4 THEN 'max_drawdown_1y' WHEN 5 THEN 'max_drawdown_1y' WHEN 6 THEN 'volatility_1y' WHEN 7 THEN 'beta_1y' END AS metric FROM customer"""
+)
+def metric_names(spark, sf_dir):
+    """Names of metrics in their shorter and odder spellings."""
+    names = ["momentum-12-1", " Momentum ", "volatility", "BETA", "max drawdown", "drawdown", "Volatility-1Y", "beta_1y", "sharpe"]
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, names)), (k % 9 + 1).cast("int"))
+    return _table(spark, sf_dir, "customer").select(k.alias("k"), S.resolve_alias(name, dims.METRIC_ALIASES, dims.METRICS).alias("metric"))
 
 
 @query(_with(_PAYLOAD_SQL) + " SELECT symbol, array_to_string(faults, ',') AS faults, count(*) AS rows FROM p WHERE len(faults) > 0 GROUP BY 1, 2")

@@ -283,15 +283,16 @@ _BACKTEST_SQL = _with(
 @query(
     _BACKTEST_SQL
     + """, stats AS (SELECT run_id, arg_max(nav, d) / 1e6 AS ratio, count(ret) AS n, stddev_samp(ret) AS sd, avg(ret) AS mean, min(least(nav / event_peak - 1, mark / greatest(peak, mark) - 1)) AS dd FROM walk GROUP BY 1),
-costs AS (SELECT run_id, sum(turnover) AS turnover, sum(pre * turnover * rate) AS cost, count(*) AS done FROM chain GROUP BY 1)
-SELECT run_id, 'success' AS status, CAST(NULL AS VARCHAR) AS reason, round(ln(ratio), 6) AS log_return, round(pow(ratio, 252.0 / n) - 1, 6) AS annualized_return, round(sd * sqrt(252), 6) AS annualized_volatility, round(mean / sd * sqrt(252), 6) AS sharpe_ratio, round(dd, 6) AS max_drawdown,
-       round(turnover, 6) AS gross_turnover, round(ln(1 + cost), 6) AS log_cost, done AS successful_rebalance_count, n AS interval_count, CAST(0 AS BIGINT) AS leakage_violations FROM stats JOIN costs USING (run_id)"""
+costs AS (SELECT run_id, sum(turnover) AS turnover, sum(pre * turnover * rate) AS cost, count(*) AS done FROM chain GROUP BY 1),
+blend AS (SELECT run_id, max(years) > 1 AS mixed FROM (SELECT run_id, d, count(DISTINCT fy) AS years FROM sel GROUP BY 1, 2) GROUP BY 1)
+SELECT run_id, 'adjusted_history_may_embed_later_corporate_actions,universe_may_carry_survivorship_bias' || CASE WHEN mixed THEN ',mixed_fiscal_periods' ELSE '' END AS warnings, 'success' AS status, CAST(NULL AS VARCHAR) AS reason, round(ln(ratio), 6) AS log_return, round(pow(ratio, 252.0 / n) - 1, 6) AS annualized_return, round(sd * sqrt(252), 6) AS annualized_volatility, round(mean / sd * sqrt(252), 6) AS sharpe_ratio, round(dd, 6) AS max_drawdown,
+       round(turnover, 6) AS gross_turnover, round(ln(1 + cost), 6) AS log_cost, done AS successful_rebalance_count, n AS interval_count, CAST(0 AS BIGINT) AS leakage_violations FROM stats JOIN costs USING (run_id) JOIN blend USING (run_id)"""
 )
 def factor_backtests(spark, sf_dir):
     """Figures of each run."""
     rows = _factor_backtests(spark, sf_dir)["runs"]
     return rows.select(
-        "run_id", "status", "reason", _log("total_return", "log_return"), *[_r(c).alias(c) for c in ("annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "gross_turnover")], _log("transaction_cost_total", "log_cost"),
+        "run_id", F.array_join("warnings", ",").alias("warnings"), "status", "reason", _log("total_return", "log_return"), *[_r(c).alias(c) for c in ("annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "gross_turnover")], _log("transaction_cost_total", "log_cost"),
         _long("successful_rebalance_count").alias("successful_rebalance_count"), _long("interval_count").alias("interval_count"), _long("leakage_violations").alias("leakage_violations"),
     )
 
@@ -336,27 +337,46 @@ def factor_backtest_rebalances(spark, sf_dir):
 
 
 @query(
-    """SELECT unnest(['nobody', 'too_many', 'no_calendar', 'dear', 'too_dear', 'outside', 'gap', 'short_history', 'fine']) AS run_id,
-       unnest(['unavailable', 'unavailable', 'unavailable', 'success', 'failed', 'unavailable', 'failed', 'unavailable', 'success']) AS status,
-       unnest(['issuer_identity_unavailable', 'factor_universe_too_small', 'calendar_missing', NULL, 'invalid_post_cost_nav', 'explicit_date_out_of_range', 'held_return_missing', 'baseline_unavailable', NULL]) AS reason"""
+    """WITH cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT upper(n_name) AS symbol, n_nationkey AS cik FROM nation),
+inside AS (SELECT d, lead(d) OVER (ORDER BY d) AS nd FROM cal WHERE d BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'), decs AS (SELECT max(d) AS d, max_by(nd, d) AS nd FROM inside GROUP BY date_trunc('month', d)),
+said AS (SELECT 'nobody' AS run_id, CASE WHEN NOT EXISTS (SELECT 1 FROM n WHERE symbol = 'NOBODY') THEN 'issuer_identity_unavailable' END AS reason
+    UNION ALL SELECT 'too_many', CASE WHEN count(*) + 1 > count(DISTINCT cik) THEN 'factor_universe_too_small' END FROM n
+    UNION ALL SELECT 'no_calendar', CASE WHEN NOT EXISTS (SELECT 1 FROM n WHERE symbol = 'NOWHERE') THEN 'calendar_missing' END
+    UNION ALL SELECT 'dear', CASE WHEN 0.4 * 2 >= 1 THEN 'invalid_post_cost_nav' END UNION ALL SELECT 'too_dear', CASE WHEN 1.0 * 1 >= 1 THEN 'invalid_post_cost_nav' END
+    UNION ALL SELECT 'outside', CASE WHEN DATE '1997-01-05' NOT BETWEEN (SELECT min(d) FROM inside) AND (SELECT max(d) FROM inside) THEN 'explicit_date_out_of_range' END
+    UNION ALL SELECT 'gap', CASE WHEN EXISTS (SELECT 1 FROM cal WHERE d BETWEEN DATE '1999-06-08' AND DATE '1999-06-12') THEN 'held_return_missing' END
+    UNION ALL SELECT 'short_history', CASE WHEN count(*) < 120 THEN 'baseline_unavailable' END FROM cal WHERE d <= (SELECT max(d) FROM cal WHERE d < DATE '1995-03-01')
+    UNION ALL SELECT 'same_issuer', CASE WHEN count(DISTINCT cik) < 2 THEN 'same_issuer_universe' END FROM (SELECT cik FROM n WHERE symbol = 'NATION_0' UNION ALL SELECT cik FROM n WHERE symbol = 'NATION_0')
+    UNION ALL SELECT 'doubled', CASE WHEN EXISTS (SELECT 1 FROM inside WHERE day(d) = 3) THEN 'calendar_ambiguous' END
+    UNION ALL SELECT 'late', CASE WHEN EXISTS (SELECT 1 FROM decs WHERE date_trunc('month', d) = DATE '1999-03-01' AND d + 40 >= nd) THEN 'leakage_detected' END
+    UNION ALL SELECT 'fine', NULL)
+SELECT run_id, CASE WHEN reason IS NULL THEN 'success' WHEN reason IN ('invalid_post_cost_nav', 'held_return_missing', 'leakage_detected') THEN 'failed' ELSE 'unavailable' END AS status, reason, CASE WHEN run_id = 'late' THEN (SELECT count(*) * 3 FROM decs WHERE date_trunc('month', d) = DATE '1999-03-01' AND d + 40 >= nd) ELSE 0 END AS violations FROM said"""
 )
 def backtest_outcomes(spark, sf_dir):
     """One run for each way to end: names without issuer, too few names, no calendar, a cost that takes
-    everything, a date outside the range, a missing price of a held name, too short a history."""
+    everything, a date outside the range, a missing price of a held name, too short a history, two names
+    of one issuer, a calendar with doubled days, and one that is known later than what it decides."""
     base = _runs(spark, sf_dir).where("run_id = 'equal_weight-3-monthly'").drop("run_id", "cost_bps")
     nations = A.securities(spark, sf_dir).count()
     odd = {
         "nobody": {"tickers": F.array(F.lit("NOBODY"))}, "too_many": {"top_n": F.lit(nations + 1)}, "no_calendar": {"calendar_symbol": F.lit("NOWHERE")}, "dear": {"cost_bps": F.lit(4000.0)}, "too_dear": {"cost_bps": F.lit(10_000.0)},
         "outside": {"schedule": F.lit("explicit"), "explicit_dates": F.array(F.lit("1997-01-05").cast("date"))}, "gap": {"top_n": F.lit(1), "start_date": F.lit("1999-01-01").cast("date"), "tickers": F.array(F.lit("NATION_0"))},
         "short_history": {"baseline": F.lit("inverse_volatility"), "start_date": F.lit("1995-02-01").cast("date"), "top_n": F.lit(1)}, "fine": {},
+        "same_issuer": {"tickers": F.array(F.lit("NATION_0"), F.lit("TWIN")), "top_n": F.lit(1)}, "doubled": {"calendar_symbol": F.lit("DOUBLED")}, "late": {"calendar_symbol": F.lit("LATE")},
     }
     runs = None
     for name, change in odd.items():
         one = base.withColumn("cost_bps", F.lit(1.0)).withColumns(change).withColumn("run_id", F.lit(name))
         runs = one if runs is None else runs.unionByName(one)
     bars = dense_nation_bars(spark, sf_dir).where("not (symbol = 'NATION_0' and trading_date between date'1999-06-08' and date'1999-06-12')")
-    out = portfolio.run_backtests(runs, bars, A.facts(spark, sf_dir), A.securities(spark, sf_dir), A.instruments(spark, sf_dir), closes=120)
-    return out["runs"].select("run_id", "status", "reason")
+    market_ = bars.where("symbol = 'MARKET'")
+    doubled = market_.withColumn("symbol", F.lit("DOUBLED"))
+    late = market_.withColumns({"symbol": F.lit("LATE"), "available_at": F.when(F.trunc("trading_date", "month") == F.lit("1999-03-01").cast("date"), F.col("available_at") + F.expr("interval 40 days")).otherwise(F.col("available_at"))})
+    bars = bars.unionByName(doubled).unionByName(doubled.where("day(trading_date) = 3")).unionByName(late)
+    listed = A.instruments(spark, sf_dir)
+    listed = listed.unionByName(listed.where("canonical_symbol = 'NATION_0'").withColumns({"instrument_id": F.lit("i_TWIN"), "canonical_symbol": F.lit("TWIN")}))
+    out = portfolio.run_backtests(runs, bars, A.facts(spark, sf_dir), A.securities(spark, sf_dir), listed, closes=120)
+    return out["runs"].select("run_id", "status", "reason", F.col("leakage_violations").cast("long").alias("violations"))
 
 
 @query(

@@ -6,7 +6,7 @@ All schemas are declared, never inferred. Files hold one JSON document each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions import scalars as S
@@ -31,11 +31,6 @@ STRATEGY = (
 )
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
-    """(path, doc): each file (or line) parsed; unreadable documents have a null doc."""
-    return spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("doc"))
-
-
 def company_facts(docs: DataFrame, filings: DataFrame) -> DataFrame:
     """(doc COMPANY_FACTS) -> one row per distinct observation with its availability.
 
@@ -130,18 +125,37 @@ def resolve_tickers(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return asked.join(first, "ticker", "left").select("ticker", "e.cik", "e.title", F.col("e.cik").isNotNull().alias("found"))
 
 
+def payload_fault(doc: Column) -> Column:
+    """What kind of error a whole payload is, null for one with values: auth, rate_limit, upstream
+    (code of 500 or more), symbol, provider_error, or no_values."""
+    code, said = doc["code"].try_cast("int"), F.lower(F.coalesce(doc["message"], doc["status"], F.lit("")))
+    error = (F.lower(F.trim(F.coalesce(doc["status"], F.lit("")))) == "error") | F.coalesce(code >= 400, F.lit(False))
+    kind = F.when(said.contains("api key") | code.isin(401, 403), "auth").when(code == 429, "rate_limit").when(code >= 500, "upstream").when(said.contains("symbol") | code.isin(400, 404), "symbol").otherwise("provider_error")
+    return F.when(error, kind).when(doc["values"].isNull(), "no_values")
+
+
+def payload_errors(docs: DataFrame) -> DataFrame:
+    """(symbol, adjustment_mode, doc PAYLOAD) -> (symbol, adjustment_mode, fault, retry, code, message) of the
+    payloads without bars; asking again later may help with a rate limit or an upstream error."""
+    marked = docs.withColumn("fault", payload_fault(F.col("doc"))).where("fault is not null")
+    return marked.select("symbol", "adjustment_mode", "fault", F.col("fault").isin("rate_limit", "upstream").alias("retry"), F.col("doc.code").try_cast("int").alias("code"), F.col("doc.message").alias("message"))
+
+
 def bar_payloads(docs: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbol, adjustment_mode, doc PAYLOAD) -> (typed bars, rejected rows with reasons).
 
     Malformed rows, and all rows of a payload without currency or time zone, are
-    rejected; an empty payload gives neither. A zone that is not in ``zones(zone)`` counts
+    rejected, and so is a payload that is an error, as one row; an empty list of values
+    gives neither. A zone that is not in ``zones(zone)`` counts
     as missing: Spark would stop the job at it. Without ``zones``, Spark's own list is used.
     Bars carry ``available_at``, 16:15 of their day in their zone.
     """
     from knowntime.operators.quality import known_zones, with_known_zone
 
     zone = F.coalesce(F.nullif(F.trim("doc.meta.exchange_timezone"), F.lit("")), F.nullif(F.trim("doc.meta.timezone"), F.lit("")))
-    rows = docs.select("symbol", "adjustment_mode", F.nullif(F.trim("doc.meta.currency"), F.lit("")).alias("currency"), zone.alias("exchange_timezone"), F.explode("doc.values").alias("b"))
+    told = F.to_json(F.struct("doc.status", "doc.code", "doc.message")).alias("raw")
+    errors = docs.withColumn("__fault", payload_fault(F.col("doc"))).where("__fault is not null").select("symbol", "adjustment_mode", told, F.array("__fault").alias("faults"))
+    rows = docs.where(payload_fault(F.col("doc")).isNull()).select("symbol", "adjustment_mode", F.nullif(F.trim("doc.meta.currency"), F.lit("")).alias("currency"), zone.alias("exchange_timezone"), F.explode("doc.values").alias("b"))
     price = lambda c: F.regexp_replace(F.trim(c), ",", "").try_cast("decimal(18,6)")
     volume = F.regexp_replace(F.trim("b.volume"), ",", "").try_cast("double")
     typed = rows.select(
@@ -156,7 +170,8 @@ def bar_payloads(docs: DataFrame, zones: DataFrame | None = None) -> tuple[DataF
     )
     marked = with_known_zone(typed, zones if zones is not None else known_zones(docs.sparkSession)).withColumn("faults", faults)
     good = marked.where(F.size("faults") == 0).drop("raw", "faults")
-    return good.withColumn("available_at", S.bar_available_at(F.col("trading_date"), F.col("exchange_timezone"))), marked.where(F.size("faults") > 0).select("symbol", "adjustment_mode", "raw", "faults")
+    bad = marked.where(F.size("faults") > 0).select("symbol", "adjustment_mode", "raw", "faults").unionByName(errors)
+    return good.withColumn("available_at", S.bar_available_at(F.col("trading_date"), F.col("exchange_timezone"))), bad
 
 
 def strategies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
