@@ -27,7 +27,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LABEL = 500
-MOST_LABELS = 1000
+MOST_BROADCAST = 100_000  # labels whose counts are sent to every task
+MOST_ROWS = 500_000  # texts that all labels together are learned from, in expectation
 WINDOWS_PER_TEXT = 3
 LETTER = regex.compile(r"\p{L}")
 
@@ -122,10 +123,10 @@ class ByteCnn:
         return out
 
 
-def training_sample(docs: DataFrame, per_label: int, most_labels: int, folds: int, held_out: int) -> DataFrame:
+def training_sample(docs: DataFrame, per_label: int, most_rows: int, folds: int, held_out: int) -> DataFrame:
     """(doc_id, label, part): windows' worth of text at hashed places of a hashed share of each
     label's texts. The share makes ``per_label`` texts of a label in expectation, repeated rows
-    counted once; of more than ``most_labels`` labels a hashed share is learned."""
+    counted once, and fewer of each where that would be more than ``most_rows`` of all labels."""
     part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         training_part(F.col("doc_id"), folds, held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
@@ -135,8 +136,9 @@ def training_sample(docs: DataFrame, per_label: int, most_labels: int, folds: in
     def share(*of):
         return F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    learned = sizes.where(share("lang") * labels < most_labels)  # that many rows, so it can be broadcast
-    chosen = part.join(F.broadcast(learned), "lang").where(share("doc_id", "text") * F.col("n") < per_label)
+    each = min(float(per_label), most_rows / max(1, labels))
+    small = labels <= MOST_BROADCAST  # else the texts of a label meet its count by a shuffle
+    chosen = part.join(F.broadcast(sizes) if small else sizes, "lang").where(share("doc_id", "text") * F.col("n") < each)
     spots = F.transform(
         F.sequence(F.lit(1), F.lit(WINDOWS_PER_TEXT)),
         lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), k), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)),
@@ -144,8 +146,8 @@ def training_sample(docs: DataFrame, per_label: int, most_labels: int, folds: in
     return chosen.select("doc_id", F.col("lang").alias("label"), F.explode(spots).alias("part")).distinct()
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2, most_labels: int = MOST_LABELS) -> ByteCnn:
-    rows = sorted((r["label"], r["doc_id"] or 0, r["part"]) for r in training_sample(docs, per_label, most_labels, folds, held_out).collect())
+def fit(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2, most_rows: int = MOST_ROWS) -> ByteCnn:
+    rows = sorted((r["label"], r["doc_id"] or 0, r["part"]) for r in training_sample(docs, per_label, most_rows, folds, held_out).collect())
     labels = sorted({label for label, _, _ in rows})
     x = np.concatenate([windows(part.encode("utf-8")[:WINDOW]) for _, _, part in rows]) if rows else np.zeros((0, WINDOW), np.uint8)
     return ByteCnn.train(x, np.array([labels.index(label) for label, _, _ in rows], np.int64), labels)
@@ -174,7 +176,7 @@ def _decide(cnn: ByteCnn, tables: list, texts: Iterable[str | None]) -> tuple[np
     return label, score
 
 
-def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2) -> DataFrame:
+def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_out: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
     """documents with text and lang -> (doc_id, held_out, lang_pred, score), a row for each row.
 
     Learns from rows whose crc32(doc_id as text) modulo ``folds`` is not
@@ -183,7 +185,7 @@ def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_o
     that is null or holds no letter is ``und`` with score 0, and so is every
     text when there is nothing to learn from.
     """
-    model = fit(docs, per_label, folds, held_out)
+    model = fit(docs, per_label, folds, held_out, most_rows)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.embed, model.conv, model.bias, model.dense, model.shift))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +199,12 @@ def identify(docs: DataFrame, per_label: int = PER_LABEL, folds: int = 4, held_o
     return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def drop_unidentified(docs: DataFrame, least: float = 0.4, per_label: int = PER_LABEL, most_rows: int = MOST_ROWS) -> DataFrame:
     """documents whose language is found with a score of ``least`` or more; columns as given.
 
     Rows are filtered where they lie, so no text is shuffled.
     """
-    model = fit(docs)
+    model = fit(docs, per_label, most_rows=most_rows)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.embed, model.conv, model.bias, model.dense, model.shift))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

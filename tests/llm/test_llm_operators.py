@@ -420,6 +420,16 @@ def test_known_characters_agree():
             assert np.frombuffer(ids(s), "<u4").tolist() == word.encode(s, add_special_tokens=False).ids, hex(ord(c))
 
 
+def test_language_sample_bounds_rows_and_keeps_labels(spark, monkeypatch):
+    rows = [(i, f"words of a text {i}", f"l{i % 40}") for i in range(8000)] + [(9000, None, "l0"), (9001, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for broadcast in (100_000, 1):
+        monkeypatch.setattr(langid, "MOST_BROADCAST", broadcast)
+        got = langid.training_sample(docs, 500, 2000, 4, 2).select("doc_id", "label").distinct().collect()
+        assert len({r.label for r in got}) == 40 and 1600 < len(got) < 2400
+    assert langid.training_sample(docs, 3, 2000, 4, 2).select("doc_id").distinct().count() < 240
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
