@@ -168,6 +168,6 @@ def format_records(records: DataFrame, keep: Sequence[str] = (), layouts: Sequen
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) rows -> one record per conversation, rows ordered by
-    turn, then role and text; repeated rows stay, extra columns are not read."""
+    turn (null first), then role and text; repeated rows stay, extra columns are not read."""
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))

@@ -135,9 +135,9 @@ _ORACLES = {
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
         SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + 5 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1~\2\3', 'g')) + 8) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
