@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,16 @@ FACT_COLUMNS = ["cik", "taxonomy", "concept", "unit", "value", "start_date", "en
 _COMPONENT_TAGS = ("ShortTermBorrowings", "CommercialPaper", "LongTermDebtCurrent")
 
 
+_blank: dict[int, dict[str, Column]] = {}
+
+
 def value_struct(**given: Column) -> Column:
     """A VALUE_TYPE struct; fields not given are null, flags false, warnings empty."""
-    none = {"is_derived": F.lit(False), "is_restated": F.lit(False), "normalized_from_sign": F.lit(False), "warnings": F.array().cast("array<string>"), "derivation_accessions": F.array().cast("array<string>")}
-    return F.struct(*[(given.get(n, none.get(n, F.lit(None)))).cast(t).alias(n) for n, t in zip(_FIELDS, _TYPES)])
+    known = _blank.setdefault(id(SparkContext._gateway), {})  # literals of one JVM, made once: plans hold dozens of structs
+    if not known:
+        none = {"is_derived": F.lit(False), "is_restated": F.lit(False), "normalized_from_sign": F.lit(False), "warnings": F.array(), "derivation_accessions": F.array()}
+        known |= {n: none.get(n, F.lit(None)).cast(t).alias(n) for n, t in zip(_FIELDS, _TYPES)}
+    return F.struct(*[given[n].cast(t).alias(n) if n in given else known[n] for n, t in zip(_FIELDS, _TYPES)])
 
 
 def _words(*texts: str | Column) -> Column:
@@ -201,9 +208,9 @@ def wide_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = di
     )
     w = Window.partitionBy(*_PERIOD).orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
     carried = wide.select(*KEYS, *[F.last(n, ignorenulls=True).over(w).alias(n) for n in (*names, *parts)])
-    own_unit = {c.name: c.unit for c in dims.CONCEPTS}
-    unknown = {n: value_struct(missing_reason=F.lit("no_fact_known"), unit=F.lit(own_unit[n]), warnings=_words("missing_value")) for n in names}
-    return carried.withColumns({n: F.coalesce(n, unknown[n]) for n in names})
+    own_unit = {c.name: c.unit for c in dims.CONCEPTS if c.name in names}
+    unknown = {u: value_struct(missing_reason=F.lit("no_fact_known"), unit=F.lit(u), warnings=_words("missing_value")) for u in set(own_unit.values())}
+    return carried.withColumns({n: F.coalesce(n, unknown[own_unit[n]]) for n in names})
 
 
 def canonical_values(facts: DataFrame, requests: DataFrame, names: Sequence[str] = dims.NAMES) -> DataFrame:
