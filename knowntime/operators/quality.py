@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import ohlcv_faults
-from knowntime.operators.pit import first_shared_days, in_bands, overlapping_mappings
+from knowntime.operators.pit import first_shared_days, overlapping_mappings
 
 BAR_VALUES = ("open", "high", "low", "close", "volume", "currency", "exchange_timezone")
 BAR_KEY = ("instrument_id", "provider", "trading_date", "adjustment_mode")
@@ -46,15 +46,24 @@ def date_windows(requests: DataFrame, days: int = WINDOW_DAYS, overlap: int = OV
     return rows.withColumn("window_end", F.least(F.date_add("window_start", days - 1), F.col("end_date")))
 
 
-def window_gaps(windows: DataFrame, bars: DataFrame, series: Sequence[str] = ("symbol",), days: int = 32) -> DataFrame:
+def window_gaps(windows: DataFrame, bars: DataFrame, series: Sequence[str] = ("symbol",)) -> DataFrame:
     """Windows with bar counts and ``gap``: interior (empty between filled ones), leading, or null.
-    A bar meets the windows of its bucket of ``days`` only."""
+
+    Bars and both ends of the windows lie on one time axis; a window holds the bars counted up to
+    its end less those before its start. One shuffle by series serves all steps, nothing is paired."""
     key = [*series, "window_start", "window_end"]
-    held = in_bands(windows.select(*key).distinct(), bars.select(*series, "trading_date"), series, "window_start", "window_end", "trading_date", days).groupBy(*key).agg(F.count("*").alias("bars"))
-    counted = windows.select(*key).distinct().join(held, key, "left").withColumn("bars", F.coalesce("bars", F.lit(0)))
-    w = Window.partitionBy(*series).orderBy("window_start")
-    before = F.max("bars").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.max("bars").over(w.rowsBetween(1, Window.unboundedFollowing))
+    at = lambda c, side: F.unix_date(F.col(c).cast("date")).cast("long") * 3 + side  # noqa: E731  start, bar, end of a day
+    asked = windows.select(*key, F.explode(F.array(at("window_start", 0), at("window_end", 2))).alias("__at"))
+    held = bars.dropna(subset=[*series, "trading_date"]).select(*series, at("trading_date", 1).alias("__at"))
+    axis = Window.partitionBy(*series).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    side = F.pmod("__at", F.lit(3))
+    seen = asked.unionByName(held, allowMissingColumns=True).withColumn("__seen", F.count_if(side == 1).over(axis)).where((side != 1) | side.isNull())
+    inside = F.max(F.when(side == 2, F.col("__seen"))) - F.max(F.when(side == 0, F.col("__seen")))
+    counted = seen.groupBy(*key).agg(inside.alias("bars")).withColumn("bars", F.when(F.col("window_start") <= F.col("window_end"), F.col("bars")).otherwise(F.lit(0)))
+    w = Window.partitionBy(*series)
+    before = F.max("bars").over(w.orderBy("window_start", "window_end").rowsBetween(Window.unboundedPreceding, -1))
+    # backwards, as a running maximum: a frame up to the last row would be read again for each row
+    after = F.max("bars").over(w.orderBy(F.desc("window_start"), F.desc("window_end")).rowsBetween(Window.unboundedPreceding, -1))
     empty, filled = F.col("bars") == 0, F.coalesce(after, F.lit(0)) > 0
     return counted.withColumn("gap", F.when(empty & filled & (F.coalesce(before, F.lit(0)) > 0), "interior").when(empty & filled, "leading"))
 

@@ -497,7 +497,8 @@ SELECT symbol, CAST(a AS VARCHAR) AS window_start, bars, CASE WHEN bars = 0 AND
 def window_gaps(spark, sf_dir):
     """Five-day windows of each supplier without a bar: before its first one, or between others."""
     start = F.explode(F.sequence(F.lit("1994-06-01").cast("date"), F.lit("2002-06-01").cast("date"), F.expr("interval 5 days")))
-    windows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), start.alias("window_start")).withColumn("window_end", F.date_add("window_start", 4))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small file becomes some 600 times its rows
+    windows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol")).repartition(parts, "symbol").select("symbol", start.alias("window_start")).withColumn("window_end", F.date_add("window_start", 4))
     bars = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity < 3").select(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("trading_date")).distinct()
     return quality.window_gaps(windows, bars).select("symbol", _text("window_start"), "bars", "gap")
 

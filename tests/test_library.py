@@ -145,6 +145,18 @@ def test_as_of_join_sides_agree(spark):
     assert {(r.k, r.at, r.bar_v) for r in a} == {(r.k, r.at, r.bar_v) for r in b}
 
 
+def test_window_gaps_pairs_nothing(spark):
+    """Windows that overlap, share ends with bars, are reversed, empty or of no series; no join, so nothing to broadcast."""
+    days = ((1, 3), (3, 5), (4, 4), (6, 9), (8, 12), (9, 7))
+    windows = spark.createDataFrame([(s, d("2020-01-%02d" % a), d("2020-01-%02d" % b)) for s in ("a", "b", None) for a, b in (*days, (1, 3))], "symbol string, window_start date, window_end date")
+    held = {"a": (3, 3, 9, 20), "b": (), None: (4,)}
+    bars = spark.createDataFrame([(s, d("2020-01-%02d" % x)) for s, all_ in held.items() for x in all_] + [("a", None)], "symbol string, trading_date date")
+    found = quality.window_gaps(windows, bars)
+    got = {(r.symbol, r.window_start.day, r.window_end.day): (r.bars, r.gap) for r in found.collect()}
+    assert got == {(s, a, b): (0 if s is None else sum(a <= x <= b for x in held[s]), {(4, 4): "interior"}.get((a, b)) if s == "a" else None) for s in held for a, b in days}
+    assert found.count() == 18 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_duplicate_bars_and_upserts(spark):
     key = ("i", "p", d("2020-01-01"), "all")
     schema = "instrument_id string, provider string, trading_date date, adjustment_mode string, close double, fetched_at string"
