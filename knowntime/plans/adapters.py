@@ -6,6 +6,8 @@ for securities, events for knowledge-time prices.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +112,10 @@ def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.upper("n_name").alias("symbol"))
     rows = _table(spark, sf_dir, "orders").join(customers, "o_custkey").join(nations, "n_nationkey").groupBy("symbol", F.to_date("o_orderdate").alias("trading_date"))
-    daily = rows.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 10000).cast("decimal(18,6)").alias("close"), F.count("*").alias("volume"))
+    mean = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 10000
+    # scaled before it is rounded, as in the SQL: a cast rounds the shortest text of the double, and ties part
+    close = (F.floor(mean * 1_000_000 + 0.5).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    daily = rows.agg(close.alias("close"), F.count("*").alias("volume"))
     at = bar_available_at(F.col("trading_date"), F.lit("America/New_York"))
     return daily.select(F.concat(F.lit("i_"), "symbol").alias("instrument_id"), "symbol", F.lit("table").alias("provider"), "trading_date", F.lit("none").alias("adjustment_mode"), "close", "volume", F.lit("USD").alias("currency"), at.alias("available_at"), at.alias("fetched_at"))
 

@@ -157,6 +157,29 @@ def test_window_gaps_pairs_nothing(spark):
     assert found.count() == 18 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_nation_bars_round_ties_like_sql(spark, tmp_path):
+    """Means of eight orders often end in half a millionth, where the shortest text of a double and its scaled value part."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from math import floor
+
+    import duckdb
+
+    from knowntime.plans import adapters as A
+
+    text = lambda x: int(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP) * 1_000_000)
+    odd = [n for n in range(10_000_001, 20_000_001, 4) if text(n / 8 / 10000) != floor(n / 8 / 10000 * 1e6 + 0.5)][:20]
+    assert len(odd) == 20
+    rows = [(i * 8 + j, 1, n / 100 if j == 0 else 0.0, dt.datetime(1999, 1, 1) + dt.timedelta(i)) for i, n in enumerate(odd) for j in range(8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, "here")], "n_nationkey int, n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = dict(con.execute(f"WITH {A.NATION_BARS_SQL} SELECT trading_date, close FROM nation_bars").fetchall())
+    assert {r.trading_date: r.close for r in A.nation_bars(spark, str(tmp_path)).collect()} == want
+
+
 def test_duplicate_bars_and_upserts(spark):
     key = ("i", "p", d("2020-01-01"), "all")
     schema = "instrument_id string, provider string, trading_date date, adjustment_mode string, close double, fetched_at string"
