@@ -19,7 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles of similarity 0.8 stays: the smallest doc_id."""
+    """Candidates of the SimHash index and of MinHash bands, held to a similarity of 0.8 of their
+    five-word shingles; of each group the document of the smallest doc_id stays."""
     return keep_representatives(docs)
 
 
@@ -40,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language id", language_id),
-    ("near-dedup by shingle sets", near_dedup),
+    ("SimHash near-dedup, exact shingle sets", near_dedup),
     ("benchmark decontamination", decontamination),
     ("secret scan", secret_scan),
     ("best-fit packing", packing),

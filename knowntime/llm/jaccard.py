@@ -1,17 +1,18 @@
-"""Near-copies by exact Jaccard similarity of word shingles, candidates from MinHash bands.
+"""Near-copies by SimHash and exact Jaccard similarity of word shingles.
 
-A pair of similarity s agrees on a band of ``ROWS`` minima with probability
+SimHash fingerprints of the shingles are linked within ``RADIUS`` bits by the Gray-order index,
+and what such links connect shares a key. It can't reach every pair: at a similarity of 0.8
+fingerprints differ in about 10 of 64 bits. So MinHash bands give more keys, and rows that share a
+key of either kind are held to the exact similarity. A pair of similarity s agrees on a band of ``ROWS`` minima with probability
 s ** ROWS, so it is missed by all ``BANDS`` with (1 - s ** ROWS) ** BANDS: 0.0005 at
-0.8, less above. Equal shingle sets are one class and need no band. A SimHash radius
-would have to be about 17 of 64 bits for this: at 0.8 a pair differs in 10 bits on
-average, and the index has no selective blocks at such a radius.
+0.8, less above. Equal shingle sets are one class and need no key.
 
-Rows that share a band are first compared with a few centres: the row of most company,
+Rows that share a key are first compared with a few centres: the row of most company,
 which edits of one text have in common, then two others. That connects groups of near-copies
 for a few comparisons a row. Rows of a group that are still apart are then compared with each
 other, all of them: the group is cut into blocks of bounded size, a task holds two blocks and
 gets the intersections of their shingle sets as products of incidence matrices. So no link
-between rows that share a band is lost, whatever the group's size; a group whose rows stay
+between rows that share a key is lost, whatever the group's size; a group whose rows stay
 apart costs the square of its rows, in tiles.
 """
 
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowntime.llm._shared import connected_components, release, small_batches, stash
-from knowntime.llm.simhash import shingle_hashes
+from knowntime.llm.simhash import fingerprint_of, near_links, shingle_hashes
 
 BANDS, ROWS = 25, 6
+RADIUS = 3  # differing bits of linked fingerprints
 BLOCK_BYTES = 1 << 22  # of the sets and keys of a block; a task holds two
 TILE_ROWS = 256  # rows of each side whose sets meet in one product
 COLUMNS = 1 << 13  # shingles of a product at a time
@@ -49,19 +51,32 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _signatures(rows: DataFrame, words: int) -> DataFrame:
-    """(row, text) -> (row, set_a, set_b, keys): a 128-bit digest of the shingle set, and its bands."""
+    """(row, text) -> (row, set_a, set_b, fp, keys): a 128-bit digest of the shingle set, the shingles'
+    SimHash fingerprint, and the set's bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            digests, keys = [], []
+            digests, keys, fps = [], [], []
             for text in batch["text"]:
-                found = np.unique(shingle_hashes(text, words))
+                hashes = shingle_hashes(text, words)
+                found = np.unique(hashes)
+                fps.append(fingerprint_of(hashes))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
                 keys.append(band_keys(found))
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"row": batch["row"], "set_a": halves[:, 0], "set_b": halves[:, 1], "keys": keys})
+            yield pd.DataFrame({"row": batch["row"], "set_a": halves[:, 0], "set_b": halves[:, 1], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
 
-    return small_batches(rows).select("row", "text").mapInPandas(run, "row long, set_a long, set_b long, keys array<long>")
+    return small_batches(rows).select("row", "text").mapInPandas(run, "row long, set_a long, set_b long, fp long, keys array<long>")
+
+
+def with_index_key(rows: DataFrame) -> DataFrame:
+    """Stored (node, fp, keys) -> (node, keys) with one key more, in front: that of all rows whose
+    fingerprints links within ``RADIUS`` bits connect, found by the Gray-order index."""
+    links = near_links(rows.select(F.col("fp").alias("id"), "fp").distinct(), RADIUS)
+    comps = connected_components(links).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.coalesce("component", "fp"), F.lit("simhash"))
+    joined = rows.join(comps.hint("merge"), "fp", "left")  # both sides grow with the table
+    return joined.select("node", F.concat(F.array(key), "keys").alias("keys"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -251,7 +266,9 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     signed = stash(_signatures(texts, words))
     classes = stash(signed.groupBy("set_a", "set_b").agg(F.min("row").alias("node")))
     # an empty set has no keys: its class is alone
-    keyed = stash(signed.where(F.size("keys") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "keys"))
+    banded = stash(signed.where(F.size("keys") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "keys"))
+    keyed = stash(with_index_key(banded))
+    release(banded)
     links = similar_links(texts, keyed, words, similarity)
     release(keyed)
     if links is not None:

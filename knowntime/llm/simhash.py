@@ -45,7 +45,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of a text; 0 for null and for texts without words."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes, repeats included; 0 for none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -149,3 +149,23 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     rows = [(None, one), (None, two), (7, two), (4, three), (4, "short other text"), (9, "short other text"), (4, "third text of one id"), (5, three)]
     assert _kept(spark, rows) == {0, 2, 3, 4, 6}
     assert len(_kept(spark, [(1, one), (1, one), (None, one)])) == 1 and _kept(spark, []) == set()
+
+
+def test_near_dedup_uses_the_simhash_index(spark):
+    """Fingerprints that links within three bits connect share the first key, whatever their bands."""
+    fps = [0, 0b111, 0b111111, 1 << 40 | 0b1111 << 50, (1 << 63) - 1, -1]
+    rows = jaccard.stash(spark.createDataFrame([(i, fp, [100 + i]) for i, fp in enumerate(fps)], "node long, fp long, keys array<long>"))
+    got = {r.node: r["keys"] for r in jaccard.with_index_key(rows).collect()}
+    assert [got[i][1:] for i in range(6)] == [[100 + i] for i in range(6)]
+    first = [got[i][0] for i in range(6)]
+    assert first[0] == first[1] == first[2] and first[4] == first[5] and len(set(first)) == 3
+
+
+def test_near_dedup_signs_with_simhash(spark):
+    """A long text with one word changed lies within the index's reach and is found by its key alone."""
+    text = " ".join(f"w{i * i % 997}" for i in range(900))
+    docs = spark.createDataFrame([(0, text), (1, text + " end"), (2, " ".join(f"v{i * i % 991}" for i in range(900)))], "row long, text string")
+    signed = jaccard.stash(jaccard._signatures(docs, 5).select(F.col("row").alias("node"), "fp", "keys"))
+    keyed = jaccard.stash(jaccard.with_index_key(signed).select("node", F.slice("keys", 1, 1).alias("keys")))
+    links = jaccard.similar_links(docs, keyed, 5, 0.8)
+    assert links is not None and [(r.a, r.b) for r in links.collect()] == [(0, 1)]
