@@ -152,6 +152,8 @@ def bar_payloads(docs: DataFrame, zones: DataFrame | None = None) -> tuple[DataF
     """
     from knowntime.operators.quality import known_zones, with_known_zone
 
+    # a filter on what explode makes stays above it; below, each mention of doc would parse its text again
+    docs = docs.select("symbol", "adjustment_mode", F.explode(F.array("doc")).alias("doc"))
     zone = F.coalesce(F.nullif(F.trim("doc.meta.exchange_timezone"), F.lit("")), F.nullif(F.trim("doc.meta.timezone"), F.lit("")))
     told = F.to_json(F.struct("doc.status", "doc.code", "doc.message")).alias("raw")
     errors = docs.withColumn("__fault", payload_fault(F.col("doc"))).where("__fault is not null").select("symbol", "adjustment_mode", told, F.array("__fault").alias("faults"))

@@ -180,6 +180,15 @@ def test_nation_bars_round_ties_like_sql(spark, tmp_path):
     assert {r.trading_date: r.close for r in A.nation_bars(spark, str(tmp_path)).collect()} == want
 
 
+def test_payloads_are_parsed_once(spark):
+    """The filter on a payload's faults is not pushed below the parsing of its text."""
+    text = json.dumps({"meta": {"currency": "USD", "timezone": "UTC"}, "values": [{"datetime": "2020-01-02", "open": "1", "high": "1", "low": "1", "close": "1", "volume": "1"}]})
+    docs = spark.createDataFrame([("a", "all", text), ("b", "all", '{"status": "error"}')], "symbol string, adjustment_mode string, text string").repartition(2)
+    good, bad = documents.bar_payloads(docs.select("symbol", "adjustment_mode", F.from_json("text", documents.PAYLOAD).alias("doc")))
+    assert [r.symbol for r in good.collect()] == ["a"] and [(r.symbol, r.faults) for r in bad.collect()] == [("b", ["provider_error"])]
+    assert good._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(") + good._jdf.queryExecution().optimizedPlan().toString().lower().count("jsontostructs(") == 1
+
+
 def test_duplicate_bars_and_upserts(spark):
     key = ("i", "p", d("2020-01-01"), "all")
     schema = "instrument_id string, provider string, trading_date date, adjustment_mode string, close double, fetched_at string"
