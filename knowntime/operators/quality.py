@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions.scalars import ohlcv_faults
@@ -13,6 +13,17 @@ from knowntime.operators.pit import first_shared_days, overlapping_mappings
 BAR_VALUES = ("open", "high", "low", "close", "volume", "currency", "exchange_timezone")
 BAR_KEY = ("instrument_id", "provider", "trading_date", "adjustment_mode")
 WINDOW_DAYS, OVERLAP_DAYS = 400, 2
+TASK_ROWS = 500_000  # of a merge: some 100 MB to sort
+
+
+def agreed(bars: DataFrame, values: Sequence[str], held: Column) -> tuple[Column, Column]:
+    """Aggregates over the rows that ``held`` names: whether their bar values are all the same (no text is
+    as an empty one), and the least row, null for none.
+
+    Least and greatest values tell the first, so one sort serves and no row is copied to count distinct ones."""
+    types = dict(bars.dtypes)
+    same = F.when(held, F.struct(*[F.coalesce(c, F.lit("")).alias(c) if types[c] == "string" else F.col(c) for c in BAR_VALUES if c in values]))
+    return F.min(same).eqNullSafe(F.max(same)), F.min(F.when(held, F.struct(*values)))
 
 
 def dedup_bars(bars: DataFrame, by: Sequence[str] = ("symbol", "adjustment_mode", "trading_date")) -> tuple[DataFrame, DataFrame]:

@@ -25,8 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from knowntime.functions.scalars import ohlcv_faults
 from knowntime.functions.scratch import Folder
 from knowntime.operators.pit import first_known
-from knowntime.operators.quality import BAR_KEY, dedup_bars
-from knowntime.sources.sinks import classify_bars
+from knowntime.operators.quality import BAR_KEY, TASK_ROWS, agreed
 
 FAN = 8
 
@@ -71,21 +70,45 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame | None:
     return None if rows is None else first_known(rows)
 
 
-def merge_bars(batch: DataFrame, number: int, path: str) -> None:
-    """Rewrite the months that ``batch`` touches with its bars merged in."""
+def _months(bars: DataFrame) -> dict[str, int]:
+    """Rows by month; the driver holds months, not bars."""
+    return {r["part"]: r["count"] for r in bars.groupBy(F.date_format("trading_date", "yyyy-MM").alias("part")).count().collect()}
+
+
+def merge_bars(batch: DataFrame, number: int, path: str, task_rows: int = TASK_ROWS) -> None:
+    """Rewrite the months that ``batch`` touches with its bars merged in. A day on which the batch
+    contradicts itself leaves what is stored, as does a bar that only ``fetched_at`` parts from it.
+
+    Stored and new rows meet in one shuffle and one sort, by pieces of months. Pieces and tasks
+    grow with the rows, so a task sorts about ``task_rows`` of them, however large the batch."""
     spark = batch.sparkSession
     old = manifest(spark, path, number)
     live = dict(old.get("live", {}))
-    month = F.date_format("trading_date", "yyyy-MM")
-    touched = sorted(r["part"] for r in batch.select(month.alias("part")).distinct().collect())  # months, not bars
-    if not touched:
+    sizes = _months(batch)
+    if not sizes:
         return _commit(spark, path, number, old, live, [])
-    stored = _bars_of(spark, path, {p: live[p] for p in touched if p in live})
-    merged = batch if stored is None else classify_bars(stored.select(batch.columns), batch)[0]
-    out = merged.withColumns({"part": month, "batch": F.lit(number).cast("long")})
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(f"{path}/rows")
-    gone = [f"batch={live[p]}/part={p}" for p in touched if p in live]
-    _commit(spark, path, number, old, live | {p: number for p in touched}, gone)
+    rows = batch.withColumn("__new", F.lit(True))
+    stored = _bars_of(spark, path, {p: live[p] for p in sizes if p in live})
+    if stored is not None:
+        rows = rows.unionByName(stored.select(batch.columns).withColumn("__new", F.lit(False)))
+        sizes = {p: sizes[p] + n for p, n in (dict.fromkeys(sizes, 0) | _months(stored)).items()}
+    tasks, pieces = 1 + sum(sizes.values()) // task_rows, 1 + 4 * max(sizes.values()) // task_rows
+    placed = rows.withColumns({"part": F.date_format("trading_date", "yyyy-MM"), "piece": F.pmod(F.xxhash64(*BAR_KEY), F.lit(pieces))}).repartition(tasks, "part", "piece")
+    values = [c for c in batch.columns if c not in BAR_KEY]
+    alike, new = agreed(batch, values, F.col("__new"))
+    # grouped by the place too, so that neither the groups nor the files by month need another shuffle
+    both = placed.groupBy("part", "piece", *BAR_KEY).agg(alike.alias("alike"), new.alias("n"), F.max(F.when(~F.col("__new"), F.struct(*values))).alias("o"))
+    same = F.col("o").isNotNull()
+    for c in values:
+        if c != "fetched_at":
+            same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    row = F.when(F.col("alike") & F.col("n").isNotNull() & ~same, F.col("n")).otherwise(F.col("o"))
+    merged = both.select("part", *BAR_KEY, row.alias("row")).where("row is not null").select("part", *BAR_KEY, "row.*")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{path}/rows/batch={number}")
+    names = set(Folder(spark, path).names(f"rows/batch={number}"))
+    written = [p for p in sorted(sizes) if f"part={p}" in names]
+    gone = [f"batch={live[p]}/part={p}" for p in written if p in live]
+    _commit(spark, path, number, old, live | {p: number for p in written}, gone)
 
 
 def append_facts(batch: DataFrame, number: int, path: str) -> None:
@@ -115,7 +138,7 @@ def stream_bars(spark: SparkSession, source: str, schema: str, path: str, checkp
 
     def merge(batch: DataFrame, number: int) -> None:
         valid = batch.where(F.size(ohlcv_faults(*[F.col(c) for c in ("open", "high", "low", "close", "volume")])) == 0)
-        merge_bars(dedup_bars(valid, BAR_KEY)[0], number, path)
+        merge_bars(valid, number, path)
 
     return _start(_source(spark, source, schema, files), checkpoint, merge)
 

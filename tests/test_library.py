@@ -414,6 +414,25 @@ def test_streams_are_idempotent(spark, tmp_path):
     assert got == {("2020-01-01", 2.0), ("2020-01-03", 3.0), ("2020-02-01", 7.0), ("2020-03-01", 6.0)}
 
 
+def test_merged_months_are_dealt_by_rows(spark, tmp_path):
+    from knowntime.streaming import ingest
+
+    schema = "instrument_id string, provider string, trading_date date, adjustment_mode string, close double, currency string, fetched_at string"
+    row = lambda i, day, close, money, at: (f"i{i}", "p", d(day), "all", close, money, at)
+    first = [row(i, day, 1.0 * i, None, "old") for i in range(150) for day in ("2020-01-01", "2020-01-02", "2020-02-03")]
+    second = [row(i, "2020-01-01", 1.0 * i + (i % 3 == 0), None, "new") for i in range(150)] + [row(i, "2020-01-01", 0.5, None, "new") for i in range(0, 150, 5)]
+    second += [row(200, "2020-03-01", 2.0, "", "b"), row(200, "2020-03-01", 2.0, None, "a"), row(201, "2020-04-01", 1.0, "USD", "a"), row(201, "2020-04-01", 1.0, "EUR", "a")]
+    for n, rows in enumerate((first, second, second)):  # the last again, as a replay
+        ingest.merge_bars(spark.createDataFrame(rows, schema), min(n, 1), str(tmp_path), task_rows=60)
+    want = {r[0:3:2]: (r[4], r[6]) for r in first}
+    want |= {(f"i{i}", d("2020-01-01")): (1.0 * i + 1, "new") for i in range(0, 150, 3) if i % 5} | {("i200", d("2020-03-01")): (2.0, "a")}
+    got = ingest.read_bars(spark, str(tmp_path)).withColumn("file", F.input_file_name()).collect()
+    assert len(got) == len(want) and {(r.instrument_id, r.trading_date): (r.close, r.fetched_at) for r in got} == want
+    assert ingest.manifest(spark, str(tmp_path))["live"] == {"2020-01": 1, "2020-02": 0, "2020-03": 1}  # a month without a bar is no folder
+    held = [r.file for r in got if r.trading_date == d("2020-01-01")]
+    assert len(set(held)) > 3 and max(map(held.count, held)) <= 60
+
+
 def test_fact_stream_keeps_the_earliest(spark, tmp_path):
     from knowntime.streaming import ingest
 
