@@ -16,6 +16,12 @@ WINDOW_DAYS, OVERLAP_DAYS = 400, 2
 TASK_ROWS = 500_000  # of a merge: some 100 MB to sort
 
 
+def tasks_for(rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Tasks of ``task_rows`` rows each. Up to 200 tasks (``spark.shuffle.sort.bypassMergeThreshold``) a shuffle
+    is written without holding its rows, so there are no more until a task has four times as many."""
+    return 1 + max(min(rows // task_rows, 199), rows // (4 * task_rows))
+
+
 def agreed(bars: DataFrame, values: Sequence[str], held: Column) -> tuple[Column, Column]:
     """Aggregates over the rows that ``held`` names: whether their bar values are all the same (no text is
     as an empty one), and the least row, null for none.
@@ -26,17 +32,18 @@ def agreed(bars: DataFrame, values: Sequence[str], held: Column) -> tuple[Column
     return F.min(same).eqNullSafe(F.max(same)), F.min(F.when(held, F.struct(*values)))
 
 
-def dedup_bars(bars: DataFrame, by: Sequence[str] = ("symbol", "adjustment_mode", "trading_date")) -> tuple[DataFrame, DataFrame]:
+def dedup_bars(bars: DataFrame, by: Sequence[str] = ("symbol", "adjustment_mode", "trading_date"), tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(bars, counts): identical repeats of a date keep one; a date whose values conflict goes entirely.
 
-    ``counts`` holds accepted, duplicate and conflicting rows per (symbol, adjustment_mode).
+    ``counts`` holds accepted, duplicate and conflicting rows per (symbol, adjustment_mode). Rows are
+    dealt by date before they are grouped, so only ``tasks`` (see :func:`tasks_for`) decides what a task holds.
     """
     values = [c for c in bars.columns if c not in by]
-    same = [c for c in BAR_VALUES if c in values]
-    grouped = bars.groupBy(*by).agg(F.count("*").alias("__n"), F.min(F.struct(*values)).alias("__row"), F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in same])).alias("__kinds"))
-    kept = grouped.where("__kinds = 1").select(*by, "__row.*").select(bars.columns)
+    alike, row = agreed(bars, values, F.lit(True))
+    grouped = bars.repartition(*([tasks] if tasks else []), *by).groupBy(*by).agg(F.count("*").alias("__n"), row.alias("__row"), alike.alias("__alike"))
+    kept = grouped.where("__alike").select(*by, "__row.*").select(bars.columns)
     counts = grouped.groupBy(*[c for c in by if c != "trading_date"]).agg(
-        F.count_if(F.col("__kinds") == 1).alias("accepted"), F.sum(F.when(F.col("__kinds") == 1, F.col("__n") - 1).otherwise(0)).alias("duplicates"), F.sum(F.when(F.col("__kinds") > 1, F.col("__n")).otherwise(0)).alias("conflicting")
+        F.count_if("__alike").alias("accepted"), F.sum(F.when(F.col("__alike"), F.col("__n") - 1).otherwise(0)).alias("duplicates"), F.sum(F.when(~F.col("__alike"), F.col("__n")).otherwise(0)).alias("conflicting")
     )
     return kept, counts
 

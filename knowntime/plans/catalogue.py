@@ -531,7 +531,8 @@ def _quoted_items(spark, sf_dir):
 SELECT symbol, adjustment_mode, count(*) FILTER (k = 1) AS accepted, CAST(sum(CASE WHEN k = 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS duplicates, CAST(sum(CASE WHEN k > 1 THEN n ELSE 0 END) AS BIGINT) AS conflicting FROM g GROUP BY 1, 2"""
 )
 def duplicate_bars(spark, sf_dir):
-    return quality.dedup_bars(_quoted_items(spark, sf_dir))[1]
+    items = _quoted_items(spark, sf_dir)
+    return quality.dedup_bars(items, tasks=quality.tasks_for(items.count()))[1]
 
 
 @query(

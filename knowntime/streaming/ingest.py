@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from knowntime.functions.scalars import ohlcv_faults
 from knowntime.functions.scratch import Folder
 from knowntime.operators.pit import first_known
-from knowntime.operators.quality import BAR_KEY, TASK_ROWS, agreed
+from knowntime.operators.quality import BAR_KEY, TASK_ROWS, agreed, tasks_for
 
 FAN = 8
 
@@ -92,7 +92,7 @@ def merge_bars(batch: DataFrame, number: int, path: str, task_rows: int = TASK_R
     if stored is not None:
         rows = rows.unionByName(stored.select(batch.columns).withColumn("__new", F.lit(False)))
         sizes = {p: sizes[p] + n for p, n in (dict.fromkeys(sizes, 0) | _months(stored)).items()}
-    tasks, pieces = 1 + sum(sizes.values()) // task_rows, 1 + 4 * max(sizes.values()) // task_rows
+    tasks, pieces = tasks_for(sum(sizes.values()), task_rows), 1 + 4 * max(sizes.values()) // task_rows
     placed = rows.withColumns({"part": F.date_format("trading_date", "yyyy-MM"), "piece": F.pmod(F.xxhash64(*BAR_KEY), F.lit(pieces))}).repartition(tasks, "part", "piece")
     values = [c for c in batch.columns if c not in BAR_KEY]
     alike, new = agreed(batch, values, F.col("__new"))

@@ -202,6 +202,22 @@ def test_duplicate_bars_and_upserts(spark):
     assert {r.close: r.fetched_at for r in merged.collect()} == {1.0: "old", 3.0: "new"}
 
 
+def test_duplicate_bars_are_dealt_by_rows(spark):
+    schema = "symbol string, adjustment_mode string, trading_date date, close double, volume long, currency string, fetched_at string"
+    rows = [(f"s{i % 20}", "all", d("2020-01-01") + dt.timedelta(i % 60), 1.0 if i % 60 < 40 else float(i), None, (None, "")[i % 2], f"{i:03d}") for i in range(300)]
+    rows += [("odd", "all", d("2020-01-01"), None, 1, "USD", "a"), ("odd", "all", d("2020-01-01"), None, None, "USD", "b"), ("nan", "all", d("2020-01-01"), float("nan"), 1, "USD", "b"), ("nan", "all", d("2020-01-01"), float("nan"), 1, "USD", "a")]
+    kept, counts = quality.dedup_bars(spark.createDataFrame(rows, schema), tasks=7)
+    assert kept.rdd.getNumPartitions() == 7 and "distinct" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+    days = {}
+    for r in rows:
+        days.setdefault(r[:3], []).append(r)
+    same = {k: v for k, v in days.items() if len({(str(r[3]), r[4], r[5] or "") for r in v}) == 1}
+    assert len(same) == 41 and {tuple(r)[:3]: r.fetched_at for r in kept.collect()} == {k: min(v, key=lambda r: (r[5] or "", r[6]) if any(x[5] is None for x in v) else r[6])[6] for k, v in same.items()}
+    said = {r.symbol: (r.accepted, r.duplicates, r.conflicting) for r in counts.collect()}
+    assert [quality.tasks_for(n, 10) for n in (0, 99, 1990, 7999, 8000, 80_000)] == [1, 10, 200, 200, 201, 2001]
+    assert said["odd"] == (0, 0, 2) and said["nan"] == (1, 1, 0) and sum(map(sum, said.values())) == len(rows)
+
+
 def test_mapping_rules(spark):
     schema = "mapping_id string, instrument_id string, provider string, provider_symbol string, valid_from date, valid_to date, is_primary boolean"
     rows = [("m1", "i1", "p", "S", None, d("2019-12-31"), True), ("m2", "i1", "p", "S", d("2020-01-05"), None, True), ("m3", "i2", "p", "S", d("2021-01-01"), None, True), ("m4", "i3", "p", "T", d("2020-02-01"), d("2020-01-01"), True)]
