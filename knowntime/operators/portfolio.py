@@ -173,7 +173,7 @@ def _signals(requests: DataFrame, pairs: DataFrame, universe: DataFrame, facts:
     """(run_id, decision_date, symbol) with the factor of the newest annual period known, if valid."""
     asked = pairs.where("reason is null").select("run_id", "decision_date", "decision_at").join(universe, "run_id")
     wanted = asked.select("cik", F.col("decision_at").alias("as_of")).distinct()
-    annual = latest_annual(facts, wanted).withColumn("fiscal_period", F.lit("FY"))
+    annual = stored(latest_annual(facts, wanted).withColumn("fiscal_period", F.lit("FY")))  # used twice, and facts may be a join
     factors = sorted(r["factor"] for r in requests.select("factor").distinct().collect())  # a dozen names at most
     values = factor_results(facts, annual, caps, factors).where("valid")
     named = asked.join(requests.select("run_id", "factor", "top_n"), "run_id")

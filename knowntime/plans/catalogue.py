@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowntime.functions import scalars as S
+from knowntime.functions.scratch import stored
 from knowntime.operators import factors, market, pit, portfolio, quality, ranking, statements
 from knowntime.plans import adapters as A
 from knowntime.sources import documents, sinks
@@ -430,8 +431,9 @@ def _backtest_requests(spark, sf_dir) -> DataFrame:
 
 def dense_nation_bars(spark, sf_dir) -> DataFrame:
     """Nation bars on every day of the orders' calendar, carried forward, with MARKET; so small
-    tables have complete calendars too."""
-    raw = A.nation_bars(spark, sf_dir).select("symbol", "trading_date", F.col("close").cast("double").alias("close"))
+    tables have complete calendars too. The daily bars are used six times and written once, so that
+    orders meet their customers once."""
+    raw = stored(A.nation_bars(spark, sf_dir).select("symbol", "trading_date", F.col("close").cast("double").alias("close")))
     market_ = raw.groupBy("trading_date").agg(F.round(F.avg("close"), 6).alias("close")).select(F.lit("MARKET").alias("symbol"), "trading_date", "close")
     everyone = raw.unionByName(market_)
     days = market_.select("trading_date")

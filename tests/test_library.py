@@ -479,6 +479,20 @@ def test_fifty_fact_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in ingest.read_facts(spark, str(tmp_path)).collect()) == found
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+def test_backtests_store_daily_bars_and_annual_periods(spark, monkeypatch):
+    from knowntime.plans import adapters
+
+    reads = lambda df: [f for f in df.inputFiles() if "orders" in f]
+    assert not reads(catalogue.dense_nation_bars(spark, SF))
+    at, seen, real = dt.datetime(2000, 1, 15, 12), [], portfolio.factor_results
+    monkeypatch.setattr(portfolio, "factor_results", lambda facts, requests, *more: seen.append(requests) or real(facts, requests, *more))
+    pairs = spark.createDataFrame([("r", at.date(), at, None)], "run_id string, decision_date date, decision_at timestamp, reason string")
+    names = spark.createDataFrame([("r", "X", "0000000001")], "run_id string, symbol string, cik string")
+    portfolio._signals(spark.createDataFrame([("r", "roa", 1)], "run_id string, factor string, top_n int"), pairs, names, adapters.facts(spark, SF), None)
+    assert len(seen) == 1 and not reads(seen[0])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
 @pytest.mark.parametrize("name", [n for n in sorted(catalogue.oracle_sql()) if n not in SLOW])
 def test_catalogue_against_duckdb(spark, name):
